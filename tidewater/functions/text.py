@@ -89,20 +89,18 @@ def short_region(name: Column) -> Column:
 
 
 def zone_letters(index: Column) -> Column:
-    """Zero-based index to A..Z, AA..ZZ, AAA.. ."""
-    def letter(n):
-        return F.chr(F.lit(65) + n % 26)
-
-    i = index.cast("bigint")
-    return (
-        F.when(i < 26, letter(i))
-        .when(i < 702, F.concat(letter(F.floor((i - 26) / 26)), letter(i - 26)))
-        .otherwise(
-            F.concat(
-                letter(F.floor((i - 702) / 676)), letter(F.floor((i - 702) / 26)), letter(i - 702)
-            )
+    """Zero-based index to A..Z, AA..ZZ, AAA.. (up to eight letters)."""
+
+    def step(state, _):
+        letter = F.chr(F.lit(65) + F.pmod(state.n - 1, F.lit(26)))
+        more = state.n > 0
+        return F.struct(
+            F.when(more, F.floor((state.n - 1) / 26)).otherwise(state.n).cast("bigint").alias("n"),
+            F.when(more, F.concat(letter, state.s)).otherwise(state.s).alias("s"),
         )
-    )
+
+    start = F.struct((index.cast("bigint") + 1).alias("n"), F.lit("").alias("s"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda state: state.s)
 
 
 def composite_id(*parts: Column) -> Column:
