@@ -114,9 +114,10 @@ def with_station_km(nearest: DataFrame) -> DataFrame:
 
 
 def interpolate_grid(
-    points: DataFrame, grid: DataFrame, by: tuple[str, ...], cell: list[str], k: int = 10, power: float = 2.0
+    points: DataFrame, box: tuple[float, float, float, float], h: int, w: int, by: tuple[str, ...],
+    k: int = 10, power: float = 2.0,
 ) -> DataFrame:
-    """Inverse-distance interpolation of ``points(by, loc_id, lat, lon, value)`` onto ``grid(cell, lat, lon)``.
+    """Inverse-distance interpolation of ``points(by, loc_id, lat, lon, value)`` onto an h x w grid.
 
     Neighbour lists depend only on which locations a group has, so they are computed once per
     distinct location set and shared by every group with that set. Locations are unique per group.
@@ -130,9 +131,8 @@ def interpolate_grid(
     sig = ["_sig1", "_sig2", "_sig3"]
     leaders = signed.groupBy(*sig).agg(F.min(F.struct(*by)).alias("_lead")).select(*sig, "_lead.*")
     sites = points.join(leaders, by).select(*sig, "loc_id", "lat", "lon")
-    cells = leaders.select(*sig).withColumn("_all", F.lit(1)).join(
-        grid.withColumn("_all", F.lit(1)), "_all"
-    ).drop("_all")
+    cell = ["row_idx", "col_idx"]
+    cells = explode_grid(leaders.select(*sig), box, h, w)
     lists = nearest_neighbors(cells, sites, cell, "loc_id", k, tuple(sig)).select(
         *sig, *cell, "loc_id", F.greatest(F.sqrt("dist2"), F.lit(1e-6)).alias("_d")
     )
@@ -210,17 +210,22 @@ def spatial_gradient(df: DataFrame, value: str, date: str = "date", row: str = "
     )
 
 
-def grid_cells(spark, box: tuple[float, float, float, float], h: int, w: int) -> DataFrame:
-    """Regular grid as (row_idx, col_idx, lat, lon)."""
+def explode_grid(df: DataFrame, box: tuple[float, float, float, float], h: int, w: int) -> DataFrame:
+    """Every row of ``df`` repeated for the cells of a regular grid."""
     lat_min, lat_max, lon_min, lon_max = box
     return (
-        spark.range(h * w)
-        .select(F.floor(F.col("id") / w).cast("int").alias("row_idx"), (F.col("id") % w).cast("int").alias("col_idx"))
+        df.withColumn("row_idx", F.explode(F.sequence(F.lit(0), F.lit(h - 1))))
+        .withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
         .withColumn("lat", geo.grid_coordinate(F.col("row_idx"), lat_min, lat_max, h))
         .withColumn("lon", geo.grid_coordinate(F.col("col_idx"), lon_min, lon_max, w))
     )
 
 
+def grid_cells(spark, box: tuple[float, float, float, float], h: int, w: int) -> DataFrame:
+    """Regular grid as (row_idx, col_idx, lat, lon)."""
+    return explode_grid(spark.range(1).select(), box, h, w)
+
+
 def pixel_mapping(df: DataFrame, box, h: int, w: int, north_up: bool = False) -> DataFrame:
     lat_min, lat_max, lon_min, lon_max = box
     return (
