@@ -1,0 +1,157 @@
+"""Causes, contributions, sweeps, scenarios, snapshots, alerts and report texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fx
+from ..functions.numeric import lookup, threshold_status
+from ..functions.risk import risk_index_molar, risk_parts, severity_band
+
+FACTORS = ("din", "water_temp", "np_ratio", "dissolved_oxygen", "salinity")
+
+
+def risk_contributions(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Weighted share of each factor in percent, ranked per row."""
+    parts = risk_parts(*[F.col(f) for f in FACTORS])
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("factor"),
+                (F.lit(fx.RISK_WEIGHTS[f]) * parts[f] * 100.0).alias("pct"),
+                F.lit(fx.RISK_WEIGHTS[f] * 100).alias("max_pct"),
+            )
+            for f in FACTORS
+        ]
+    )
+    return df.select(*ids, F.inline(entries))
+
+
+def _index(values: dict[str, Column]) -> Column:
+    ratio = F.when(values["dip"] > 0, values["din"] / values["dip"]).otherwise(0.0)
+    return risk_index_molar(values["din"], values["water_temp"], ratio, values["dissolved_oxygen"], values["salinity"])
+
+
+def sensitivity_sweep(df: DataFrame, factor: str, n: int = 60) -> DataFrame:
+    """Score over the factor's range with the other factors fixed; the step closest to the present value is marked."""
+    low, high = fx.SWEEP_RANGES[factor]
+    names = ("din", "water_temp", "dip", "dissolved_oxygen", "salinity")
+    at = lambda i: F.lit(low) + i / float(n) * F.lit(high - low)
+    swept = df.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("x", at(F.col("step")))
+    values = {c: (F.col("x") if c == factor else F.col(c)) for c in names}
+    gap = F.abs(at(F.col("step")) - F.col(factor))
+    nearest = F.array_position(
+        F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.round(F.abs(at(i) - F.col(factor)), 9)),
+        F.array_min(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.round(F.abs(at(i) - F.col(factor)), 9))),
+    )
+    return swept.withColumn("score", _index(values)).withColumn("gap", gap).withColumn(
+        "is_current", F.col("step") == nearest - 1
+    )
+
+
+def scenario_scores(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Each row scored under the four presets, next to its present score."""
+    names = ("din", "water_temp", "dip", "dissolved_oxygen", "salinity")
+    presets = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("scenario"), F.lit(temp).alias("p_water_temp"), F.lit(din).alias("p_din"),
+                F.lit(dip).alias("p_dip"), F.lit(sal).alias("p_salinity"), F.lit(do).alias("p_dissolved_oxygen"),
+            )
+            for name, temp, din, dip, sal, do in fx.PRESETS
+        ]
+    )
+    now = df.withColumn("current_score", _index({c: F.col(c) for c in names}))
+    return now.select(*ids, "current_score", F.inline(presets)).withColumn(
+        "score", _index({c: F.col(f"p_{c}") for c in names})
+    )
+
+
+def top_causes(df: DataFrame, ids: list[str], weights: dict[str, Column], thresholds: dict[str, float], low_is_risk, n: int = 5) -> DataFrame:
+    """The ``n`` heaviest factors per row with value, threshold and status; ties keep the given order."""
+    entries = F.array(
+        *[
+            F.struct((-w).alias("_neg"), F.lit(i).alias("_i"), F.lit(f).alias("feature"), F.col(f).alias("value"))
+            for i, (f, w) in enumerate(weights.items())
+        ]
+    )
+    ranked = df.select(*ids, F.posexplode(F.slice(F.array_sort(entries), 1, n)).alias("_p", "_e"))
+    out = ranked.select(
+        *ids, (F.col("_p") + 1).alias("rank"), F.col("_e.feature").alias("feature"),
+        (-F.col("_e._neg")).alias("importance"), F.col("_e.value").alias("value"),
+    )
+    return out.withColumn("threshold", lookup(F.col("feature"), thresholds)).withColumn(
+        "status", threshold_status(F.col("feature"), F.col("value"), thresholds, low_is_risk)
+    )
+
+
+def farm_snapshot(df: DataFrame) -> DataFrame:
+    """Display values with defaults, a floor under the phosphorus divisor, and two or three decimals."""
+    value = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    din = value("din", 0.0)
+    dip = F.greatest(value("dip", 0.82), F.lit(1e-6))
+    rounded = {
+        "water_temp": F.round(value("sst", 15.0), 2),
+        "dissolved_oxygen": F.round(value("dissolved_oxygen", 8.0), 2),
+        "din": F.round(din, 2),
+        "dip": F.round(dip, 3),
+        "np_ratio": F.round(din / dip, 2),
+        "salinity": F.round(value("salinity", 32.0), 2),
+    }
+    return df.withColumns(rounded)
+
+
+def advice_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fx.CAUSE_ADVICE, "feature STRING, status STRING, advice STRING")
+
+
+def report_templates(predictions: DataFrame, causes: DataFrame, key: str) -> DataFrame:
+    """Summary and recommendation text per prediction.
+
+    ``predictions(key, stage, score)``; ``causes(key, rank, feature, status)`` has at most five rows per prediction,
+    which bounds every list here.
+    """
+    spark = predictions.sparkSession
+    advised = causes.join(F.broadcast(advice_table(spark)), ["feature", "status"], "left")
+    listed = advised.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "advice")))).alias("_advice"),
+        F.min_by("feature", "rank").alias("_top"),
+    )
+    stage = F.col("stage")
+    staged = F.filter(
+        F.array(*[F.when(stage >= level, F.lit(text)) for level, text in fx.STAGE_ACTIONS]), lambda x: x.isNotNull()
+    )
+    causal = F.filter(F.transform("_advice", lambda a: a.advice), lambda x: x.isNotNull())
+    every = F.concat(staged, F.coalesce(causal, F.array().cast("array<string>")))
+    top = F.coalesce(lookup(F.col("_top"), fx.FEATURE_DISPLAY), F.col("_top"), F.lit("알 수 없음"))
+    summary = F.concat(
+        F.coalesce(lookup(stage, fx.STAGE_DESCRIPTIONS), F.lit("상태를 확인하세요.")),
+        F.lit(" 황백화 지수: "), F.format_string("%.1f", F.col("score") * 100), F.lit("%. 주요 원인 변수는 '"), top, F.lit("'입니다."),
+    )
+    return predictions.join(listed, key, "left").select(
+        key, "stage", summary.alias("summary"),
+        F.when(F.size(every) > 0, F.array_join(every, " | ")).otherwise(fx.DEFAULT_ACTION).alias("recommendations"),
+    )
+
+
+def alert_message(din: Column, water_temp: Column, score: Column) -> Column:
+    """Threshold breaches joined into one line, the severity when nothing is breached."""
+    parts = F.concat_ws(
+        " | ",
+        F.when(din < 5, F.concat(F.lit("DIN "), F.format_string("%.1f", din), F.lit(" μmol/L (임계값 이하)"))),
+        F.when(water_temp > 25, F.concat(F.lit("수온 "), F.format_string("%.1f", water_temp), F.lit("℃ (25℃ 초과)"))),
+        F.when(score > 0.6, F.concat(F.lit("WBI "), F.format_string("%.0f", score * 100), F.lit("%"))),
+    )
+    return F.when(parts != "", parts).otherwise(F.concat(F.lit("황백화 "), severity_band(score)))
+
+
+def alert_feed(readings: DataFrame, order: list[str], severity: str, recent: int = 60, shown: int = 20) -> DataFrame:
+    """The newest ``shown`` abnormal entries among the newest ``recent`` readings, newest first."""
+    newest = readings.orderBy(*[F.col(c).desc() for c in order]).limit(recent)
+    w = Window.orderBy(*[F.col(c).desc() for c in order])
+    return (
+        newest.filter(F.col(severity) != "NORMAL")
+        .withColumn("alert_no", F.row_number().over(w) - 1)
+        .filter(F.col("alert_no") < shown)
+    )

@@ -58,45 +58,34 @@ def fill_ratio(df: DataFrame, column: str) -> Column:
     return F.avg(F.col(column).isNotNull().cast("double"))
 
 
+def _substrings(text: Column) -> Column:
+    """Every distinct substring of a short text."""
+    size = F.length(text)
+    of_width = lambda n: F.transform(
+        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n)
+    )
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), of_width)))
+
+
 def fuzzy_name_join(df: DataFrame, names: DataFrame, name: str, key: str = "known_name", rank: str = "rank") -> DataFrame:
     """Exact name match, else the first known name that contains, or is contained in, the row's name.
 
-    Distinct names are matched once. Containment is an equi-join on character trigrams shared by the shorter
-    text, so no row meets the whole name table; names shorter than three characters are matched on themselves.
+    Distinct names are matched once, by equality with the substrings of the other side; the known side is reduced to
+    the best-ranked entry per substring first, so a short name never meets the whole name table.
     """
-    def grams(text: Column) -> Column:
-        short = F.array(text)
-        many = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3))
-        )
-        return F.array_distinct(F.when(F.length(text) <= 3, short).otherwise(many))
-
-    def every_gram(text: Column) -> Column:
-        at = F.sequence(F.lit(1), F.length(text))
-        widths = [F.transform(at, lambda i, n=n: F.substring(text, i, F.lit(n))) for n in (1, 2, 3)]
-        return F.array_distinct(F.concat(*widths))
-
-    asked = df.select(name).distinct().filter(F.length(name) > 0)
-    exact = asked.join(names.withColumnRenamed(key, name), name).withColumn("_exact", F.lit(0))
-    known = names.withColumn("_len", F.length(key)).filter(F.col("_len") > 0)
-    # Known name inside the asked name: the known name's first gram occurs in the asked name.
-    inside = asked.withColumn("_g", F.explode(every_gram(F.col(name)))).join(
-        known.withColumn("_g", grams(F.col(key))[0]), "_g"
-    )
-    # Asked name inside the known name: the asked name's first gram occurs in the known name.
-    around = asked.withColumn("_g", grams(F.col(name))[0]).join(
-        known.withColumn("_g", F.explode(every_gram(F.col(key)))), "_g"
-    )
     columns = [c for c in names.columns if c != key]
-    loose = (
-        inside.select(name, key, *columns)
-        .unionByName(around.select(name, key, *columns))
-        .filter(F.contains(F.col(name), F.col(key)) | F.contains(F.col(key), F.col(name)))
-        .withColumn("_exact", F.lit(1))
-        .drop(key)
-    )
-    matched = first_per_key(exact.select(name, *columns, "_exact").unionByName(loose), [name], ["_exact", rank])
-    return df.join(matched.drop("_exact", rank), name, "left")
+    rest = [c for c in columns if c != rank]
+    best = F.min(F.struct(rank, *rest)).alias("_m")
+    asked = df.select(name).distinct().filter(F.length(name) > 0)
+    known = names.filter(F.length(key) > 0)
+    whole = known.groupBy(F.col(key).alias("_s")).agg(best)
+    parts = known.withColumn("_s", F.explode(_substrings(F.col(key)))).groupBy("_s").agg(best)
+    exact = asked.join(whole, asked[name] == whole["_s"]).select(name, F.lit(0).alias("_loose"), "_m.*")
+    inside = asked.withColumn("_s", F.explode(_substrings(F.col(name)))).join(whole, "_s")
+    around = asked.withColumn("_s", F.col(name)).join(parts, "_s")
+    loose = inside.unionByName(around).select(name, F.lit(1).alias("_loose"), "_m.*")
+    matched = first_per_key(exact.unionByName(loose), [name], ["_loose", rank])
+    return df.join(matched.drop("_loose", rank), name, "left")
 
 
 def zone_codes(farms: DataFrame, region: str, farm: str, size: int = 9) -> DataFrame:
