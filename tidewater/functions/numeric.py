@@ -83,9 +83,14 @@ def lookup(value: Column, table: Mapping, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def round_half_up(value: Column, digits: int) -> Column:
+    """Half-up rounding after removing binary noise beyond twelve places."""
+    return F.round(F.round(value, 12), digits)
+
+
 def round_even(value: Column, digits: int) -> Column:
-    """Half-to-even rounding."""
-    return F.bround(value, digits)
+    """Half-to-even rounding after removing binary noise beyond twelve places."""
+    return F.bround(F.round(value, 12), digits)
 
 
 def softmax(values: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
-from ..functions.numeric import guarded_ratio, month_cycle, sum_present, wind_vector
+from ..functions.numeric import guarded_ratio, month_cycle, round_half_up, sum_present, wind_vector
 from .spatial import interpolate_grid, spatial_gradient
 from .temporal import days_since_rain, first_in_window, forward_fill, rolling_means
 
@@ -199,7 +199,7 @@ def label_percentiles(daily_means: DataFrame, label: str, value: str) -> DataFra
     )
     joined = moments.join(quantiles, label)
     return joined.select(
-        label, "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "p10", "p25", "p50", "p75", "p90")]
+        label, "n", *[round_half_up(F.col(c), 4).alias(c) for c in ("mean", "std", "p10", "p25", "p50", "p75", "p90")]
     )
 
 

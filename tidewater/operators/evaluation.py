@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
 from ..plans.frames import HOT_ROWS, framed
 from ..plans.ordering import exact_quantiles, row_index, running_totals
 
@@ -117,7 +118,7 @@ def alpha_sweep(df: DataFrame, first: str, second: str, y: str, tie: str, steps:
 
 def stage_shares(df: DataFrame, stage: str = "stage", n_stages: int = 5) -> DataFrame:
     """One row with the rounded share of each stage."""
-    share = lambda s: F.round(F.count_if(F.col(stage) == s) / F.count("*"), 4)
+    share = lambda s: round_half_up(F.count_if(F.col(stage) == s) / F.count("*"), 4)
     return df.agg(F.count("*").alias("n"), *[share(s).alias(f"share_{s}") for s in range(n_stages)])
 
 

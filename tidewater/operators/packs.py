@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
 from ..functions import seasons
-from ..functions.numeric import clamp, lookup
+from ..functions.numeric import clamp, lookup, round_half_up
 from ..functions.risk import warn_class
 from ..plans.frames import calendar
 from .temporal import first_per_key, previous_date
@@ -43,7 +43,7 @@ def onset_delta(pack: DataFrame, max_gap: int = 3) -> DataFrame:
     dated = pack.join(previous_date(pack, "date", max_gap), "date")
     before = pack.select(F.col("gid"), F.col("date").alias("prev_date"), F.col("warn").alias("warn_prev"))
     return dated.join(before, ["gid", "prev_date"], "left").withColumn(
-        "onset", F.round(F.col("warn") - F.col("warn_prev"), 4)
+        "onset", round_half_up(F.col("warn") - F.col("warn_prev"), 4)
     )
 
 
@@ -105,13 +105,13 @@ def pack_lookup(pack: DataFrame, date: Column | None = None) -> DataFrame:
 def forecast(entries: DataFrame) -> DataFrame:
     """Horizon days as rows with the scaled index."""
     return entries.select("*", F.posexplode("adi7").alias("_pos", "adi")).withColumns(
-        {"day": F.col("_pos") + 1, "wbi": F.round(clamp(F.col("adi") / 10.0, 0.0, 1.0), 3)}
+        {"day": F.col("_pos") + 1, "wbi": round_half_up(clamp(F.col("adi") / 10.0, 0.0, 1.0), 3)}
     ).drop("_pos")
 
 
 def forecast_peak(entries: DataFrame) -> DataFrame:
     """First day of the highest scaled index per entry, from the entry's own array."""
-    wbi = F.transform("adi7", lambda a: F.round(clamp(a / 10.0, 0.0, 1.0), 3))
+    wbi = F.transform("adi7", lambda a: round_half_up(clamp(a / 10.0, 0.0, 1.0), 3))
     return entries.withColumn("_w", wbi).withColumns(
         {
             "current_wbi": F.col("_w")[0],

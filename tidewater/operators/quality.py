@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
-from ..functions.numeric import falsy_coalesce, guarded_ratio, lookup
+from ..functions.numeric import falsy_coalesce, guarded_ratio, lookup, round_half_up
 from ..plans.frames import HOT_ROWS, framed
 
 _SEVERITY = {"info": 1, "warning": 2, "critical": 3}
@@ -134,7 +134,7 @@ def feature_projection(raw: DataFrame) -> DataFrame:
     )
     return staged.withColumns(
         {
-            "din_dip_ratio": F.coalesce(F.round(guarded_ratio(F.col("din"), F.col("dip")), 4), F.lit(0.0)),
+            "din_dip_ratio": F.coalesce(round_half_up(guarded_ratio(F.col("din"), F.col("dip")), 4), F.lit(0.0)),
             "water_temp_surface": falsy_coalesce(c("water_temp"), c("water_temp_surface")),
             "do_surface": falsy_coalesce(c("dissolved_oxygen"), c("do_surface")),
             "chlorophyll_a": falsy_coalesce(c("chlorophyll_a"), c("chl_a"), c("chlorophyll")),

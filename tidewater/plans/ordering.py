@@ -128,7 +128,10 @@ def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n_slices: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per key, computed from counts of distinct values."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    from .frames import staged
+
+    # Read several times below, so the counts are written once
+    counts = staged(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")), "counts")
     placed = running_totals(counts, keys, [(value, True)], {"_cum": F.col("_c")}, n_slices)
     if keys:
         sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))

@@ -99,7 +99,7 @@ def network_observations(
     items: DataFrame, stations: DataFrame, areas: list[str], start: Column, end: Column, measures: list[str]
 ) -> DataFrame:
     """Monitoring-network rows of the wanted sea areas, dated the 15th of their month, with station positions."""
-    obs = F.try_to_date(F.concat_ws("-", "obsr_year", "obsr_mt", F.lit("15")), F.lit("yyyy-M-d"))
+    obs = F.try_to_date(F.concat_ws("-", "obsr_year", "obsr_mt", F.lit("15")), "yyyy-M-d")
     dated = items.filter(F.col("ocean_nm").isin(*areas)).withColumn("date", obs)
     return dated.filter(F.col("date").between(start, end)).withColumn(
         "station_code", F.trim(F.col("station_code"))

@@ -78,14 +78,15 @@ def freshness(sources: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     return whole
 
 
-def feature_documents(df: DataFrame, lon: str, lat: str, properties: list[str], shards: int = 16) -> DataFrame:
-    """GeoJSON FeatureCollections; the shard count bounds the size of each document."""
+def feature_documents(df: DataFrame, lon: str, lat: str, properties: list[str], rows_per_document: int = 10_000) -> DataFrame:
+    """GeoJSON FeatureCollections of at most about ``rows_per_document`` features each."""
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry"),
         F.struct(*properties).alias("properties"),
     )
-    placed = df.withColumn("shard", F.pmod(F.xxhash64(*properties), F.lit(shards)).cast("int"))
+    shards = F.ceil(df.select(F.count("*")).scalar() / F.lit(rows_per_document))
+    placed = df.withColumn("shard", F.pmod(F.xxhash64(*properties), shards).cast("int"))
     return placed.groupBy("shard").agg(F.collect_list(feature).alias("features")).select(
         "shard", F.size("features").alias("n_features"),
         F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("document"),
