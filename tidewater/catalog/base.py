@@ -32,7 +32,7 @@ def stable_rounding(sql: str) -> str:
             j += 1
         inner = stable_rounding(sql[at + 6 : commas[-1]])
         digits = sql[commas[-1] + 1 : j].strip()
-        out += f"CAST(round(CAST({inner} AS DECIMAL(32, 12)), {digits}) AS DOUBLE)"
+        out += f"CAST(round(CAST({inner} AS DECIMAL(32, 10)), {digits}) AS DOUBLE)"
         i = j + 1
 
 

@@ -41,7 +41,7 @@ def risk_index_molar(spark, d):
 @query(
     "risk_index_mass",
     cte("v_station_obs") + f"""SELECT {_ID}, CASE WHEN v - floor(v) = 0.5 THEN floor(v) + floor(v) % 2 ELSE floor(v + 0.5) END / CAST(10000 AS DOUBLE) AS score FROM (SELECT {_ID}, CAST(least(1.0, greatest(0.0, 0.38 * greatest(0.0, 1 - coalesce(nullif(din_ugl, 0), 100) / 70) + 0.27 * greatest(0.0, (coalesce(nullif(water_temp, 0), 15) - 20) / 10)
-    + 0.19 * greatest(0.0, 1 - coalesce(nullif(round(din_ugl / dip_ugl, 4), 0), 26) / 6) + 0.10 * greatest(0.0, 1 - dissolved_oxygen / 5) + 0.06 * greatest(0.0, (32 - salinity) / 4))) AS DECIMAL(32, 12)) * 10000 AS v FROM v_station_obs)""",
+    + 0.19 * greatest(0.0, 1 - coalesce(nullif(round(din_ugl / dip_ugl, 4), 0), 26) / 6) + 0.10 * greatest(0.0, 1 - dissolved_oxygen / 5) + 0.06 * greatest(0.0, (32 - salinity) / 4))) AS DECIMAL(32, 10)) * 10000 AS v FROM v_station_obs)""",
 )
 def risk_index_mass(spark, d):
     o = view(spark, d, "v_station_obs")
@@ -151,7 +151,7 @@ _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fx.FEATURE_DISPLAY.items(
     e AS (SELECT station_id, unnest(['din', 'water_temp', 'np_ratio', 'dissolved_oxygen', 'salinity']) AS feature, unnest([1, 2, 3, 4, 5]) AS rank, unnest([din, water_temp, din / dip, dissolved_oxygen, salinity]) AS v, unnest([5.0, 25.0, 10.0, 5.0, 30.0]) AS thr FROM st),
     c AS (SELECT station_id, feature, rank, CASE WHEN feature <> 'water_temp' THEN CASE WHEN v < thr THEN 'BELOW_THRESHOLD' ELSE 'ABOVE_THRESHOLD' END WHEN v > thr THEN 'ABOVE_THRESHOLD' ELSE 'BELOW_THRESHOLD' END AS status FROM e),
     a(feature, status, advice) AS (VALUES {_ADVICE}), g AS (SELECT station_id, string_agg(advice, ' | ' ORDER BY rank) FILTER (WHERE rank <= 3) AS adv, arg_min(feature, rank) AS top FROM c LEFT JOIN a USING (feature, status) GROUP BY 1)
-    SELECT station_id, CAST(stage AS INT) AS stage, (CASE stage {_STAGES} END) || ' 황백화 지수: ' || CAST(CAST(CAST(score * 100 AS DECIMAL(28, 12)) AS DECIMAL(18, 1)) AS VARCHAR) || '%. 주요 원인 변수는 ''' || (CASE top {_NAMES} END) || '''입니다.' AS summary, {_ACTIONS} || adv AS recommendations FROM st JOIN g USING (station_id)""",
+    SELECT station_id, CAST(stage AS INT) AS stage, (CASE stage {_STAGES} END) || ' 황백화 지수: ' || CAST(CAST(CAST(score * 100 AS DECIMAL(28, 10)) AS DECIMAL(18, 1)) AS VARCHAR) || '%. 주요 원인 변수는 ''' || (CASE top {_NAMES} END) || '''입니다.' AS summary, {_ACTIONS} || adv AS recommendations FROM st JOIN g USING (station_id)""",
 )
 def report_templates(spark, d):
     means = station_means(spark, d).withColumn("np_ratio", F.col("din") / F.col("dip"))
@@ -178,7 +178,7 @@ def farm_snapshot(spark, d):
     cte("v_scores") + """, n AS (SELECT * FROM (SELECT s.*, e.ts, row_number() OVER (ORDER BY e.ts DESC, pred_id DESC) AS rn FROM v_scores s JOIN events e ON e.event_id = s.pred_id) WHERE rn <= 60),
     a AS (SELECT *, row_number() OVER (ORDER BY ts DESC, pred_id DESC) - 1 AS alert_no FROM n WHERE warn >= 0.3)
     SELECT pred_id, alert_no, CASE WHEN warn >= .8 THEN 'DANGER' WHEN warn >= .6 THEN 'WARNING' ELSE 'CAUTION' END AS severity, CASE WHEN warn > 0.6 OR latency_ms > 25 OR latency_ms / 10 < 5 THEN
-      concat_ws(' | ', CASE WHEN latency_ms / 10 < 5 THEN 'DIN ' || CAST(CAST(CAST(latency_ms / 10 AS DECIMAL(28, 12)) AS DECIMAL(18, 1)) AS VARCHAR) || ' μmol/L (임계값 이하)' END, CASE WHEN latency_ms > 25 THEN '수온 ' || CAST(CAST(CAST(latency_ms AS DECIMAL(28, 12)) AS DECIMAL(18, 1)) AS VARCHAR) || '℃ (25℃ 초과)' END, CASE WHEN warn > 0.6 THEN 'WBI ' || CAST(CAST(CAST(warn * 100 AS DECIMAL(28, 12)) AS DECIMAL(18, 0)) AS VARCHAR) || '%' END)
+      concat_ws(' | ', CASE WHEN latency_ms / 10 < 5 THEN 'DIN ' || CAST(CAST(CAST(latency_ms / 10 AS DECIMAL(28, 10)) AS DECIMAL(18, 1)) AS VARCHAR) || ' μmol/L (임계값 이하)' END, CASE WHEN latency_ms > 25 THEN '수온 ' || CAST(CAST(CAST(latency_ms AS DECIMAL(28, 10)) AS DECIMAL(18, 1)) AS VARCHAR) || '℃ (25℃ 초과)' END, CASE WHEN warn > 0.6 THEN 'WBI ' || CAST(CAST(CAST(warn * 100 AS DECIMAL(28, 10)) AS DECIMAL(18, 0)) AS VARCHAR) || '%' END)
       ELSE '황백화 ' || CASE WHEN warn >= .8 THEN 'DANGER' WHEN warn >= .6 THEN 'WARNING' ELSE 'CAUTION' END END AS message FROM a WHERE alert_no < 20""",
 )
 def alert_feed(spark, d):

@@ -1 +1,227 @@
-"""placeholder"""
+"""Binning, interpolation, the channel cube and normalisation statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fx
+from ..functions import optics
+from ..operators import cube as cb
+from ..operators import spatial as sp
+from ..operators.temporal import first_in_window
+from .base import BOX, cte, day, dense_daily, query, r6, table, view
+
+_OBS_AT = ", p AS (SELECT o.*, s.lat, s.lon FROM v_station_obs o JOIN v_stations s USING (station_id))"
+
+
+def located_obs(spark, d):
+    """Observations with the position of their station."""
+    stations = view(spark, d, "v_stations").select("station_id", "lat", "lon")
+    return view(spark, d, "v_station_obs").join(stations, "station_id")
+
+
+@query(
+    "bin_mean",
+    cte("v_stations", "v_station_obs") + _OBS_AT + " SELECT CAST(obs_date AS VARCHAR) AS obs_date, round(round_even(lat * 20, 0) / 20, 6) AS lat, round(round_even(lon * 20, 0) / 20, 6) AS lon, round(avg(din_ugl), 6) AS din_ugl FROM p GROUP BY obs_date, round_even(lat * 20, 0) / 20, round_even(lon * 20, 0) / 20",
+)
+def bin_mean(spark, d):
+    b = sp.bin_mean(located_obs(spark, d), ["din_ugl"], "obs_date")
+    return b.select(day("obs_date"), r6("lat"), r6("lon"), r6("din_ugl"))
+
+
+@query(
+    "daily_median_composite",
+    cte("v_stations", "v_station_obs") + _OBS_AT + """, h AS (SELECT obs_date AS date, l_orderkey % 24 AS hour, lat, lon, water_temp FROM p), dd AS (SELECT date, bool_or(hour BETWEEN 3 AND 20) AS has FROM h GROUP BY 1),
+    k AS (SELECT h.date, round(lat, 2) AS lat, round(lon, 2) AS lon, water_temp FROM h JOIN dd USING (date) WHERE (hour BETWEEN 3 AND 20 OR NOT has) AND water_temp IS NOT NULL),
+    m AS (SELECT date, lat, lon, quantile_cont(water_temp, 0.5) AS v FROM k GROUP BY 1, 2, 3), n AS (SELECT *, count(*) OVER (PARTITION BY date) AS n_cells FROM m)
+    SELECT CAST(date AS VARCHAR) AS date, lat, lon, round(v, 6) AS water_temp, n_cells FROM n WHERE n_cells >= 10""",
+)
+def daily_median_composite(spark, d):
+    pixels = located_obs(spark, d).select(
+        F.col("obs_date").alias("date"), (F.col("l_orderkey") % 24).alias("hour"), "lat", "lon", "water_temp"
+    )
+    c = sp.daily_median_composite(pixels, "water_temp", hours=(3, 20))
+    return c.select(day(), "lat", "lon", r6("water_temp"), "n_cells")
+
+
+@query(
+    "scene_composite",
+    cte("v_stations", "v_station_obs") + _OBS_AT + """, j AS (SELECT obs_date AS date, lat + dip_ugl / 10000 AS lat, lon + dip_ugl / 10000 AS lon, salinity FROM p)
+    SELECT CAST(min(date) AS VARCHAR) AS date, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(quantile_cont(salinity, 0.5), 6) AS salinity FROM j GROUP BY round(lat, 2), round(lon, 2)""",
+)
+def scene_composite(spark, d):
+    jitter = F.col("dip_ugl") / 10000
+    points = located_obs(spark, d).select(
+        F.col("obs_date").alias("date"), (F.col("lat") + jitter).alias("lat"), (F.col("lon") + jitter).alias("lon"), "salinity"
+    )
+    return sp.scene_composite(points, "salinity").select(day(), r6("lat"), r6("lon"), r6("salinity"))
+
+
+@query(
+    "scene_filter",
+    """WITH x AS (SELECT event_id, CAST(ts AS DATE) AS date, (CAST(json_extract(props, '$.k') AS BIGINT) * 8 + user_id) AS flag, value FROM events), g AS (SELECT date FROM x GROUP BY 1 HAVING avg(CASE WHEN (flag & 807) = 0 THEN 1.0 ELSE 0.0 END) >= 0.01 AND avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END) >= 0.8)
+    SELECT event_id, CAST(date AS VARCHAR) AS date FROM x JOIN g USING (date)""",
+)
+def scene_filter(spark, d):
+    pixels = table(spark, d, "events").select(
+        "event_id", F.col("ts").cast("date").alias("date"), (F.get_json_object("props", "$.k").cast("bigint") * 8 + F.col("user_id")).alias("flag"), "value"
+    )
+    kept = sp.keep_scenes(pixels, "date", optics.clear_pixel(F.col("flag")), F.col("value") > 10, 0.01, 0.8)
+    return kept.select("event_id", day())
+
+
+@query(
+    "spatial_gradient",
+    cte("v_dense") + """, f AS (SELECT date, row_idx, col_idx, coalesce(sst, avg(sst) OVER (PARTITION BY date)) AS v FROM v_dense),
+    n AS (SELECT *, lag(v) OVER r AS xl, lead(v) OVER r AS xr, lag(v) OVER c AS yl, lead(v) OVER c AS yr FROM f WINDOW r AS (PARTITION BY date, row_idx ORDER BY col_idx), c AS (PARTITION BY date, col_idx ORDER BY row_idx)),
+    g AS (SELECT date, row_idx, col_idx, coalesce((xr - xl) / 2.0, xr - v, v - xl, 0) AS gx, coalesce((yr - yl) / 2.0, yr - v, v - yl, 0) AS gy FROM n)
+    SELECT CAST(date AS VARCHAR) AS date, row_idx, col_idx, round(sqrt(gx * gx + gy * gy), 6) AS gradient FROM g""",
+)
+def spatial_gradient(spark, d):
+    g = sp.spatial_gradient(dense_daily(spark, d), "sst")
+    return g.select(day(), "row_idx", "col_idx", r6("gradient"))
+
+
+_GRID8 = "g AS (SELECT CAST(i // 8 AS INT) AS row_idx, CAST(i % 8 AS INT) AS col_idx, CAST(34 AS DOUBLE) + (i // 8) * CAST({dy!r} AS DOUBLE) AS glat, CAST(125.3 AS DOUBLE) + (i % 8) * CAST({dx!r} AS DOUBLE) AS glon FROM (SELECT unnest(range(64)) AS i))".format(
+    dy=(36.8 - 34.0) / 7, dx=(128.0 - 125.3) / 7
+)
+
+
+@query(
+    "idw_grid",
+    cte("v_daily", "v_stations", "v_station_obs") + f""", t AS (SELECT DISTINCT date FROM v_daily), {_GRID8},
+    o AS (SELECT station_id, obs_date, l_linenumber % 2 AS rk, min(salinity) AS v FROM v_station_obs GROUP BY 1, 2, 3),
+    w AS (SELECT t.date, o.station_id, o.v, row_number() OVER (PARTITION BY t.date, o.station_id ORDER BY rk, o.obs_date, o.v) AS k FROM t JOIN o ON o.obs_date BETWEEN t.date - 7 AND t.date + 7),
+    c AS (SELECT w.date, row_idx, col_idx, w.v, sqrt((glat - s.lat) * (glat - s.lat) + (glon - s.lon) * (glon - s.lon)) AS dist, w.station_id FROM w JOIN v_stations s USING (station_id) CROSS JOIN g WHERE k = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY date, row_idx, col_idx ORDER BY dist, station_id) AS rn FROM c)
+    SELECT CAST(date AS VARCHAR) AS date, row_idx, col_idx, round(sum(v / pow(greatest(dist, 1e-6), 2)) / sum(1 / pow(greatest(dist, 1e-6), 2)), 6) AS value, count(*) AS n_points FROM r WHERE rn <= 10 GROUP BY 1, 2, 3""",
+)
+def idw_grid(spark, d):
+    """Salinity on an 8 x 8 grid for every date, from the readings of the surrounding week."""
+    dates = view(spark, d, "v_daily").select("date").distinct()
+    points = located_obs(spark, d).select(
+        F.col("station_id").alias("loc_id"), "lat", "lon", F.col("obs_date").alias("date"),
+        (F.col("l_linenumber") % 2).alias("source_rank"), F.col("salinity").alias("value"),
+    )
+    near = first_in_window(points, dates, ["loc_id", "lat", "lon"], 7)
+    out = sp.interpolate_grid(near, BOX, 8, 8, ("date",))
+    return out.select(day(), "row_idx", "col_idx", r6("value"), "n_points")
+
+
+# measure, line numbers that carry it, expression over v_station_obs
+_MEASURES = [
+    ("water_temp", (1, 2), "water_temp"), ("salinity", (1, 2), "salinity"), ("dissolved_oxygen", (1, 2), "dissolved_oxygen"),
+    ("no3_nitrogen", (2,), "din_ugl * CAST(0.8 AS DOUBLE)"), ("nh4_nitrogen", (2,), "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE din_ugl * CAST(0.2 AS DOUBLE) END"), ("dip", (2,), "dip_ugl"),
+    ("sio2", (2,), "din_ugl / 4"), ("ph", (2,), "7 + dip_ugl / 100"), ("turbidity", (2,), "dip_ugl / 3"), ("chlorophyll_a", (2,), "salinity / 10"),
+    ("precipitation_mm", (3,), "dip_ugl / 20"), ("solar_radiation_mjm2", (3,), "din_ugl / 20"), ("avg_wind_speed", (3,), "dissolved_oxygen"),
+    ("wind_dir_deg", (3,), "din_ugl"), ("avg_temp", (3,), "salinity / 2"),
+    ("current_u", (4,), "dissolved_oxygen / 10"), ("current_v", (4,), "dip_ugl / 30"), ("mld", (4,), "din_ugl / 6"),
+    ("nir_idx", (5,), "dip_ugl / 33"),
+]
+
+
+def _rank(line: int) -> int:
+    return line - 1
+
+
+def _measure_sql() -> str:
+    parts = []
+    for name, lines, expr in _MEASURES:
+        for line in lines:
+            parts.append(f"SELECT station_id, obs_date, {_rank(line)} AS rk, '{name}' AS measure, {expr} AS v FROM v_station_obs WHERE l_linenumber = {line}")
+    for name, fn in (("wind_dir_sin", "sin"), ("wind_dir_cos", "cos")):
+        parts.append(f"SELECT station_id, obs_date, 2, '{name}', {fn}(radians(din_ugl)) FROM v_station_obs WHERE l_linenumber = 3")
+    return " UNION ALL ".join(parts)
+
+
+_RULES = ", ".join(f"('{c}', '{m}', {min(r)}, {max(r)}, {tol})" for c, (m, r, tol) in cb.RAW_CHANNELS.items())
+_PIVOT = ", ".join(f"max(CASE WHEN channel = '{c}' THEN v END) AS {c}" for c in cb.RAW_CHANNELS)
+_CUBE = (
+    cte("v_stations", "v_station_obs") + f""", {_GRID8}, t AS (SELECT DISTINCT CAST(date_trunc('month', obs_date) AS DATE) AS date FROM v_station_obs), raw AS ({_measure_sql()}),
+ once AS (SELECT station_id, obs_date, rk, measure, min(v) AS v FROM raw WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4), rules(channel, measure, r0, r1, tol) AS (VALUES {_RULES}),
+ w AS (SELECT t.date, c.channel, o.station_id, o.v, row_number() OVER (PARTITION BY t.date, c.channel, o.station_id ORDER BY o.rk, o.obs_date, o.v) AS k FROM rules c JOIN once o ON o.measure = c.measure AND o.rk BETWEEN c.r0 AND c.r1 JOIN t ON o.obs_date BETWEEN t.date - CAST(c.tol AS INT) AND t.date + CAST(c.tol AS INT)),
+ x AS (SELECT w.date, w.channel, row_idx, col_idx, w.v, sqrt((glat - s.lat) * (glat - s.lat) + (glon - s.lon) * (glon - s.lon)) AS dist, w.station_id FROM w JOIN v_stations s USING (station_id) CROSS JOIN g WHERE k = 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY date, channel, row_idx, col_idx ORDER BY dist, station_id) AS rn FROM x),
+ i AS (SELECT date, channel, row_idx, col_idx, sum(v / pow(greatest(dist, 1e-6), 2)) / sum(1 / pow(greatest(dist, 1e-6), 2)) AS v FROM r WHERE rn <= 10 GROUP BY 1, 2, 3, 4),
+ wide0 AS (SELECT date, row_idx, col_idx, {_PIVOT} FROM i GROUP BY 1, 2, 3),
+ wide AS (SELECT * REPLACE (coalesce(precipitation, 0) AS precipitation), CASE WHEN no3_nitrogen IS NOT NULL OR nh4_nitrogen IS NOT NULL THEN coalesce(no3_nitrogen, 0) + coalesce(nh4_nitrogen, 0) END AS din,
+   sin(2 * pi() * (month(date) - 1) / 12) AS month_sin, cos(2 * pi() * (month(date) - 1) / 12) AS month_cos, sqrt(current_u * current_u + current_v * current_v) AS current_speed, row_number() OVER c AS p,
+   avg(sst) OVER (c ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sst_7d_avg, avg(sst) OVER (c ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS sst_30d_avg, avg(chlorophyll_a) OVER (c ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS chl_7d_avg,
+   avg(nir_idx) OVER (c ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS nir_7d_avg, coalesce(sst, avg(sst) OVER (PARTITION BY date)) AS sf FROM wide0 WINDOW c AS (PARTITION BY row_idx, col_idx ORDER BY date)),
+ z AS (SELECT *, CASE WHEN dip > 0 THEN din / dip END AS np_ratio, sst - sst_30d_avg AS sst_anomaly, p - last_value(CASE WHEN precipitation > 0.5 OR p = 1 THEN p END IGNORE NULLS) OVER (PARTITION BY row_idx, col_idx ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS days_since_rain,
+   lag(sf) OVER rr AS xl, lead(sf) OVER rr AS xr, lag(sf) OVER cc AS yl, lead(sf) OVER cc AS yr FROM wide WINDOW rr AS (PARTITION BY date, row_idx ORDER BY col_idx), cc AS (PARTITION BY date, col_idx ORDER BY row_idx)),
+ y AS (SELECT *, sqrt(pow(coalesce((xr - xl) / 2.0, xr - sf, sf - xl, 0), 2) + pow(coalesce((yr - yl) / 2.0, yr - sf, sf - yl, 0), 2)) AS sst_gradient FROM z) """
+)
+
+
+@query(
+    "channel_cube",
+    _CUBE + "SELECT CAST(date AS VARCHAR) AS date, row_idx, col_idx, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in fx.CHANNELS) + " FROM y",
+)
+def channel_cube(spark, d):
+    """All 32 channels on an 8 x 8 grid for the first day of every month."""
+    obs = located_obs(spark, d)
+    dates = obs.select(F.trunc("obs_date", "month").alias("date")).distinct()
+    entries = []
+    for name, lines, expr in _MEASURES:
+        value = F.when(F.col("l_linenumber").isin(*lines), F.expr(expr))
+        entries.append(F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value")))
+    measures = obs.select(
+        F.col("station_id").alias("loc_id"), "lat", "lon", F.col("obs_date").alias("date"),
+        (F.col("l_linenumber") - 1).alias("source_rank"), F.inline(F.array(*entries)),
+    ).filter(F.col("value").isNotNull())
+    cube = cb.channel_cube(measures, dates, cb.Grid(BOX, 8, 8))
+    return cube.select(day(), "row_idx", "col_idx", *[r6(c) for c in fx.CHANNELS])
+
+
+_LONG = ", l AS (SELECT date, cell_id, 'din' AS channel, din AS value FROM v_dense UNION ALL SELECT date, cell_id, 'sst', sst FROM v_dense)"
+
+
+def _long(spark, d):
+    return cb.to_long(dense_daily(spark, d), ["date", "cell_id"], ["din", "sst"])
+
+
+def _stats(df):
+    return df.select("channel", *([c for c in ["n"] if c in df.columns]), *[r6(c) for c in ("mean", "std", "min", "max")])
+
+
+@query(
+    "norm_stats",
+    cte("v_dense") + _LONG + " SELECT channel, count(value) AS n, round(avg(value), 6) AS mean, round(greatest(sqrt(greatest(sum(value * value) / count(value) - avg(value) * avg(value), 0)), 1e-8), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM l GROUP BY 1",
+)
+def norm_stats(spark, d):
+    return _stats(cb.norm_stats(_long(spark, d)))
+
+
+@query("norm_stats_batch", cte("v_dense") + _LONG + " SELECT channel, round(avg(value), 6) AS mean, round(stddev_pop(value) + 1e-8, 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM l GROUP BY 1")
+def norm_stats_batch(spark, d):
+    return _stats(cb.norm_stats_batch(_long(spark, d)))
+
+
+@query(
+    "norm_stats_merge",
+    cte("v_dense") + _LONG + ", m AS (SELECT * FROM l UNION ALL SELECT date, cell_id, 'flat', CAST(3 AS DOUBLE) FROM v_dense) SELECT channel, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) <= 1e-8 THEN 1 ELSE stddev_pop(value) END, 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM m GROUP BY 1",
+)
+def norm_stats_merge(spark, d):
+    cube = dense_daily(spark, d).withColumn("flat", F.lit(3.0))
+    return _stats(cb.norm_stats_merge(cb.to_long(cube, ["date", "cell_id"], ["din", "sst", "flat"])))
+
+
+@query(
+    "zscore_scale",
+    cte("v_dense") + _LONG + ", s AS (SELECT channel, avg(value) AS m, stddev_pop(value) AS sd FROM l GROUP BY 1) SELECT CAST(date AS VARCHAR) AS date, cell_id, channel, round((value - m) / sd, 6) AS scaled FROM l JOIN s USING (channel) WHERE value IS NOT NULL",
+)
+def zscore_scale(spark, d):
+    long = _long(spark, d).filter(F.col("value").isNotNull())
+    return cb.zscore_scale(long, cb.norm_stats(long)).select(day(), "cell_id", "channel", r6("scaled"))
+
+
+@query(
+    "patch_cells",
+    cte("v_daily") + """, a(patch_id, r, c) AS (VALUES (0, 0, 0), (1, 1, 2), (2, 2, 1)) SELECT CAST(date AS VARCHAR) AS date, patch_id, CAST(row_idx - r AS INT) AS patch_row, CAST(col_idx - c AS INT) AS patch_col, round(sst, 6) AS sst FROM v_daily JOIN a ON row_idx BETWEEN r AND r + 2 AND col_idx BETWEEN c AND c + 2""",
+)
+def patch_cells(spark, d):
+    from ..operators.dataset import patch_cells as patches
+
+    p = patches(view(spark, d, "v_daily"), [(0, 0), (1, 2), (2, 1)], 3)
+    return p.select(day(), "patch_id", F.col("patch_row").cast("int").alias("patch_row"), F.col("patch_col").cast("int").alias("patch_col"), r6("sst"))

@@ -1 +1,162 @@
-"""placeholder"""
+"""Streaming jobs fed by the given tables in time order; each must equal its batch counterpart."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import risk
+from ..operators.temporal import first_per_key
+from ..plans.frames import staging_path
+from ..streaming import jobs
+from ..streaming.carry import output_of
+from .base import cte, cte_recursive, day, dense_daily, query, r6, table, view
+from .features import alert_feed as _batch_alerts
+from .quality import _ALL, _R, _WIN, field_readings
+from .seasons import _ADI, _FF, _W
+from .tables import requests
+
+SLICES = 3
+
+
+def feed(df, order, label, slices=SLICES):
+    """Write ``df`` in time slices, one after the other, and read the folder as a stream of one slice per batch."""
+    spark = df.sparkSession
+    path = staging_path(spark, f"feed-{label}")
+    cut = F.percentile_approx(F.unix_date(F.col(order).cast("date")), [i / slices for i in range(1, slices)], 1000)
+    points = df.select(cut.alias("p")).first()["p"]
+    number = F.unix_date(F.col(order).cast("date"))
+    piece = F.lit(0)
+    for p in points:
+        piece = piece + (number > p).cast("int")
+    for i in range(slices):
+        df.filter(piece == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def finished(spark, job, path):
+    job.awaitTermination()
+    return output_of(spark, path)
+
+
+def last_updates(df, keys):
+    """The final row per key of an update-mode result."""
+    return first_per_key(df.withColumn("_b", -F.col("batch")), keys, ["_b"]).drop("_b")
+
+
+@query("stream_dedup", "SELECT event_id, user_id, value FROM events")
+def stream_dedup(spark, d):
+    """Every reading is polled twice; each must land once."""
+    events = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    path = staging_path(spark, "dedup")
+    stream = feed(events.unionByName(events), "ts", "dedup")
+    return finished(spark, jobs.dedup(stream, ["user_id"], "ts", path), path).select("event_id", "user_id", "value")
+
+
+@query("stream_outliers", cte("v_readings") + _R + _WIN + _ALL + " SELECT event_id, sensor_id, field, value, anomaly_type, severity, threshold FROM flags")
+def stream_outliers(spark, d):
+    path = staging_path(spark, "outliers")
+    stream = feed(field_readings(spark, d), "observed_at", "outliers")
+    out = finished(spark, jobs.outliers(stream, ["sensor_id"], ["observed_at", "event_id"], path), path)
+    return out.select("event_id", "sensor_id", "field", "value", "anomaly_type", "severity", "threshold")
+
+
+@query("stream_adi", cte_recursive("v_dense") + _ADI + " SELECT CAST(date AS VARCHAR) AS date, cell_id, CAST(season AS INT) AS season, round(adi, 6) AS adi FROM walk")
+def stream_adi(spark, d):
+    path = staging_path(spark, "adi")
+    stream = feed(dense_daily(spark, d).select("date", "cell_id", "din", "sst"), "date", "adi")
+    out = finished(spark, jobs.deficit_index(stream, ["cell_id"], path), path)
+    return out.select(day(), "cell_id", "season", r6("adi"))
+
+
+@query(
+    "stream_perf",
+    cte("v_scores") + """, w AS (SELECT pred_id, count(*) OVER v AS win_n, avg(latency_ms) OVER v AS lm, avg(warn) OVER v AS sm, list(latency_ms) OVER v AS l FROM v_scores WINDOW v AS (PARTITION BY farm_id % 7 ORDER BY date, pred_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
+    SELECT pred_id, win_n, round(lm, 6) AS latency_mean, round(sm, 6) AS score_mean, list_sort(l)[CAST(least(win_n * 95 // 100, win_n - 1) + 1 AS INT)] AS latency_p95 FROM w""",
+)
+def stream_perf(spark, d):
+    path = staging_path(spark, "perf")
+    scores = view(spark, d, "v_scores").withColumn("model", F.col("farm_id") % 7)
+    job = jobs.monitor(feed(scores, "date", "perf"), ["model"], ["date", "pred_id"], "latency_ms", "warn", path)
+    return finished(spark, job, path).select("pred_id", "win_n", r6("latency_mean"), r6("score_mean"), "latency_p95")
+
+
+@query(
+    "stream_latest",
+    cte("v_readings") + "SELECT sensor_id, event_id, field, value FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY observed_at DESC, event_id DESC) AS rn FROM v_readings) WHERE rn = 1",
+)
+def stream_latest(spark, d):
+    path = staging_path(spark, "latest")
+    job = jobs.latest(feed(view(spark, d, "v_readings"), "observed_at", "latest"), ["sensor_id"], ["observed_at", "event_id"], path)
+    return last_updates(finished(spark, job, path), ["sensor_id"]).select("sensor_id", "event_id", "field", "value")
+
+
+@query("stream_rate_limit")
+def stream_rate_limit(spark, d):
+    """At most two admitted requests per user in twelve hours; checked against a replay in the tests."""
+    path = staging_path(spark, "rate")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    r = requests(spark, d).select("event_id", "user_id", "ts", "micros", F.lit(2).alias("limit"))
+    jobs.rate_limit(feed(r, "ts", "rate").drop("ts"), ["user_id"], path, 43_200).awaitTermination()
+    return spark.read.schema("event_id BIGINT, allowed BOOLEAN").parquet(f"{path}/out")
+
+
+@query(
+    "stream_norm_stats",
+    "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY 1",
+)
+def stream_norm_stats(spark, d):
+    path = staging_path(spark, "stats")
+    stream = feed(table(spark, d, "events").select("ts", "event_type", "value"), "ts", "stats")
+    out = finished(spark, jobs.running_statistics(stream, "event_type", "value", path), path)
+    return last_updates(out, ["event_type"]).select("event_type", "n", r6("mean"), r6("std"), "min", "max")
+
+
+@query("stream_daily_composite", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, user_id, round(quantile_cont(value, 0.5), 6) AS value FROM events GROUP BY 1, 2")
+def stream_daily_composite(spark, d):
+    path = staging_path(spark, "composite")
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    out = finished(spark, jobs.daily_composite(feed(events, "ts", "composite"), "ts", ["user_id"], "value", path), path)
+    return last_updates(out, ["date", "user_id"]).select(day(), "user_id", r6("value"))
+
+
+@query(
+    "stream_rain24",
+    """WITH w AS (SELECT event_type, value, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOURS, INTERVAL 1 HOUR)) AS e FROM events)
+    SELECT strftime(e, '%Y-%m-%d %H') AS window_end, event_type, round(sum(value), 6) AS total FROM w GROUP BY 1, 2""",
+)
+def stream_rain24(spark, d):
+    path = staging_path(spark, "rain")
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    out = finished(spark, jobs.rain_24h(feed(events, "ts", "rain"), "ts", ["event_type"], "value", path), path)
+    return last_updates(out, ["window_end", "event_type"]).select(
+        F.date_format("window_end", "yyyy-MM-dd HH").alias("window_end"), "event_type", r6("total")
+    )
+
+
+@query(
+    "stream_ffill",
+    cte("v_dense") + f""", n AS (SELECT *, row_number() OVER ({_W}) AS p, {_FF} AS ff FROM v_dense) SELECT CAST(date AS VARCHAR) AS date, cell_id, round(ff, 6) AS value,
+    p - last_value(CASE WHEN coalesce(din, 0) / 100 > 0.5 OR p = 1 THEN p END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dry FROM n""",
+)
+def stream_ffill(spark, d):
+    path = staging_path(spark, "fill")
+    daily = dense_daily(spark, d).select("date", "cell_id", "din", (F.coalesce("din", F.lit(0.0)) / 100).alias("rain"))
+    out = finished(spark, jobs.fill_and_count(feed(daily, "date", "fill"), ["cell_id"], "din", "rain", path), path)
+    return out.select(day(), "cell_id", r6("value"), "dry")
+
+
+@query(
+    "stream_alerts",
+    cte("v_scores") + """, n AS (SELECT * FROM (SELECT s.*, e.ts, row_number() OVER (ORDER BY e.ts DESC, pred_id DESC) AS rn FROM v_scores s JOIN events e ON e.event_id = s.pred_id) WHERE rn <= 60),
+    a AS (SELECT *, row_number() OVER (ORDER BY ts DESC, pred_id DESC) - 1 AS alert_no FROM n WHERE warn >= 0.3) SELECT pred_id, alert_no, CASE WHEN warn >= .8 THEN 'DANGER' WHEN warn >= .6 THEN 'WARNING' ELSE 'CAUTION' END AS severity FROM a WHERE alert_no < 20""",
+)
+def stream_alerts(spark, d):
+    path = staging_path(spark, "alerts")
+    warn = F.col("value") / (F.col("value") + 30.0)
+    events = table(spark, d, "events").select(F.col("event_id").alias("pred_id"), "ts", risk.severity_band(warn).alias("severity"))
+    out = finished(spark, jobs.alerts(feed(events, "ts", "alerts"), ["ts", "pred_id"], "severity", path), path)
+    newest = out.select(F.max("batch")).scalar()
+    return out.filter(F.col("batch") == newest).select("pred_id", F.col("alert_no").cast("bigint").alias("alert_no"), "severity")
+
+
+_ = _batch_alerts

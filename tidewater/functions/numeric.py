@@ -84,13 +84,13 @@ def lookup(value: Column, table: Mapping, default=None) -> Column:
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """Half-up rounding after removing binary noise beyond twelve places."""
-    return F.round(F.round(value, 12), digits)
+    """Half-up rounding after removing binary noise beyond ten places."""
+    return F.round(F.round(value, 10), digits)
 
 
 def round_even(value: Column, digits: int) -> Column:
-    """Half-to-even rounding after removing binary noise beyond twelve places."""
-    return F.bround(F.round(value, 12), digits)
+    """Half-to-even rounding after removing binary noise beyond ten places."""
+    return F.bround(F.round(value, 10), digits)
 
 
 def softmax(values: Column) -> Column:

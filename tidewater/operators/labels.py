@@ -18,11 +18,13 @@ def adi_index(
     threshold: float = fx.DIN_DEFICIT_UGL,
     decay: float = fx.ADI_DECAY,
     ceiling: float = fx.ADI_CEILING,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
     """Accumulated deficit per cell and date of the harvest season.
 
     A day with a deficit (or no reading) adds the day's weight up to ``ceiling``; any other day multiplies the
     index by ``decay``. Each (cell, season) history is at most one season long, and is folded as one array.
+    ``carry`` (cell, season, adi) continues histories that an earlier call has already walked.
     """
     weights = day_weight(dense)
     days = (
@@ -43,7 +45,12 @@ def adi_index(
             F.concat(state.path, F.array(F.struct(day.date.alias("date"), now.alias("adi")))).alias("path"),
         )
 
-    start = F.struct(F.lit(0.0).alias("adi"), F.array().cast("array<struct<date:date,adi:double>>").alias("path"))
+    if carry is None:
+        history = history.withColumn("_start", F.lit(0.0))
+    else:
+        known = carry.select(*cell, "season", F.col("adi").alias("_start"))
+        history = history.join(known, [*cell, "season"], "left").withColumn("_start", F.coalesce("_start", F.lit(0.0)))
+    start = F.struct(F.col("_start").alias("adi"), F.array().cast("array<struct<date:date,adi:double>>").alias("path"))
     folded = history.select(*cell, "season", F.aggregate("_days", start, step, lambda s: s.path).alias("_path"))
     return folded.select(*cell, "season", F.inline("_path"))
 

@@ -134,18 +134,17 @@ def farm_series(pack: DataFrame, masked: DataFrame, start: Column | None = None,
     )
 
 
-def pack_documents(pack: DataFrame, farms_per_document: int = 20_000) -> DataFrame:
+def pack_documents(pack: DataFrame, farms_per_document: int = 20_000, bare_stage: bool = False) -> DataFrame:
     """Pack JSON documents ``{date: {gid: entry}}``; a large date is spread over several documents.
 
     The number of documents per date follows from that date's farm count, so no document grows without bound, and
-    readers merge documents of one date.
+    readers merge documents of one date. ``bare_stage`` writes the older form, where an entry is just its stage.
     """
     sizes = pack.groupBy("date").agg(F.count("*").alias("_n"))
     parts = F.ceil(F.col("_n") / F.lit(farms_per_document))
     placed = pack.join(sizes, "date").withColumn("part", F.pmod(F.xxhash64("gid"), parts).cast("int"))
-    entry = F.struct(
-        F.col("gid").cast("string"), F.struct(*[c for c in ("stage", "warn", "severe", "adi7") if c in pack.columns])
-    )
+    fields = [c for c in ("stage", "warn", "severe", "adi7") if c in pack.columns]
+    entry = F.struct(F.col("gid").cast("string"), F.col("stage") if bare_stage else F.struct(*fields))
     farms = F.map_from_entries(F.array_sort(F.collect_list(entry)))
     return (
         placed.groupBy("date", "part")

@@ -17,12 +17,12 @@ def split_sections(docs: DataFrame, doc: list[str], title: str, body: str) -> Da
 
     Sections are found inside the row by splitting in front of heading lines, so a document never leaves its row.
     """
-    marked = F.regexp_replace(tx.strip_controls(F.col(body)), r"(?m)^(#{1,3}\s+[^\n]+)$", "\x1e$1")
+    marked = F.regexp_replace(tx.strip_controls(F.col(body)), r"(?m)^(#{1,3}[ \t]+[^\n]+)$", "\x1e$1")
     pieces = F.split(marked, "\x1e")
     sections = docs.select(*doc, title, F.posexplode(pieces).alias("section_no", "_s"))
-    heading = F.regexp_extract("_s", r"^#{1,3}\s+([^\n]+)", 1)
-    has_heading = F.col("_s").rlike(r"^#{1,3}\s+[^\n]+(\n|$)") & (F.col("section_no") > 0)
-    content = F.when(has_heading, F.regexp_replace("_s", r"^#{1,3}\s+[^\n]+\n?", "")).otherwise(F.col("_s"))
+    heading = F.regexp_extract("_s", r"^#{1,3}[ \t]+([^\n]+)", 1)
+    has_heading = F.col("_s").rlike(r"^#{1,3}[ \t]+[^\n]+(\n|$)") & (F.col("section_no") > 0)
+    content = F.when(has_heading, F.regexp_replace("_s", r"^#{1,3}[ \t]+[^\n]+\n?", "")).otherwise(F.col("_s"))
     return (
         sections.withColumn("section_title", F.when(has_heading, F.ltrim(F.trim(heading), F.lit("#"))).otherwise(F.col(title)))
         .withColumn("section_title", F.trim("section_title"))
