@@ -78,7 +78,7 @@ def channel_points(measures: DataFrame, dates: DataFrame, channels: dict = RAW_C
 def raw_cube(measures: DataFrame, dates: DataFrame, grid: Grid, k: int = 10, channels: dict = RAW_CHANNELS) -> DataFrame:
     """Interpolated raw channels, long: date, channel, row_idx, col_idx, value."""
     points = channel_points(measures, dates, channels)
-    return interpolate_grid(points, grid.box, grid.h, grid.w, ("date", "channel"), k).drop("n_points")
+    return interpolate_grid(points, grid.box, grid.h, grid.w, ("date", "channel"), k, universe=("channel",)).drop("n_points")
 
 
 def derive_channels(wide: DataFrame) -> DataFrame:
