@@ -48,8 +48,27 @@ def query(key: str, oracle: str | None = None):
     return register
 
 
+# Columns of the given tables; an explicit schema spares a footer read per scan
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+    "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
 # Binding views, identical in meaning in both engines: name -> (views it uses, SQL)
@@ -159,9 +178,9 @@ def view(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def dense_daily(spark: SparkSession, d: str) -> DataFrame:
     """Every (date, cell) of the calendar with its reading, if any."""
-    from ..plans.frames import calendar
+    from ..plans.frames import calendar, staged
 
-    daily = view(spark, d, "v_daily")
+    daily = staged(view(spark, d, "v_daily"), "daily")  # read for dates, cells and values
     cells = calendar(daily, ["cell_id"])
     return cells.join(daily.select("date", "cell_id", "din", "sst"), ["date", "cell_id"], "left").select(
         "date", "cell_id", F.floor(F.col("cell_id") / 5).cast("int").alias("row_idx"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
 from ..functions.numeric import guarded_ratio, month_cycle, round_half_up, sum_present, wind_vector
+from ..plans.frames import staged
+from ..plans.ordering import exact_quantiles
 from .spatial import interpolate_grid, spatial_gradient
 from .temporal import days_since_rain, first_in_window, forward_fill, rolling_means
 
@@ -189,8 +191,7 @@ def merge_prefer_new(old: DataFrame, new: DataFrame, date: str = "date") -> Data
 
 def label_percentiles(daily_means: DataFrame, label: str, value: str) -> DataFrame:
     """Size, mean, deviation and linear percentiles of a value per label, rounded to four places."""
-    from ..plans.ordering import exact_quantiles
-
+    daily_means = staged(daily_means, "daily-means")  # one row per day, read twice below
     quantiles = exact_quantiles(
         daily_means, [label], value, {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
     )

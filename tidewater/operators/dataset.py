@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.frames import staged
 from ..plans.ordering import exact_quantiles, row_index
 
 
@@ -57,6 +58,7 @@ def sliding_windows(
 
 def stratified_split(starts: DataFrame, label: str = "label", val_ratio: float = 0.2) -> DataFrame:
     """First part of each label's starts to train, the rest to val."""
+    starts = staged(starts, "starts")  # at most one row per day, read several times below
     placed = row_index(starts, [label], [("t", True)], "_pos")
     sizes = starts.groupBy(label).agg(F.count("*").alias("_n"))
     cut = F.floor(F.col("_n") * (1 - val_ratio) + F.lit(1e-9))
