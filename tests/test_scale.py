@@ -137,3 +137,16 @@ def test_rate_limiter_stream_equals_a_replay(spark):
         want[i] = len(kept) < limit
         log[user] = kept + [micros] * want[i]
     assert got == want
+
+
+def test_long_tolerance_pass_equals_the_range_join(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(5), rnd.randrange(400), rnd.randrange(2), rnd.random()) for _ in range(300)]
+    points = spark.createDataFrame(rows, "loc INT, n INT, source_rank INT, value DOUBLE").withColumn(
+        "date", F.expr("date_add(DATE '2024-01-01', n)")
+    )
+    dates = spark.range(0, 400, 7).select(F.expr("date_add(DATE '2024-01-01', CAST(id AS INT))").alias("date"))
+    ordered = temporal.first_in_window(points, dates, ["loc"], 12)
+    paired = temporal.first_in_window(points, dates, ["loc"], 12, pairs_up_to=12)
+    cols = ["date", "loc", "value"]
+    assert ordered.count() > 0 and same(ordered.select(cols), paired.select(cols))

@@ -23,7 +23,7 @@ def sanitize_page(text: Column) -> Column:
 
 
 def _pack(pieces: Column, glue: str, limit: int, start: Column) -> Column:
-    """Greedy packing of an array of strings; emits (closed chunks, open buffer)."""
+    """Greedy packing of an array of strings into chunks."""
 
     def step(state, piece):
         joined = F.when(state.buf == "", piece).otherwise(F.concat(state.buf, F.lit(glue), piece))
@@ -34,7 +34,12 @@ def _pack(pieces: Column, glue: str, limit: int, start: Column) -> Column:
             F.when(fits, joined).otherwise(piece).alias("buf"),
         )
 
-    return F.aggregate(pieces, start, step)
+    return F.aggregate(pieces, start, step, _all_chunks)
+
+
+def _all_chunks(state) -> Column:
+    """Closed chunks and, if there is one, the open buffer."""
+    return F.when(state.buf == "", state.out).otherwise(F.concat(state.out, F.array(state.buf)))
 
 
 def chunk_text(text: Column, limit: int = fx.MAX_CHUNK_CHARS) -> Column:
@@ -49,20 +54,14 @@ def chunk_text(text: Column, limit: int = fx.MAX_CHUNK_CHARS) -> Column:
         joined = F.when(state.buf == "", paragraph).otherwise(F.concat(state.buf, F.lit("\n"), paragraph))
         fits = F.length(state.buf) + F.length(paragraph) + 1 <= limit
         closed = F.when(state.buf == "", state.out).otherwise(F.concat(state.out, F.array(state.buf)))
-        sentences = _pack(F.split(paragraph, r"(?<=[.!?다])\s+"), " ", limit, empty)
-        cut = F.concat(
-            sentences["out"], F.when(sentences["buf"] == "", F.array().cast("array<string>")).otherwise(F.array(sentences["buf"]))
-        )
+        cut = _pack(F.split(paragraph, r"(?<=[.!?다])\s+"), " ", limit, empty)
         long = F.length(paragraph) > limit
         return F.struct(
             F.when(fits, state.out).when(long, F.concat(closed, cut)).otherwise(closed).alias("out"),
             F.when(fits, joined).when(long, F.lit("")).otherwise(paragraph).alias("buf"),
         )
 
-    def finish(state):
-        return F.when(state.buf == "", state.out).otherwise(F.concat(state.out, F.array(state.buf)))
-
-    packed = F.aggregate(paragraphs, empty, step, finish)
+    packed = F.aggregate(paragraphs, empty, step, _all_chunks)
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
 
 

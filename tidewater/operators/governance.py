@@ -12,28 +12,36 @@ from ..functions.numeric import lookup
 CONTEXT_REQUEST = "llm_context"
 
 
-def policy_columns(request_type: Column, payload: Column) -> dict[str, Column]:
-    """Decision, kept payload, removed keys and risk of a map payload."""
+def removed_fields(request_type: Column, payload: Column) -> Column:
+    """Payload keys the policy takes out: personal fields, and for context requests whatever is not allow-listed."""
     keys = F.map_keys(payload)
-    pii = F.array(*[F.lit(x) for x in fx.PII_FIELDS])
-    allowed = F.array(*[F.lit(x) for x in fx.AGGREGATE_FIELDS])
-    personal = F.array_intersect(keys, pii)
-    extra = F.when(
-        request_type == CONTEXT_REQUEST, F.array_except(F.array_except(keys, pii), allowed)
-    ).otherwise(F.array().cast("array<string>"))
-    removed = F.concat(personal, extra)
-    blocked = request_type.isin(*fx.BLOCKED_REQUEST_TYPES)
-    none = F.array().cast("array<string>")
-    return {
-        "action": F.when(blocked, "block").when(F.size(removed) > 0, "filtered").otherwise("allow"),
-        "kept": F.when(~blocked, F.map_filter(payload, lambda k, v: ~F.array_contains(removed, k))),
-        "removed": F.when(blocked, none).otherwise(removed),
-        "risk_level": F.when(blocked, "high").when(F.size(removed) > 2, "medium").otherwise("low"),
-    }
+    personal = F.filter(keys, lambda k: k.isin(*fx.PII_FIELDS))
+    unlisted = F.filter(keys, lambda k: ~k.isin(*fx.PII_FIELDS) & ~k.isin(*fx.AGGREGATE_FIELDS))
+    return F.when(request_type == CONTEXT_REQUEST, F.concat(personal, unlisted)).otherwise(personal)
 
 
 def policy_evaluate(requests: DataFrame, request_type: str = "request_type", payload: str = "payload") -> DataFrame:
-    return requests.withColumns(policy_columns(F.col(request_type), F.col(payload)))
+    """Decision, kept payload, removed keys and risk of a map payload."""
+    kind = F.col(request_type)
+    blocked = kind.isin(*fx.BLOCKED_REQUEST_TYPES)
+    none = F.array().cast("array<string>")
+    # A column of its own, so that the four results below share one evaluation
+    listed = requests.withColumn(
+        "removed", F.when(blocked, none).otherwise(removed_fields(kind, F.col(payload)))
+    )
+    found = F.size("removed")
+    return listed.withColumns(
+        {
+            "action": F.when(blocked, "block").when(found > 0, "filtered").otherwise("allow"),
+            "kept": F.when(~blocked, F.map_filter(payload, lambda k, v: ~F.array_contains(F.col("removed"), k))),
+            "risk_level": F.when(blocked, "high").when(found > 2, "medium").otherwise("low"),
+        }
+    )
+
+
+def context_payload(payload: Column) -> Column:
+    """What a context request may see of a payload."""
+    return F.map_filter(payload, lambda k, v: k.isin(*fx.AGGREGATE_FIELDS) & ~k.isin(*fx.PII_FIELDS))
 
 
 def context_summary(kept: Column) -> Column:
@@ -44,9 +52,8 @@ def context_summary(kept: Column) -> Column:
 
 def context_record(df: DataFrame, farm: str, sensor: str, prediction: str) -> DataFrame:
     """Anonymised farm id with policy-filtered sensor and prediction summaries from two map columns."""
-    kind = F.lit(CONTEXT_REQUEST)
-    safe_sensor = policy_columns(kind, F.col(sensor))["kept"]
-    safe_prediction = policy_columns(kind, F.col(prediction))["kept"]
+    safe_sensor = context_payload(F.col(sensor))
+    safe_prediction = context_payload(F.col(prediction))
     value = lambda k: F.coalesce(F.try_element_at(safe_prediction, F.lit(k)), F.lit("N/A"))
     return df.withColumns(
         {

@@ -9,18 +9,18 @@ from ..functions import geo
 from ..plans.frames import staged
 from ..plans.ordering import exact_quantiles
 
-# Cell edge of the finest level in degrees; every further level is four times wider and
-# the last one spans the globe.
+# Cell edge of the finest level in degrees; every further level is twice as wide and the last one spans the globe.
 BASE_CELL = 0.01
-LEVELS = 9
+LEVELS = 17
 
 
 def _at_level(cell: str, level: Column) -> Column:
-    return F.call_function("shiftright", F.col(cell), (level * 2).cast("int"))
+    return F.call_function("shiftright", F.col(cell), level.cast("int"))
 
 
-def _neighbourhood(df: DataFrame, x: str, y: str) -> DataFrame:
-    steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+def _neighbourhood(df: DataFrame, x: str, y: str, reach: int = 1) -> DataFrame:
+    offsets = range(-reach, reach + 1)
+    steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in offsets for j in offsets])
     return (
         df.withColumn("_step", F.explode(steps))
         .withColumn("_nx", F.col(x) + F.col("_step.dx"))
@@ -42,8 +42,7 @@ def nearest_neighbors(
     Both sides carry ``lat``/``lon`` and the optional ``by`` columns; sources must have distinct
     positions per ``by`` group when many share one place. Works by equi-joins on a pyramid of
     cells: the finest level whose 3x3 block holds k sources bounds the k-th distance by
-    2*sqrt(2) cell edges, so the 3x3 block one level up (edge four times wider) holds every
-    true neighbour.
+    2*sqrt(2) < 3 cell edges, so the 7x7 block of that level holds every true neighbour.
     """
     by = list(by)
     levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
@@ -70,13 +69,12 @@ def nearest_neighbors(
         .join(reach, [*by, "_l", "_nx", "_ny"])
     )
     found = seen.groupBy(*by, "_cx", "_cy").agg(F.min(F.when(F.col("_n") >= k, F.col("_l"))).alias("_found"))
-    search = found.withColumn(
-        "_l", F.least(F.coalesce(F.col("_found") + 1, F.lit(LEVELS - 1)), F.lit(LEVELS - 1))
-    )
+    search = found.withColumn("_l", F.coalesce("_found", F.lit(LEVELS - 1)))
     blocks = _neighbourhood(
         search.withColumn("_x", _at_level("_cx", F.col("_l"))).withColumn("_y", _at_level("_cy", F.col("_l"))),
         "_x",
         "_y",
+        reach=3,
     ).select(*by, "_cx", "_cy", "_l", "_nx", "_ny")
     placed = (
         s.withColumn("_l", levels)

@@ -44,20 +44,48 @@ def within_days(targets: DataFrame, points: DataFrame, tolerance: int, target_da
     return t.join(p, "_b").filter(F.abs(F.datediff(target_date, point_date)) <= tolerance).drop("_b")
 
 
-def first_in_window(points: DataFrame, dates: DataFrame, location: list[str], tolerance: int, rank: str = "source_rank") -> DataFrame:
+def first_in_window(
+    points: DataFrame, dates: DataFrame, location: list[str], tolerance: int, rank: str = "source_rank", pairs_up_to: int = 10
+) -> DataFrame:
     """Per (target date, location): the reading with the lowest source rank, then earliest date, within tolerance.
 
     ``points`` holds ``location``, ``date``, ``rank``, ``value``; ``dates`` holds the target ``date``. Readings are first
-    reduced to one per (location, source, day), so every window partition is bounded by the calendar.
+    reduced to one per (location, source, day), so every partition is bounded by the calendar. A short tolerance is a
+    bucketed range join; a long one would repeat each reading for every target it reaches, so there the earliest reading
+    on or after the start of each target's window is found by one ordered pass instead.
     """
     once = points.filter(F.col("value").isNotNull()).groupBy(*location, "date", rank).agg(F.min("value").alias("value"))
-    near = within_days(
-        dates.select("date"), once.withColumnRenamed("date", "_obs"), tolerance, "date", "_obs"
-    )
+    if tolerance <= pairs_up_to:
+        near = within_days(
+            dates.select("date"), once.withColumnRenamed("date", "_obs"), tolerance, "date", "_obs"
+        )
+    else:
+        near = _first_on_or_after(once, dates, [*location, rank], tolerance)
     picked = F.min(F.struct(rank, "_obs", "value")).alias("_m")
     return near.groupBy("date", *location).agg(picked).select("date", *location, F.col("_m.value").alias("value"))
 
 
+def _first_on_or_after(once: DataFrame, dates: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
+    """Earliest reading of each key inside [target - tolerance, target + tolerance]."""
+    wanted = dates.select(F.array_sort(F.collect_set("date"))).scalar()  # bounded by the calendar
+    reached = F.col("date").between(F.date_sub("_lo", tolerance), F.date_add("_hi", tolerance))
+    spans = once.groupBy(*keys).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    asks = spans.withColumn("date", F.explode(wanted)).filter(reached).select(
+        *keys, F.date_sub("date", tolerance).alias("_at"), F.lit(0).alias("_kind"), "date",
+        F.lit(None).cast("date").alias("_obs"), F.lit(None).cast("double").alias("value"),
+    )
+    seen = once.select(
+        *keys, F.col("date").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("date").alias("date"),
+        F.col("date").alias("_obs"), "value",
+    )
+    later = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    reading = F.last(F.when(F.col("_kind") == 1, F.struct("_obs", "value")), ignorenulls=True).over(later)
+    answered = seen.unionByName(asks).withColumn("_r", reading).filter(F.col("_kind") == 0)
+    return answered.select(*keys, "date", "_r._obs", "_r.value").filter(
+        F.col("_obs") <= F.date_add("date", tolerance)
+    )
+
+
 def interval_events(dates: DataFrame, events: DataFrame, date: str = "date", before: int = 0, after: int = 0) -> DataFrame:
     """Dates joined to every covering event; events are spread over the days they cover, so the join is on equality."""
     covered = events.withColumn(
