@@ -48,13 +48,15 @@ class Grid:
 
 
 def with_wind_vector(measures: DataFrame) -> DataFrame:
-    """Append the sine and cosine of wind direction as two more measures of the long table."""
+    """Replace wind direction by its sine and cosine in the long table."""
     sin, cos = wind_vector(F.col("value"))
-    wind = measures.filter(F.col("measure") == "wind_dir_deg")
-    return (
-        measures.unionByName(wind.withColumns({"measure": F.lit("wind_dir_sin"), "value": sin}))
-        .unionByName(wind.withColumns({"measure": F.lit("wind_dir_cos"), "value": cos}))
-    )
+    entry = lambda name, value: F.struct(name.alias("measure"), value.alias("value"))
+    parts = F.when(
+        F.col("measure") == "wind_dir_deg",
+        F.array(entry(F.lit("wind_dir_sin"), sin), entry(F.lit("wind_dir_cos"), cos)),
+    ).otherwise(F.array(entry(F.col("measure"), F.col("value"))))
+    rest = [c for c in measures.columns if c not in ("measure", "value")]
+    return measures.select(*rest, F.inline(parts))
 
 
 def channel_points(measures: DataFrame, dates: DataFrame, channels: dict = RAW_CHANNELS) -> DataFrame:
@@ -62,15 +64,24 @@ def channel_points(measures: DataFrame, dates: DataFrame, channels: dict = RAW_C
 
     ``measures`` is long: loc_id, lat, lon, date, source_rank, measure, value.
     """
-    parts = []
-    by_rule: dict[tuple, list[tuple[str, str]]] = {}
-    for channel, (measure, ranks, tolerance) in channels.items():
-        by_rule.setdefault((ranks, tolerance), []).append((channel, measure))
-    for (ranks, tolerance), pairs in by_rule.items():
-        names = F.create_map(*[F.lit(x) for channel, measure in pairs for x in (measure, channel)])
-        usable = measures.filter(F.col("source_rank").isin(*ranks) & F.col("measure").isin(*[m for _, m in pairs]))
-        named = usable.withColumn("channel", F.element_at(names, F.col("measure")))
-        parts.append(first_in_window(named, dates, ["channel", "loc_id", "lat", "lon"], tolerance))
+    rule = lambda pick: F.create_map(*[F.lit(x) for c, r in channels.items() for x in (r[0], pick(c, r))])
+    usable = F.lit(False)
+    for ranks in {r[1] for r in channels.values()}:
+        names = [r[0] for r in channels.values() if r[1] == ranks]
+        usable = usable | (F.col("measure").isin(*names) & F.col("source_rank").isin(*ranks))
+    named = measures.filter(usable & F.col("value").isNotNull()).withColumns(
+        {
+            "channel": F.element_at(rule(lambda c, r: c), F.col("measure")),
+            "tolerance": F.element_at(rule(lambda c, r: r[2]), F.col("measure")),
+        }
+    )
+    place = ["channel", "loc_id", "lat", "lon"]
+    daily = named.groupBy(*place, "tolerance", "date", "source_rank").agg(F.min("value").alias("value"))
+    daily = staged(daily, "readings")  # one pass over the readings serves every tolerance
+    parts = [
+        first_in_window(daily.filter(F.col("tolerance") == days).drop("tolerance"), dates, place, days)
+        for days in sorted({r[2] for r in channels.values()})
+    ]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -201,8 +201,9 @@ def spatial_gradient(df: DataFrame, value: str, date: str = "date", row: str = "
 
     Missing cells take the day's mean first.
     """
-    means = df.groupBy(date).agg(F.avg(value).alias("_day_mean"))
-    filled = df.join(means, date).withColumn("_v", F.coalesce(F.col(value), F.col("_day_mean")))
+    # Every window here lies inside one day, so the rows are shuffled once, by date
+    day_mean = F.avg(value).over(Window.partitionBy(date))
+    filled = df.repartition(date).withColumn("_v", F.coalesce(F.col(value), day_mean))
 
     def slope(line: str, along: str) -> Column:
         w = Window.partitionBy(date, line).orderBy(along)
@@ -215,7 +216,7 @@ def spatial_gradient(df: DataFrame, value: str, date: str = "date", row: str = "
         filled.withColumn("_gx", gx)
         .withColumn("_gy", gy)
         .withColumn("gradient", F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy")))
-        .drop("_gx", "_gy", "_v", "_day_mean")
+        .drop("_gx", "_gy", "_v")
     )
 
 
