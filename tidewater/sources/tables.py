@@ -27,7 +27,7 @@ def read_labelled_windows(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files as (path, text)."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("path"), F.col("value").alias("text")
     )
 
