@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_up
 from ..functions.risk import risk_index_molar
 from ..operators import evaluation as ev
 from ..operators import labels as lb
-from .base import cte, cte_recursive, day, query, r6, view
+from .base import cte, cte_recursive, query, r6, view
 from .seasons import _ADI, _cells
 
 _S = cte("v_scores")
@@ -190,6 +189,3 @@ def permutation_importance(spark, d):
     score = lambda c: risk_index_molar(c["din"] / 14, c["sst"], none, none, none)
     p = ev.permutation_importance(daily, "id", ["din", "sst"], (F.col("id") * 2654435761) % 1000003, score, "y", 0.2)
     return p.select("feature", r6("f1"), r6("drop"))
-
-
-_ = (day, round_half_up)

@@ -9,7 +9,7 @@ from ..functions import numeric as nm
 from ..functions import optics, risk, seasons
 from ..functions import text as tx
 from ..functions.numeric import round_half_up
-from .base import EVENTS, cte, day, query, r6, table, view
+from .base import cte, day, query, r6, table, view
 
 _D = "CAST({} AS DOUBLE)"
 

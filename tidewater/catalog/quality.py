@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fx
 from ..operators import quality as ql
 from ..operators import tables as tb
 from ..operators.cube import to_long
@@ -187,6 +186,3 @@ def complete_snapshots(spark, d):
     return obs.na.drop(subset=["water_temp", "salinity", "dissolved_oxygen", "din_ugl", "dip_ugl"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "station_id"
     )
-
-
-assert set(FIELDS.values()) <= set(fx.PHYSICAL_BOUNDS)

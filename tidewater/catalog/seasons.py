@@ -8,7 +8,6 @@ from ..functions import seasons as sn
 from ..operators import cube as cb
 from ..operators import labels as lb
 from ..operators import temporal as tp
-from ..plans.frames import calendar
 from ..functions.numeric import round_half_up
 from .base import EVENT_VALUES, EVENTS, cte, cte_recursive, day, dense_daily, query, r6, view
 
@@ -90,13 +89,13 @@ def change_mask(spark, d):
 
 @query(
     "asof_prev_3d",
-    cte("v_station_obs") + """, dd AS (SELECT DISTINCT obs_date AS date FROM v_station_obs WHERE station_id = 7), l AS (SELECT date, lag(date) OVER (ORDER BY date) AS p FROM dd)
-    SELECT CAST(date AS VARCHAR) AS date, CAST(CASE WHEN date - p <= 3 THEN p END AS VARCHAR) AS prev_date FROM l""",
+    cte("v_station_obs") + """, dd AS (SELECT DISTINCT station_id, obs_date AS date FROM v_station_obs), l AS (SELECT station_id, date, lag(date) OVER (PARTITION BY station_id ORDER BY date) AS p FROM dd)
+    SELECT station_id, CAST(date AS VARCHAR) AS date, CAST(CASE WHEN date - p <= 3 THEN p END AS VARCHAR) AS prev_date FROM l""",
 )
 def asof_prev(spark, d):
-    """Observation dates of one station, so that gaps of every size occur."""
-    dates = view(spark, d, "v_station_obs").filter(F.col("station_id") == 7).select(F.col("obs_date").alias("date"))
-    return tp.previous_date(dates).select(day(), day("prev_date"))
+    """Previous observation date of every station, where gaps of every size occur."""
+    dates = view(spark, d, "v_station_obs").select("station_id", F.col("obs_date").alias("date"))
+    return tp.previous_date(dates, keys=("station_id",)).select("station_id", day(), day("prev_date"))
 
 
 @query(
@@ -278,6 +277,3 @@ def union_sources(spark, d):
     network = obs.filter("l_linenumber % 2 = 1").select(F.lit("network").alias("source"), "station_id", "water_temp", F.col("din_ugl").alias("din"))
     both = survey.unionByName(network, allowMissingColumns=True)
     return both.groupBy("source", "station_id").agg(F.count("*").alias("n"), r6(F.avg("water_temp"), "water_temp"), r6(F.avg("din"), "din"))
-
-
-_ = calendar

@@ -8,7 +8,7 @@ from ..functions import fixed_values as fx
 from ..functions import geo
 from ..functions.risk import risk_index_molar, risk_stage
 from ..operators import tables as tb
-from ..operators.spatial import nearest_neighbors, pixel_mapping, static_channels, with_station_km, explode_grid, grid_cells
+from ..operators.spatial import nearest_neighbors, pixel_mapping, static_channels, with_station_km
 from ..operators.temporal import last_n_per_key, latest_per_column, latest_per_key
 from ..plans.ordering import exact_quantiles
 from ..functions.numeric import round_half_up

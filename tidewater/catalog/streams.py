@@ -10,7 +10,6 @@ from ..plans.frames import staging_path
 from ..streaming import jobs
 from ..streaming.carry import output_of
 from .base import cte, cte_recursive, day, dense_daily, query, r6, table, view
-from .features import alert_feed as _batch_alerts
 from .quality import _ALL, _R, _WIN, field_readings
 from .seasons import _ADI, _FF, _W
 from .tables import requests
@@ -94,9 +93,12 @@ def stream_latest(spark, d):
 def stream_rate_limit(spark, d):
     """At most two admitted requests per user in twelve hours; checked against a replay in the tests."""
     path = staging_path(spark, "rate")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, jobs.ROCKSDB)
     r = requests(spark, d).select("event_id", "user_id", "ts", "micros", F.lit(2).alias("limit"))
     jobs.rate_limit(feed(r, "ts", "rate").drop("ts"), ["user_id"], path, 43_200).awaitTermination()
+    spark.conf.set(setting, before)
     return spark.read.schema("event_id BIGINT, allowed BOOLEAN").parquet(f"{path}/out")
 
 
@@ -157,6 +159,3 @@ def stream_alerts(spark, d):
     out = finished(spark, jobs.alerts(feed(events, "ts", "alerts"), ["ts", "pred_id"], "severity", path), path)
     newest = out.select(F.max("batch")).scalar()
     return out.filter(F.col("batch") == newest).select("pred_id", F.col("alert_no").cast("bigint").alias("alert_no"), "severity")
-
-
-_ = _batch_alerts

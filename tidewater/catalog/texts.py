@@ -8,7 +8,7 @@ from ..functions import fixed_values as fx
 from ..functions import text as tx
 from ..operators import governance as gv
 from ..operators import retrieval as rt
-from .base import cte, query, r6, table, view
+from .base import query, r6, table
 
 _CTRL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
@@ -195,6 +195,3 @@ def policy_filter(spark, d):
 def llm_context(spark, d):
     c = gv.context_record(payloads(spark, d), "l_suppkey", "payload", "prediction")
     return c.select(*_ID, "farm_ref", "sensor_summary", "prediction_summary")
-
-
-_ = (cte, view)

@@ -97,10 +97,13 @@ def interval_events(dates: DataFrame, events: DataFrame, date: str = "date", bef
     return dates.join(covered, date)
 
 
-def previous_date(df: DataFrame, date: str = "date", max_gap: int = 3) -> DataFrame:
-    """Each occurring date with the previous occurring date, if at most ``max_gap`` days earlier."""
-    days = df.select(date).distinct()
-    prev = F.lag(date).over(Window.orderBy(date))
+def previous_date(df: DataFrame, date: str = "date", max_gap: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each occurring date (per key) with the previous occurring date, if at most ``max_gap`` days earlier.
+
+    Dates are made distinct first, so every window partition is bounded by the calendar.
+    """
+    days = df.select(*keys, date).distinct()
+    prev = F.lag(date).over(Window.partitionBy(*keys).orderBy(date))
     return days.withColumn("prev_date", prev).withColumn(
         "prev_date", F.when(F.datediff(date, F.col("prev_date")) <= max_gap, F.col("prev_date"))
     )

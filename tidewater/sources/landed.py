@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fx
 from ..functions.numeric import first_timestamp, to_double, wind_degrees, yearless_timestamp
 from ..functions.text import composite_id
 

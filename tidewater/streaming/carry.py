@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+Carry = DataFrame | Callable[[DataFrame], DataFrame]
+Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, Carry]]
 
 
 def start_with_carry(stream: DataFrame, step: Step, path: str, trigger: dict | None = None) -> StreamingQuery:
     """Run ``step(batch, carry) -> (output, new_carry)`` per micro-batch.
 
+    The new carry is a DataFrame, or a function of the output as written, so that the output is computed once.
+
     Output and carry are written under the batch number, and a batch reads the carry of its predecessor. A batch that
     is repeated after a failure therefore replaces its own files and nothing is counted twice.
     """
@@ -24,6 +27,8 @@ def start_with_carry(stream: DataFrame, step: Step, path: str, trigger: dict | N
         try:
             out, carry = step(batch, before)
             out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+            if callable(carry):
+                carry = carry(spark.read.parquet(f"{path}/out/batch={batch_id}"))
             carry.write.mode("overwrite").parquet(f"{path}/carry/batch={batch_id}")
         finally:
             batch.unpersist()

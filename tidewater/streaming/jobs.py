@@ -16,7 +16,7 @@ from ..operators.labels import adi_index
 from ..operators.quality import flag_outliers
 from ..operators.reports import alert_feed
 from ..operators.temporal import last_n_per_key
-from .carry import start_updates, start_with_carry
+from .carry import Carry, start_updates, start_with_carry
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,7 +25,7 @@ def dedup(stream: DataFrame, keys: list[str], time: str, path: str, delay: str =
     """Each (key, time) once; rows already landed by an earlier run are skipped as well."""
     once = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([*keys, time])
 
-    def land(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def land(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
         fresh = batch if before is None else batch.join(before, [*keys, time], "left_anti")
         seen = batch.select(*keys, time)
         newest = seen.select(F.max(time)).scalar()
@@ -38,7 +38,7 @@ def dedup(stream: DataFrame, keys: list[str], time: str, path: str, delay: str =
 def outliers(stream: DataFrame, keys: list[str], order: list[str], path: str, window: int = 50) -> StreamingQuery:
     """The batch detector over each micro-batch preceded by the last ``window`` readings per key."""
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
         rows = batch.withColumn("_new", F.lit(True))
         if before is not None:
             rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
@@ -52,15 +52,16 @@ def outliers(stream: DataFrame, keys: list[str], order: list[str], path: str, wi
 def deficit_index(stream: DataFrame, cell: list[str], path: str) -> StreamingQuery:
     """The deficit index continued from the carried value per (cell, season); batches hold whole days."""
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        index = adi_index(batch, cell, carry=before).persist()
-        last = index.groupBy(*cell, "season").agg(F.max_by("adi", "date").alias("adi"))
-        if before is not None:
-            last = last.unionByName(before.join(last, [*cell, "season"], "left_anti"))
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
+        def last(index: DataFrame) -> DataFrame:
+            newest = index.groupBy(*cell, "season").agg(F.max_by("adi", "date").alias("adi"))
+            if before is not None:
+                newest = newest.unionByName(before.join(newest, [*cell, "season"], "left_anti"))
             # A finished season is never continued
-            newest = Window.partitionBy(*cell)
-            last = last.withColumn("_top", F.max("season").over(newest)).filter("season >= _top - 1").drop("_top")
-        return index, last
+            top = newest.groupBy(*cell).agg(F.max("season").alias("_top"))
+            return newest.join(top, cell).filter("season >= _top - 1").drop("_top")
+
+        return adi_index(batch, cell, carry=before), last
 
     return start_with_carry(stream, step, path)
 
@@ -68,7 +69,7 @@ def deficit_index(stream: DataFrame, cell: list[str], path: str) -> StreamingQue
 def monitor(stream: DataFrame, keys: list[str], order: list[str], latency: str, score: str, path: str, window: int = 200) -> StreamingQuery:
     """T4: trailing-window statistics, the window spanning micro-batches."""
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
         rows = batch.withColumn("_new", F.lit(True))
         if before is not None:
             rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
@@ -159,7 +160,7 @@ def rain_24h(stream: DataFrame, time: str, keys: list[str], value: str, path: st
 def fill_and_count(stream: DataFrame, cell: list[str], value: str, rain: str, path: str, wet: float = 0.5) -> StreamingQuery:
     """Forward fill and the dry-spell counter, both continued from the last day of each cell."""
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
         rows = batch
         if before is None:
             rows = rows.withColumns({"_value": F.lit(None).cast("double"), "_dry": F.lit(None).cast("bigint")})
@@ -176,10 +177,12 @@ def fill_and_count(stream: DataFrame, cell: list[str], value: str, rain: str, pa
                 F.when((F.col("_pos") == 1) & F.col("_dry").isNull(), F.lit(0)), F.col("_pos") - wet_at,
                 F.col("_dry") + F.col("_pos"), F.col("_pos") - 1,
             ).cast("bigint").alias("dry"),
-        ).persist()
-        last = filled.groupBy(*cell).agg(F.max_by("value", "date").alias("value"), F.max_by("dry", "date").alias("dry"))
-        if before is not None:
-            last = last.unionByName(before.join(last, cell, "left_anti"))
+        )
+
+        def last(written: DataFrame) -> DataFrame:
+            newest = written.groupBy(*cell).agg(F.max_by("value", "date").alias("value"), F.max_by("dry", "date").alias("dry"))
+            return newest if before is None else newest.unionByName(before.join(newest, cell, "left_anti"))
+
         return filled, last
 
     return start_with_carry(stream, step, path)
@@ -188,7 +191,7 @@ def fill_and_count(stream: DataFrame, cell: list[str], value: str, rain: str, pa
 def alerts(stream: DataFrame, order: list[str], severity: str, path: str, recent: int = 60) -> StreamingQuery:
     """The alert list after each micro-batch, from the newest ``recent`` readings so far."""
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
         rows = batch if before is None else batch.unionByName(before)
         ring = rows.orderBy(*[F.col(c).desc() for c in order]).limit(recent)
         return alert_feed(rows, order, severity, recent), ring
