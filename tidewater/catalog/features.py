@@ -12,7 +12,7 @@ from .base import cte, query, r6, view
 
 _ID = "l_orderkey, l_linenumber, l_partkey, station_id"
 _IDS = _ID.split(", ")
-_F = ", x AS (SELECT *, din_ugl / CAST(14.007 AS DOUBLE) AS din, dip_ugl / CAST(30.974 AS DOUBLE) AS dip, coalesce(din_ugl / CAST(14.007 AS DOUBLE) / nullif(dip_ugl / CAST(30.974 AS DOUBLE), 0), 16) AS np_ratio FROM v_station_obs)"
+_F = ", x AS (SELECT *, row_number() OVER () AS rid, din_ugl / CAST(14.007 AS DOUBLE) AS din, dip_ugl / CAST(30.974 AS DOUBLE) AS dip, coalesce(din_ugl / CAST(14.007 AS DOUBLE) / nullif(dip_ugl / CAST(30.974 AS DOUBLE), 0), 16) AS np_ratio FROM v_station_obs)"
 
 
 def _score(din="din", wt="coalesce(water_temp, 15)", nr="np_ratio", do="dissolved_oxygen", sal="salinity"):
@@ -72,7 +72,7 @@ def risk_stage(spark, d):
 
 @query(
     "risk_contributions",
-    cte("v_station_obs") + _F + f""" SELECT {_ID}, factor, round(pct, 6) AS pct, row_number() OVER (PARTITION BY {_ID} ORDER BY round(pct, 6) DESC, factor) AS rank FROM (SELECT *, unnest(['din', 'water_temp', 'np_ratio', 'dissolved_oxygen', 'salinity']) AS factor,
+    cte("v_station_obs") + _F + f""" SELECT {_ID}, factor, round(pct, 6) AS pct, row_number() OVER (PARTITION BY rid ORDER BY round(pct, 6) DESC, factor) AS rank FROM (SELECT *, unnest(['din', 'water_temp', 'np_ratio', 'dissolved_oxygen', 'salinity']) AS factor,
     unnest([0.38 * greatest(0.0, 1 - din / 5) * 100, 0.27 * greatest(0.0, (water_temp - 20) / 10) * 100, 0.19 * greatest(0.0, 1 - np_ratio / 10) * 100, 0.10 * greatest(0.0, 1 - dissolved_oxygen / 5) * 100, 0.06 * greatest(0.0, (32 - salinity) / 4) * 100]) AS pct FROM x)""",
 )
 def risk_contributions(spark, d):
@@ -118,10 +118,10 @@ def scenario_scores(spark, d):
 
 @query(
     "top_causes",
-    cte("v_station_obs") + _F + f""", e AS (SELECT {_ID}, unnest(['water_temp', 'dissolved_oxygen', 'din', 'dip', 'np_ratio', 'salinity']) AS feature, unnest([0, 1, 2, 3, 4, 5]) AS i,
+    cte("v_station_obs") + _F + f""", e AS (SELECT {_ID}, rid, unnest(['water_temp', 'dissolved_oxygen', 'din', 'dip', 'np_ratio', 'salinity']) AS feature, unnest([0, 1, 2, 3, 4, 5]) AS i,
       unnest([water_temp, dissolved_oxygen, din, dip, np_ratio, salinity]) AS v, unnest([25.0, 5.0, 5.0, 0.3, 16.0, 30.0]) AS thr,
       unnest([water_temp / 40, dissolved_oxygen / 20, din / 30, dip, np_ratio / 50, salinity / 60]) AS w FROM x WHERE water_temp IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY {_ID} ORDER BY w DESC, i) AS rank FROM e)
+    r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY w DESC, i) AS rank FROM e)
     SELECT {_ID}, CAST(rank AS INT) AS rank, feature, round(w, 4) AS importance, CASE WHEN feature IN ('din', 'dissolved_oxygen', 'salinity') THEN CASE WHEN v < thr THEN 'BELOW_THRESHOLD' ELSE 'ABOVE_THRESHOLD' END
       WHEN v > thr THEN 'ABOVE_THRESHOLD' ELSE 'BELOW_THRESHOLD' END AS status FROM r WHERE rank <= 5""",
 )
