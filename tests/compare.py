@@ -95,7 +95,7 @@ def main(argv):
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]")).config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )

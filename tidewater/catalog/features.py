@@ -55,10 +55,10 @@ def risk_index_mass(spark, d):
     "risk_index_grid",
     cte("v_station_obs") + _F + f""" SELECT {_ID}, round(least(1.0, greatest(0.0, 0.38 * least(1.0, greatest(0.0, 1 - din / 5)) + 0.27 * least(1.0, greatest(0.0, (water_temp - 20) / 10)) + 0.19 * least(1.0, greatest(0.0, 1 - np_ratio / 10))
     + 0.10 * least(1.0, greatest(0.0, 1 - dissolved_oxygen / 5)) + 0.06 * least(1.0, greatest(0.0, (32 - salinity) / 4)))), 6) AS score,
-    round(CASE WHEN din = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, 1 - din / 20)) END, 6) AS din_only FROM x WHERE water_temp IS NOT NULL""",
+    round(CASE WHEN din = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, 1 - din / 20)) END, 6) AS din_only FROM x""",
 )
 def risk_index_grid(spark, d):
-    x = factors(spark, d).filter(F.col("water_temp").isNotNull())
+    x = factors(spark, d)
     return x.select(*_IDS, r6(risk.risk_index_grid(*_cols()), "score"), r6(risk.risk_index_din_only(F.col("din")), "din_only"))
 
 
@@ -120,7 +120,7 @@ def scenario_scores(spark, d):
     "top_causes",
     cte("v_station_obs") + _F + f""", e AS (SELECT {_ID}, rid, unnest(['water_temp', 'dissolved_oxygen', 'din', 'dip', 'np_ratio', 'salinity']) AS feature, unnest([0, 1, 2, 3, 4, 5]) AS i,
       unnest([water_temp, dissolved_oxygen, din, dip, np_ratio, salinity]) AS v, unnest([25.0, 5.0, 5.0, 0.3, 16.0, 30.0]) AS thr,
-      unnest([water_temp / 40, dissolved_oxygen / 20, din / 30, dip, np_ratio / 50, salinity / 60]) AS w FROM x WHERE water_temp IS NOT NULL),
+      unnest([water_temp / 40, dissolved_oxygen / 20, din / 30, dip, np_ratio / 50, salinity / 60]) AS w FROM x),
     r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY w DESC, i) AS rank FROM e)
     SELECT {_ID}, CAST(rank AS INT) AS rank, feature, round(w, 4) AS importance, CASE WHEN feature IN ('din', 'dissolved_oxygen', 'salinity') THEN CASE WHEN v < thr THEN 'BELOW_THRESHOLD' ELSE 'ABOVE_THRESHOLD' END
       WHEN v > thr THEN 'ABOVE_THRESHOLD' ELSE 'BELOW_THRESHOLD' END AS status FROM r WHERE rank <= 5""",
@@ -130,7 +130,7 @@ def top_causes(spark, d):
 
 
 def _causes(spark, d):
-    x = factors(spark, d).filter(F.col("water_temp").isNotNull())
+    x = factors(spark, d)
     weights = {
         "water_temp": F.col("water_temp") / 40, "dissolved_oxygen": F.col("dissolved_oxygen") / 20, "din": F.col("din") / 30,
         "dip": F.col("dip"), "np_ratio": F.col("np_ratio") / 50, "salinity": F.col("salinity") / 60,

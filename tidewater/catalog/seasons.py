@@ -53,7 +53,7 @@ def forward_fill(spark, d):
     return tp.forward_fill(_cells(spark, d), ["cell_id"], ["din"]).select(day(), "cell_id", r6("din"))
 
 
-@query("mean_fill", cte("v_dense") + f", f AS (SELECT date, cell_id, {_FF} AS din FROM v_dense) SELECT CAST(date AS VARCHAR) AS date, cell_id, round(coalesce(din, (SELECT avg(din) FROM f), 0), 6) AS din FROM f")
+@query("mean_fill", cte("v_dense") + f", f AS MATERIALIZED (SELECT date, cell_id, {_FF} AS din FROM v_dense), a AS (SELECT date, cell_id, din, avg(din) OVER () AS mean FROM f) SELECT CAST(date AS VARCHAR) AS date, cell_id, round(coalesce(din, mean, 0), 6) AS din FROM a")
 def mean_fill(spark, d):
     filled = tp.mean_fill(tp.forward_fill(_cells(spark, d), ["cell_id"], ["din"]), ["din"])
     return filled.select(day(), "cell_id", r6("din"))

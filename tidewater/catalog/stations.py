@@ -10,7 +10,7 @@ from ..functions.risk import risk_index_molar, risk_stage
 from ..operators import tables as tb
 from ..operators.spatial import nearest_neighbors, pixel_mapping, static_channels, with_station_km
 from ..operators.temporal import last_n_per_key, latest_per_column, latest_per_key
-from ..plans.ordering import exact_quantiles
+from ..plans.ordering import exact_quantiles, join_null_safe
 from ..functions.numeric import round_half_up
 from .base import BOX, cte, day, query, r6, table, view
 
@@ -191,7 +191,8 @@ def region_bbox_pct(spark, d):
     lon = exact_quantiles(farms, ["region_id"], "lon", {"lon_p10": 0.1, "lon_p90": 0.9})
     enough = F.col("n") >= 10
     pick = lambda q, full, name: r6(F.when(enough, F.col(q)).otherwise(F.col(full)), name)
-    return ranges.join(lat, "region_id").join(lon, "region_id").select(
+    whole = join_null_safe(join_null_safe(ranges, lat, ["region_id"], "left"), lon, ["region_id"], "left")
+    return whole.select(
         "region_id", pick("lat_p10", "lat_min", "lat_lo"), pick("lat_p90", "lat_max", "lat_hi"),
         pick("lon_p10", "lon_min", "lon_lo"), pick("lon_p90", "lon_max", "lon_hi"),
     )

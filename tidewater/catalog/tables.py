@@ -104,12 +104,12 @@ def requests(spark, d):
 
 @query(
     "request_rate",
-    f"WITH r AS (SELECT event_id, user_id, {_ENDPOINT} AS endpoint, ts FROM events), w AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS in_window FROM r) "
+    f"WITH r AS (SELECT event_id, user_id, {_ENDPOINT} AS endpoint, ts FROM events), w AS (SELECT *, count(*) OVER (PARTITION BY user_id, endpoint ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS in_window FROM r) "
     "SELECT event_id, in_window, CASE endpoint WHEN '/rag/query' THEN 20 WHEN '/predict' THEN 60 WHEN '/explain' THEN 30 ELSE 100 END AS \"limit\", in_window <= CASE endpoint WHEN '/rag/query' THEN 20 WHEN '/predict' THEN 60 WHEN '/explain' THEN 30 ELSE 100 END AS allowed FROM w",
 )
 def request_rate(spark, d):
-    """Requests per user in the six hours up to each request (a long window, so that counts differ)."""
-    r = gv.request_rate(requests(spark, d), ["user_id"], "micros", window_seconds=21_600, slice_seconds=86_400)
+    """Requests per user and endpoint in the six hours up to each request: a window of several slices."""
+    r = gv.request_rate(requests(spark, d), ["user_id", "endpoint"], "micros", window_seconds=21_600)
     limit = gv.rate_limit(F.col("endpoint"))
     return r.select("event_id", "in_window", limit.alias("limit"), (F.col("in_window") <= limit).alias("allowed"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fx
 from ..functions.numeric import guarded_ratio, month_cycle, round_half_up, sum_present, wind_vector
 from ..plans.frames import staged
-from ..plans.ordering import exact_quantiles
+from ..plans.ordering import exact_quantiles, join_null_safe
 from .spatial import interpolate_grid, spatial_gradient
 from .temporal import days_since_rain, first_in_window, forward_fill, rolling_means
 
@@ -136,21 +136,19 @@ def to_long(df: DataFrame, ids: list[str], channels: list[str]) -> DataFrame:
 
 
 def norm_stats(long: DataFrame, channel: str = "channel", value: str = "value") -> DataFrame:
-    """Count, mean, deviation, min and max per channel from mergeable sums; neutral values when empty."""
+    """Count, mean, deviation, min and max per channel from stably merged moments; neutral values when empty."""
     v = F.col(value)
-    mean = F.col("_s") / F.col("n")
-    spread = F.sqrt(F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(0.0)))
     some = F.col("n") > 0
     return (
         long.groupBy(channel)
         .agg(
-            F.count(v).alias("n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"),
+            F.count(v).alias("n"), F.avg(v).alias("_m"), F.stddev_pop(v).alias("_sd"),
             F.min(v).alias("_lo"), F.max(v).alias("_hi"),
         )
         .select(
             channel, "n",
-            F.when(some, mean).otherwise(0.0).alias("mean"),
-            F.when(some, F.greatest(spread, F.lit(1e-8))).otherwise(1.0).alias("std"),
+            F.when(some, F.col("_m")).otherwise(0.0).alias("mean"),
+            F.when(some, F.greatest("_sd", F.lit(1e-8))).otherwise(1.0).alias("std"),
             F.coalesce("_lo", F.lit(0.0)).alias("min"),
             F.coalesce("_hi", F.lit(0.0)).alias("max"),
         )
@@ -209,7 +207,7 @@ def label_percentiles(daily_means: DataFrame, label: str, value: str) -> DataFra
     moments = daily_means.groupBy(label).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
     )
-    joined = moments.join(quantiles, label)
+    joined = join_null_safe(moments, quantiles, [label], "left")
     return joined.select(
         label, "n", *[round_half_up(F.col(c), 4).alias(c) for c in ("mean", "std", "p10", "p25", "p50", "p75", "p90")]
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.frames import staged
-from ..plans.ordering import exact_quantiles, row_index
+from ..plans.ordering import exact_quantiles, join_null_safe, row_index
 
 
 def number_days(days: DataFrame, date: str = "date") -> DataFrame:
@@ -63,7 +63,7 @@ def stratified_split(starts: DataFrame, label: str = "label", val_ratio: float =
     sizes = starts.groupBy(label).agg(F.count("*").alias("_n"))
     cut = F.floor(F.col("_n") * (1 - val_ratio) + F.lit(1e-9))
     return (
-        placed.join(sizes, label)
+        join_null_safe(placed, sizes, [label])
         .withColumn("split", F.when(F.col("_pos") <= cut, "train").otherwise("val"))
         .drop("_pos", "_n")
     )

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
-from ..plans.frames import HOT_ROWS, framed
-from ..plans.ordering import exact_quantiles, row_index, running_totals
+from ..plans.frames import HOT_ROWS, framed, staged
+from ..plans.ordering import exact_quantiles, join_null_safe, row_index, running_totals
 
 
 def regression_error(df: DataFrame, predicted: str, actual: str, keys: list[str] | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def latency_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> D
     means = df.groupBy(*keys).agg(F.avg(value).alias("mean_ms"), F.count(value).alias("n"))
     p95 = exact_quantiles(df, keys, value, {"p95_ms": 0.95})
     if keys:
-        return means.join(p95, keys)
+        return join_null_safe(means, p95, keys, "left")
     return means.withColumn("p95_ms", p95.scalar())
 
 
@@ -106,14 +106,24 @@ def recall100(df: DataFrame, score: str, y: str, keys: list[str] | None = None)
 
 def alpha_sweep(df: DataFrame, first: str, second: str, y: str, tie: str, steps: int = 10) -> DataFrame:
     """Full-recall F1 for each weight of a two-score rank ensemble, best weight and baseline marked."""
-    ranked = rank_normalize(rank_normalize(df, first, tie, "_r1"), second, tie, "_r2").select(y, "_r1", "_r2")
-    alphas = F.array(*[F.lit(round(i / steps, 1)) for i in range(steps + 1)])
-    mixed = ranked.withColumn("alpha", F.explode(alphas)).withColumn(
-        "mix", F.col("alpha") * F.col("_r1") + (F.lit(1.0) - F.col("alpha")) * F.col("_r2")
-    )
-    swept = recall100(mixed, "mix", y, ["alpha"])
-    best = swept.select(F.max("f1")).scalar()
-    return swept.withColumn("is_best", F.col("f1") == best).withColumn("is_baseline", F.col("alpha") == 1.0)
+    # The ranks are read twice: for the thresholds of all weights, then for their counts
+    ranked = staged(rank_normalize(rank_normalize(df, first, tie, "_r1"), second, tie, "_r2").select(y, "_r1", "_r2"), "ranks")
+    alphas = [round(i / steps, 1) for i in range(steps + 1)]
+    mix = lambda a: F.lit(a) * F.col("_r1") + (F.lit(1.0) - F.lit(a)) * F.col("_r2")
+    lowest = ranked.agg(F.array(*[F.min(F.when(F.col(y) == 1, mix(a))) for a in alphas]).alias("low"))
+    marked = ranked.withColumn("_low", lowest.scalar())
+    cells = []
+    for i, a in enumerate(alphas):
+        low = F.get("_low", F.lit(i))
+        hit = mix(a) >= low
+        cells.append(F.struct(
+            F.lit(a).alias("alpha"), F.max(low).alias("threshold"), F.count_if(hit & (F.col(y) == 1)).alias("tp"),
+            F.count_if(hit & (F.col(y) == 0)).alias("fp"), F.count_if(~hit & (F.col(y) == 1)).alias("fn"),
+        ))
+    swept = marked.agg(F.array(*cells).alias("c")).select(F.inline("c")).filter(F.col("threshold").isNotNull())
+    rated = swept.withColumns(_rates(F.col("tp"), F.col("fp"), F.col("fn")))
+    best = F.max("f1").over(Window.partitionBy(F.lit(0)))  # one row per weight
+    return rated.withColumn("is_best", F.col("f1") == best).withColumn("is_baseline", F.col("alpha") == 1.0)
 
 
 def stage_shares(df: DataFrame, stage: str = "stage", n_stages: int = 5) -> DataFrame:

@@ -83,15 +83,13 @@ def request_rate(
 ) -> DataFrame:
     """Requests of the same key in the window ending at each request.
 
-    Time slices are the partitions; each slice also receives the last ``window_seconds`` of the slice before it, so a
-    very active key is spread over its slices.
+    Time slices are the partitions; each request also goes to every later slice that its window reaches, so a very active
+    key is spread over its slices. A window may be longer than a slice. Requests without a time are left out.
     """
     span, reach = slice_seconds * 1_000_000, window_seconds * 1_000_000
     home = F.floor(F.col(micros) / F.lit(span))
-    tail = F.col(micros) % F.lit(span) >= F.lit(span - reach)
-    spread = requests.withColumn("_home", home).withColumn(
-        "_slice", F.explode(F.array_compact(F.array(F.col("_home"), F.when(tail, F.col("_home") + 1))))
-    )
+    last = F.floor((F.col(micros) + F.lit(reach)) / F.lit(span))
+    spread = requests.withColumn("_home", home).withColumn("_slice", F.explode(F.sequence(F.col("_home"), last)))
     w = Window.partitionBy(*keys, "_slice").orderBy(micros).rangeBetween(-reach, 0)
     return (
         spread.withColumn("in_window", F.count("*").over(w))

@@ -55,30 +55,36 @@ def _block_scores(k: int, digits: int):
             return empty
         d = np.vstack(docs["vector"].to_numpy()).astype(np.float64)
         q = np.vstack(queries["vector"].to_numpy()).astype(np.float64)
-        norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((d * d).sum(1))[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.round(1.0 - (q @ d.T) / norms, digits)
-        ids = docs["doc_id"].to_numpy()
+        asked, ids = queries["query_id"].to_numpy(), docs["doc_id"].to_numpy()
+        d_norm, q_norm = np.sqrt((d * d).sum(1)), np.sqrt((q * q).sum(1))
+        d, ids, q, asked = d[d_norm > 0], ids[d_norm > 0], q[q_norm > 0], asked[q_norm > 0]
+        if not len(d) or not len(q):
+            return empty
+        distance = np.round(1.0 - (q @ d.T) / (q_norm[q_norm > 0][:, None] * d_norm[d_norm > 0][None, :]), digits)
+        last = min(k, len(ids)) - 1
+        cut = np.partition(distance, last, axis=1)[:, last]
         frames = []
-        for i, query_id in enumerate(queries["query_id"].to_numpy()):
-            best = np.lexsort((ids, distance[i]))[:k]
+        for i, query_id in enumerate(asked):
+            near = np.flatnonzero(distance[i] <= cut[i])
+            best = near[np.lexsort((ids[near], distance[i][near]))[:k]]
             frames.append(pd.DataFrame({"query_id": query_id, "doc_id": ids[best], "distance": distance[i][best]}))
-        return pd.concat(frames, ignore_index=True).dropna()
+        return pd.concat(frames, ignore_index=True)
 
     return score
 
 
 def cosine_topk(
-    queries: DataFrame, docs: DataFrame, k: int = 3, digits: int = 9, block_rows: int = 20_000
+    queries: DataFrame, docs: DataFrame, k: int = 3, digits: int = 9, block_rows: int = 4_000, block_queries: int = 1_000
 ) -> DataFrame:
     """Exact k nearest documents per query by cosine distance, ties by document id.
 
-    Documents and queries are cut into blocks of about ``block_rows``; each pair of blocks is one matrix product that
-    returns only its own best k per query, and the block winners are merged. ``queries(query_id, vector)``,
-    ``docs(doc_id, vector)`` with BIGINT ids.
+    Documents and queries are cut into blocks of about ``block_rows`` and ``block_queries``; each pair of blocks is one
+    matrix product (32 MB at the default sizes) that returns only its own best k per query, and the block winners are
+    merged. ``queries(query_id, vector)``, ``docs(doc_id, vector)`` with BIGINT ids. A zero vector has no direction: such
+    documents and queries give no rows.
     """
     n_docs = max(1, -(-docs.count() // block_rows))
-    n_queries = max(1, -(-queries.count() // block_rows))
+    n_queries = max(1, -(-queries.count() // block_queries))
     left = docs.withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.lit(n_docs)).cast("int")).withColumn(
         "_q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..plans.frames import staged
-from ..plans.ordering import exact_quantiles
+from ..plans.ordering import exact_quantiles, join_null_safe
 
 # Cell edge of the finest level in degrees; every further level is twice as wide and the last one spans the globe.
 BASE_CELL = 0.01
@@ -171,7 +171,8 @@ def daily_median_composite(
     binned = kept.select(
         "date", F.round("lat", digits).alias("lat"), F.round("lon", digits).alias("lon"), value
     )
-    medians = exact_quantiles(binned, ["date", "lat", "lon"], value, {value: 0.5})
+    # A cell of one day holds a few scenes, so its values fit one aggregation buffer
+    medians = binned.groupBy("date", "lat", "lon").agg(F.percentile(value, 0.5).alias(value))
     full = medians.groupBy("date").agg(F.count("*").alias("n_cells")).filter(F.col("n_cells") >= min_cells)
     return medians.join(full, "date")
 
@@ -183,7 +184,7 @@ def scene_composite(points: DataFrame, value: str, digits: int = 2) -> DataFrame
     means = keyed.groupBy("_lr", "_lc").agg(
         F.min("date").alias("date"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")
     )
-    return means.join(medians, ["_lr", "_lc"], "left").drop("_lr", "_lc")
+    return join_null_safe(means, medians, ["_lr", "_lc"], "left").drop("_lr", "_lc")
 
 
 def keep_scenes(pixels: DataFrame, scene: str, is_clear: Column, is_valid: Column, min_clear: float, min_valid: float) -> DataFrame:

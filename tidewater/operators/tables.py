@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import zone_letters
-from ..plans.ordering import row_index
+from ..plans.ordering import join_null_safe, row_index
 from .temporal import first_per_key
 
 
@@ -103,7 +103,7 @@ def zone_codes(farms: DataFrame, region: str, farm: str, size: int = 9) -> DataF
 def duplicate_labels(farms: DataFrame, name: str, farm: str) -> DataFrame:
     """Name plus '#k' where the name occurs more than once."""
     counts = farms.groupBy(name).agg(F.count("*").alias("_n"))
-    placed = row_index(farms, [name], [(farm, True)], "_k").join(counts, name)
+    placed = join_null_safe(row_index(farms, [name], [(farm, True)], "_k"), counts, [name])
     return placed.withColumn(
         "label", F.when(F.col("_n") > 1, F.concat(F.col(name), F.lit(" #"), F.col("_k").cast("string"))).otherwise(F.col(name))
     ).drop("_n", "_k")
@@ -112,7 +112,7 @@ def duplicate_labels(farms: DataFrame, name: str, farm: str) -> DataFrame:
 def group_members(df: DataFrame, group: str, member: str) -> DataFrame:
     """Membership rows with the size of their group, instead of one unbounded list per group."""
     sizes = df.groupBy(group).agg(F.count("*").alias("group_size"))
-    return df.select(group, member).join(sizes, group)
+    return join_null_safe(df.select(group, member), sizes, [group])
 
 
 def token_search(df: DataFrame, query: str, haystack: Column, limit: int = 300, order: list[Column] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ordering import row_index
+from .ordering import join_null_safe, row_index
 
 HOT_ROWS = 5_000_000
 
@@ -33,9 +33,9 @@ def framed(
     hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).drop("_rows")
     if hot.isEmpty():
         return apply(df, keys)
-    cold = apply(df.join(hot, keys, "left_anti"), keys)
+    cold = apply(join_null_safe(df, hot, keys, "left_anti"), keys)
     block = max(hot_rows, preceding, following, 1)
-    placed = row_index(df.join(hot, keys, "left_semi"), keys, order, "_pos")
+    placed = row_index(join_null_safe(df, hot, keys, "left_semi"), keys, order, "_pos")
     home = F.floor((F.col("_pos") - 1) / F.lit(block))
     offset = (F.col("_pos") - 1) % F.lit(block)
     copies = F.array_compact(
@@ -53,26 +53,21 @@ def framed(
 def calendar(df: DataFrame, entity: list[str], date: str = "date") -> DataFrame:
     """Every (entity, date) pair for the dates that occur anywhere in ``df``.
 
-    The calendar is generated per entity from the overall date range, so its size is
-    entities x days by construction.
+    The distinct dates are one array, bounded by the calendar; a stray date costs one row per entity.
     """
-    lo = df.select(F.min(date)).scalar()
-    hi = df.select(F.max(date)).scalar()
-    days = df.select(date).distinct()
-    return (
-        df.select(*entity).distinct()
-        .withColumn(date, F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 DAY"))))
-        .join(days, date, "left_semi")
-        .select(*entity, date)
-    )
+    days = df.select(F.collect_set(date)).scalar()
+    return df.select(*entity).distinct().withColumn(date, F.explode(days)).select(*entity, date)
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the cluster's checkpoint folder when it names one."""
+    """Shared folder for staged tables: the cluster's checkpoint folder. Only a local session without one gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = os.path.join(tempfile.gettempdir(), "tidewater-staging")
         spark.sparkContext.setCheckpointDir(configured)
         configured = spark.sparkContext.getCheckpointDir()

@@ -15,12 +15,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MAX_SLICES = 1000
+#: Rows that one slice should hold, and the most split points that are asked for at once
+_SLICE_ROWS, _MAX_SLICES = 2_000_000, 10_000
 
 
-def slice_count(df: DataFrame) -> int:
+def slice_count(df: DataFrame, rows: int) -> int:
+    """At least one slice per shuffle partition, more once a slice would exceed ``_SLICE_ROWS``."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(parts, _MAX_SLICES))
+    return min(_MAX_SLICES, max(8, parts, -(-rows // _SLICE_ROWS)))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL meets NULL; the keys of ``left`` stay."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _as_number(df: DataFrame, name: str, ascending: bool) -> Column:
@@ -33,6 +44,12 @@ def _as_number(df: DataFrame, name: str, ascending: bool) -> Column:
         num = F.unix_micros(F.to_utc_timestamp(F.col(name).cast("timestamp"), "UTC")).cast("double")
     elif isinstance(dtype, T.NumericType):
         num = F.col(name).cast("double")
+    elif isinstance(dtype, T.BooleanType):
+        num = F.col(name).cast("int").cast("double")
+    elif isinstance(dtype, (T.StringType, T.BinaryType)):
+        # The first six bytes as a number: monotone in byte order, and exact in a double
+        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
+        num = F.conv(head, 16, 10).cast("double")
     else:
         raise TypeError(f"cannot slice on {name}: {dtype.simpleString()}")
     num = F.when(F.isnan(num), F.lit(math.inf)).otherwise(num)
@@ -41,10 +58,12 @@ def _as_number(df: DataFrame, name: str, ascending: bool) -> Column:
     return F.coalesce(-num, F.lit(math.inf))
 
 
-def split_points(df: DataFrame, value: Column, n: int) -> tuple[list[float], list[float]]:
+def split_points(df: DataFrame, value: Column, n: int | None = None) -> tuple[list[float], list[float]]:
     """Sorted split points of ``value`` plus the values that fill several slices alone."""
+    if n is None:
+        n = slice_count(df, df.count())
     probs = [i / n for i in range(1, n)]
-    row = df.select(F.percentile_approx(value, probs, 10_000).alias("p")).first()
+    row = df.select(F.percentile_approx(value, probs, max(10_000, 10 * n)).alias("p")).first()
     found = [float(x) for x in (row["p"] or [])]
     heavy = sorted({a for a, b in zip(found, found[1:]) if a == b and math.isfinite(a)})
     points = set(x for x in found if math.isfinite(x))
@@ -61,7 +80,7 @@ def _bucket(df: DataFrame, points: list[float], source: str, target: str) -> Dat
     return stage.transform(df)
 
 
-def with_slices(df: DataFrame, order: list[tuple[str, bool]], n: int) -> DataFrame:
+def with_slices(df: DataFrame, order: list[tuple[str, bool]], n: int | None = None) -> DataFrame:
     """Add ``_s1``/``_s2`` so that (``_s1``, ``_s2``) is monotone in the sort order.
 
     A value that alone fills more than one slice gets a slice of its own and is cut
@@ -95,7 +114,7 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` along ``order`` inside each key."""
     measured = df.withColumns({f"_m_{name}": expr for name, expr in measures.items()})
-    sliced = with_slices(measured, order, n_slices or slice_count(df))
+    sliced = with_slices(measured, order, n_slices)
     place = [*keys, "_s1", "_s2"]
     totals = sliced.groupBy(*place).agg(*[F.sum(f"_m_{m}").alias(f"_t_{m}") for m in measures])
     before = Window.partitionBy(*keys).orderBy("_s1", "_s2").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +124,7 @@ def running_totals(
     inside = (
         Window.partitionBy(*place).orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = sliced.join(offsets, place)
+    joined = join_null_safe(sliced, offsets, place)
     out = joined.withColumns(
         {m: F.col(f"_o_{m}") + F.coalesce(F.sum(f"_m_{m}").over(inside), F.lit(0)) for m in measures}
     )
@@ -135,7 +154,7 @@ def exact_quantiles(
     placed = running_totals(counts, keys, [(value, True)], {"_cum": F.col("_c")}, n_slices)
     if keys:
         sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-        placed = placed.join(sizes, keys)
+        placed = join_null_safe(placed, sizes, keys)
     else:
         placed = placed.withColumn("_n", counts.agg(F.sum("_c")).scalar())
     v, start, end = F.col(value).cast("double"), F.col("_cum") - F.col("_c"), F.col("_cum")

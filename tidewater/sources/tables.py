@@ -35,7 +35,7 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 def write_by_day(df: DataFrame, path: str, date: str = "date") -> None:
     """Replace only the days present in ``df``; safe to repeat after a lost run."""
     (
-        df.repartition(date).write.mode("overwrite")
+        df.hint("rebalance", date).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
     )
 
@@ -47,8 +47,8 @@ def days_to_do(wanted: DataFrame, done: DataFrame, date: str = "date") -> DataFr
 def write_cube(cube: DataFrame, labels: DataFrame, stats: DataFrame, path: str) -> None:
     """Cube and labels partitioned by month, statistics as a small table."""
     month = F.date_format("date", "yyyy-MM").alias("month")
-    cube.select("*", month).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/cube")
-    labels.select("*", month).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/labels")
+    cube.select("*", month).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/cube")
+    labels.select("*", month).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/labels")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 

@@ -28,8 +28,9 @@ def dedup(stream: DataFrame, keys: list[str], time: str, path: str, delay: str =
     def land(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
         fresh = batch if before is None else batch.join(before, [*keys, time], "left_anti")
         seen = batch.select(*keys, time)
-        newest = seen.select(F.max(time)).scalar()
+        # The newest time of batch and carry, so that a batch without rows keeps the carry
         kept = seen if before is None else seen.unionByName(before).distinct()
+        newest = kept.select(F.max(time)).scalar()
         return fresh, kept.filter(F.col(time) >= newest - F.expr(f"INTERVAL {delay}"))
 
     return start_with_carry(once, land, path)
@@ -133,15 +134,13 @@ def rate_limit(stream: DataFrame, keys: list[str], path: str, seconds: int = fx.
 
 
 def running_statistics(stream: DataFrame, channel: str, value: str, path: str) -> StreamingQuery:
-    """Mergeable sums per channel, complete mode."""
+    """Merged moments per channel, complete mode."""
     v = F.col(value)
     sums = stream.groupBy(channel).agg(
-        F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("min"), F.max(v).alias("max")
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    mean = F.col("s") / F.col("n")
-    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     return start_updates(
-        sums.select(channel, "n", mean.alias("mean"), F.greatest(spread, F.lit(1e-8)).alias("std"), "min", "max"), path, "complete"
+        sums.select(channel, "n", "mean", F.greatest("sd", F.lit(1e-8)).alias("std"), "min", "max"), path, "complete"
     )
 
 
