@@ -69,10 +69,10 @@ def scenario_scores(df: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def top_causes(df: DataFrame, ids: list[str], weights: dict[str, Column], thresholds: dict[str, float], low_is_risk, n: int = 5) -> DataFrame:
-    """The ``n`` heaviest factors per row with value, threshold and status; ties keep the given order."""
+    """The ``n`` heaviest factors per row with value, threshold and status; ties keep the given order, missing ones go last."""
     entries = F.array(
         *[
-            F.struct((-w).alias("_neg"), F.lit(i).alias("_i"), F.lit(f).alias("feature"), F.col(f).alias("value"))
+            F.struct(w.isNull().alias("_missing"), (-w).alias("_neg"), F.lit(i).alias("_i"), F.lit(f).alias("feature"), F.col(f).alias("value"))
             for i, (f, w) in enumerate(weights.items())
         ]
     )
