@@ -124,18 +124,22 @@ def _rank(line: int) -> int:
     return line - 1
 
 
+# The oracle names measures and channels by number: DuckDB fails on text columns of this size here
+_MEASURE_NO = {m: i for i, m in enumerate([*[m[0] for m in _MEASURES], "wind_dir_sin", "wind_dir_cos"])}
+
+
 def _measure_sql() -> str:
     parts = []
     for name, lines, expr in _MEASURES:
         for line in lines:
-            parts.append(f"SELECT station_id, obs_date, {_rank(line)} AS rk, '{name}' AS measure, {expr} AS v FROM v_station_obs WHERE l_linenumber = {line}")
+            parts.append(f"SELECT station_id, obs_date, {_rank(line)} AS rk, {_MEASURE_NO[name]} AS measure, {expr} AS v FROM v_station_obs WHERE l_linenumber = {line}")
     for name, fn in (("wind_dir_sin", "sin"), ("wind_dir_cos", "cos")):
-        parts.append(f"SELECT station_id, obs_date, 2, '{name}', {fn}(radians(din_ugl)) FROM v_station_obs WHERE l_linenumber = 3")
+        parts.append(f"SELECT station_id, obs_date, 2, {_MEASURE_NO[name]}, {fn}(radians(din_ugl)) FROM v_station_obs WHERE l_linenumber = 3")
     return " UNION ALL ".join(parts)
 
 
-_RULES = ", ".join(f"('{c}', '{m}', {min(r)}, {max(r)}, {tol})" for c, (m, r, tol) in cb.RAW_CHANNELS.items())
-_PIVOT = ", ".join(f"max(CASE WHEN channel = '{c}' THEN v END) AS {c}" for c in cb.RAW_CHANNELS)
+_RULES = ", ".join(f"({i}, {_MEASURE_NO[m]}, {min(r)}, {max(r)}, {tol})" for i, (m, r, tol) in enumerate(cb.RAW_CHANNELS.values()))
+_PIVOT = ", ".join(f"max(CASE WHEN channel = {i} THEN v END) AS {c}" for i, c in enumerate(cb.RAW_CHANNELS))
 _CUBE = (
     cte("v_stations", "v_station_obs") + f""", {_GRID8}, t AS (SELECT DISTINCT CAST(date_trunc('month', obs_date) AS DATE) AS date FROM v_station_obs), raw AS ({_measure_sql()}),
  once AS (SELECT station_id, obs_date, rk, measure, min(v) AS v FROM raw WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4), rules(channel, measure, r0, r1, tol) AS (VALUES {_RULES}),
