@@ -12,7 +12,7 @@ from ..streaming.carry import output_of
 from .base import cte, cte_recursive, day, dense_daily, query, r6, table, view
 from .quality import _ALL, _R, _WIN, field_readings
 from .seasons import _ADI, _FF, _W
-from .tables import requests
+from .tables import _ENDPOINT, requests
 
 SLICES = 3
 
@@ -89,16 +89,30 @@ def stream_latest(spark, d):
     return last_updates(finished(spark, job, path), ["sensor_id"]).select("sensor_id", "event_id", "field", "value")
 
 
-@query("stream_rate_limit")
+@query(
+    "stream_rate_limit",
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id, endpoint, t, row_number() OVER (PARTITION BY user_id, endpoint ORDER BY t, event_id) AS n
+      FROM (SELECT event_id, user_id, {_ENDPOINT} AS endpoint, epoch_us(ts) AS t FROM events)),
+    s AS (
+      SELECT user_id, endpoint, n, event_id, TRUE AS allowed, [t] AS log FROM e WHERE n = 1
+      UNION ALL
+      SELECT user_id, endpoint, n, event_id, len(past) < 2, CASE WHEN len(past) < 2 THEN list_append(past, t) ELSE past END
+      FROM (SELECT e.user_id, e.endpoint, e.n, e.event_id, e.t, list_filter(s.log, lambda x: x >= e.t - 43200000000) AS past
+            FROM s JOIN e ON e.user_id = s.user_id AND e.endpoint = s.endpoint AND e.n = s.n + 1)
+    )
+    SELECT event_id, allowed FROM s""",
+)
 def stream_rate_limit(spark, d):
-    """At most two admitted requests per user in twelve hours; checked against a replay in the tests."""
+    """At most two admitted requests per user and endpoint in twelve hours."""
     path = staging_path(spark, "rate")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, jobs.ROCKSDB)
-    r = requests(spark, d).select("event_id", "user_id", "ts", "micros", F.lit(2).alias("limit"))
-    jobs.rate_limit(feed(r, "ts", "rate").drop("ts"), ["user_id"], path, 43_200).awaitTermination()
-    spark.conf.set(setting, before)
+    r = requests(spark, d).select("event_id", "user_id", "endpoint", "ts", "micros", F.lit(2).alias("limit"))
+    try:
+        spark.conf.set(setting, jobs.ROCKSDB)
+        jobs.rate_limit(feed(r, "ts", "rate").drop("ts"), ["user_id", "endpoint"], path, 43_200).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema("event_id BIGINT, allowed BOOLEAN").parquet(f"{path}/out")
 
 
