@@ -11,12 +11,14 @@ Candidates of one band bucket are never expanded into all pairs:
 2. where a bucket still spans several components, the members outside its largest component meet all members, block by
    block, on their full sets inside one task, which returns at most a spanning forest.
 
-A pair is missed only if no band agrees: (1 - s**rows)**bands, 8e-7 at similarity 0.85 and less above.
+A pair is missed only if no band agrees, with probability (1 - s**ROWS)**bands at similarity s. There are as many bands as
+bring this below MISSED at the threshold (24 for 0.85, 35 for 0.8); above it the probability falls fast.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import per_row, per_text, staged
 
-BANDS, ROWS = 24, 5
+MISSED, ROWS = 1e-6, 5
 #: Signature shares more than five standard deviations below the threshold are rejected without the full sets
 SIGMAS = 5.0
 #: Sides of one block of step 2
@@ -196,15 +198,17 @@ def _forest(percent: int):
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
-    bands: int = BANDS, rows: int = ROWS, seed: int = 20240,
+    bands: int | None = None, rows: int = ROWS, seed: int = 20240,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id (smallest linked id, itself included), kept.
 
+    ``bands`` is derived from the threshold (below 100 percent) unless given.
     Two documents are linked when 100 * |A & B| >= ``percent`` * |A | B| over their distinct ``width``-word shingles
     (words are runs other than ASCII white space, A-Z lower-cased; shorter texts are one shingle).
     Null, empty and white-space-only texts have an empty set and link with nothing. Rows that share an id are one node.
     A null id can't name a component: such a row has a null component_id and is kept. Other columns are ignored.
     """
+    bands = bands or math.ceil(math.log(MISSED) / math.log(1 - min(percent / 100, 0.99) ** rows))
     sig = staged(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
     valued = sig.filter("k1 is not null and id is not null")
     # Equal sets are one class, named by its smallest id
