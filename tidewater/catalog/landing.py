@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_double
+from ..functions.udfs import score_rows
 from ..operators import tables as tb
 from ..operators.cube import merge_prefer_new, norm_stats, to_long
 from ..plans.frames import staging_path
@@ -212,7 +214,38 @@ def grid_points_union(spark, d):
     merged = tb.union_prefer_first([first, second], ["date", "station_id"]).filter(
         F.col("current_u").isNotNull() & F.col("current_v").isNotNull()
     )
-    return merged.select(day("date"), "station_id", r6("current_u"), r6("current_v"), r6("mld"))
+    return merged.orderBy("date", "station_id").select(day("date"), "station_id", r6("current_u"), r6("current_v"), r6("mld"))
+
+
+@query(
+    "csv_windows",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS window_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS target_date, o_orderpriority AS region, "
+    "CAST(o_orderkey % 2 AS INTEGER) AS y_true, round(o_totalprice, 2) AS v19_score FROM orders",
+)
+def csv_windows(spark, d):
+    """Labelled windows written as CSV and read back with their schema."""
+    path = staging_path(spark, "windows")
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("window_id"), F.to_date("o_orderdate").alias("target_date"), F.col("o_orderpriority").alias("region"),
+        F.lit(35.0).alias("lat"), F.lit(126.0).alias("lon"), (F.col("o_orderkey") % 2).cast("int").alias("y_true"), F.col("o_totalprice").alias("v19_score"),
+    )
+    orders.write.option("header", True).csv(path)
+    back = st.read_labelled_windows(spark, path)
+    return back.select("window_id", day("target_date"), "region", "y_true", round_half_up(F.col("v19_score"), 2).alias("v19_score"))
+
+
+@query("present_columns", cte("v_station_obs") + "SELECT station_id, l_linenumber, salinity, water_temp FROM v_station_obs")
+def present_columns(spark, d):
+    """The requested channels that the readings have; the others are left out."""
+    return tb.keep_present(view(spark, d, "v_station_obs"), ["station_id", "l_linenumber"], ["salinity", "absent_channel", "water_temp"])
+
+
+@query("scored_rows", "SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DOUBLE) * 2 - coalesce(CAST(l_tax AS DOUBLE), 0), 6) AS score FROM lineitem")
+def scored_rows(spark, d):
+    """A vectorised scorer evaluated once per batch."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    scored = score_rows(lines, ["l_quantity", "l_tax"], lambda m: m[:, 0] * 2 - np.nan_to_num(m[:, 1]))
+    return scored.select("l_orderkey", "l_linenumber", r6("score"))
 
 
 @query("sink_roundtrip", cte("v_station_obs") + "SELECT station_id, count(*) AS n, round(sum(din_ugl), 4) AS din_sum FROM v_station_obs GROUP BY 1")

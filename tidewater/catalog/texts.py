@@ -74,6 +74,22 @@ def chunk_documents(spark, d):
     return chunks(spark, d)
 
 
+@query(
+    "section_chunks",
+    rf"""WITH m AS (SELECT page_id, 'page ' || CAST(page_id AS VARCHAR) AS title, regexp_replace(regexp_replace({_MD}, '{_CTRL}', '', 'g'), '(?m)^(#{{1,3}}[ \t]+[^\n]+)$', chr(30) || '\1', 'g') AS body FROM pages),
+    s AS (SELECT page_id, title, unnest(string_split(body, chr(30))) AS s, unnest(range(len(string_split(body, chr(30))))) AS section_no FROM m),
+    h AS (SELECT *, section_no > 0 AND regexp_matches(s, '^#{{1,3}}[ \t]+[^\n]+') AS heading FROM s),
+    c AS (SELECT page_id, title, CAST(section_no AS INT) AS section_no, CASE WHEN heading THEN trim(ltrim(trim(regexp_extract(s, '^#{{1,3}}[ \t]+([^\n]+)', 1)), '#')) ELSE title END AS section_title, regexp_replace(trim(regexp_replace(CASE WHEN heading THEN regexp_replace(s, '^#{{1,3}}[ \t]+[^\n]+\n?', '') ELSE s END, '(?s)```.*?```', '', 'g'), E' \n\t\r'), '\n{{3,}}', E'\n\n', 'g') AS content FROM h),
+    documents AS (SELECT page_id * 10000 + section_no AS doc_id, content AS text FROM c WHERE length(content) >= 40),
+    {_CHUNKS}
+    SELECT c.page_id, c.section_no, k.chunk_no, CASE WHEN section_title = title THEN title ELSE title || ' — ' || section_title END AS title, k.content
+    FROM chunks k JOIN c ON c.page_id * 10000 + c.section_no = k.doc_id""",
+)
+def section_chunks(spark, d):
+    """Pages cut into sections, sections into chunks, titled by page and section."""
+    return rt.section_chunks(pages_markdown(spark, d), ["page_id"], "title", "body")
+
+
 @query("chunk_ids", f"WITH {_CHUNKS}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS i FROM chunks) SELECT doc_id, chunk_no, 'doc_' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END AS chunk_id, 'doc ' || CAST(doc_id AS VARCHAR) || E'\\n' || content AS index_text FROM n")
 def chunk_ids(spark, d):
     titled = chunks(spark, d).withColumn("title", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))

@@ -38,6 +38,15 @@ def chunk_documents(docs: DataFrame, keys: list[str], text: str, limit: int = fx
     return exploded.filter(F.length("content") >= fx.MIN_CHUNK_CHARS)
 
 
+def section_chunks(docs: DataFrame, doc: list[str], title: str, body: str, limit: int = fx.MAX_CHUNK_CHARS) -> DataFrame:
+    """Chunks inside the sections of every document, titled 'document — section' (the document's title before a heading)."""
+    sections = split_sections(docs, doc, title, body)
+    named = F.when(F.col("section_title") == F.col(title), F.col(title)).otherwise(F.concat_ws(" — ", title, "section_title"))
+    titled = sections.withColumn("_title", named)
+    chunks = chunk_documents(titled, [*doc, "section_no", "_title"], "content", limit)
+    return chunks.select(*doc, "section_no", "chunk_no", F.col("_title").alias("title"), "content")
+
+
 def assign_chunk_ids(chunks: DataFrame, order: list[tuple[str, bool]], title: str = "title") -> DataFrame:
     """Zero-padded running ids in document order and the text that gets indexed."""
     placed = row_index(chunks, [], order, "_pos")
