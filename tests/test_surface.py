@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions import registry, udfs
+from tidewater.functions import geo, numeric, registry, risk, seasons, udfs
 from tidewater.operators import labels, quality, temporal
 from tidewater.plans import frames
 from tidewater.sources import landed
@@ -20,6 +20,24 @@ def test_sql_functions(spark):
     assert tuple(r) == (3, None, 2.0, 5.0, False)
 
 
+def test_sql_functions_equal_the_columns(spark):
+    registry.register_sql_functions(spark)
+    df = spark.sql("""SELECT * FROM VALUES (0.0D, 2.5D, DATE '2024-11-02'), (-3.25D, 0.125D, DATE '2024-02-29'), (17.0D, 0.0D, DATE '2023-07-31'), (0.85D, 12.345D, DATE '2025-05-01')
+        AS t(a, b, d)""")
+    a, b, d = F.col("a"), F.col("b"), F.col("d")
+    same = {
+        "tw_falsy_coalesce(a, b, 9D)": numeric.falsy_coalesce(a, b, default=9.0), "tw_within(a, 0D, 1D)": numeric.within(a, 0.0, 1.0),
+        "tw_round_half_up(b, 2)": numeric.round_half_up(b, 2), "tw_round_half_up(a, 1)": numeric.round_half_up(a, 1), "tw_wind_sin(a)": numeric.wind_vector(a)[0], "tw_wind_cos(a)": numeric.wind_vector(a)[1],
+        "tw_month_sin(d)": numeric.month_cycle(d)[0], "tw_month_cos(d)": numeric.month_cycle(d)[1], "tw_squared_degrees(a, b, b, a)": geo.squared_degrees(a, b, b, a),
+        "tw_great_circle_km(a, b, b, a)": geo.great_circle_km(a, b, b, a), "tw_season_id(d)": seasons.season_id(d), "tw_season_name(d)": seasons.season_name(d),
+        "tw_sst_weight(a)": seasons.sst_weight(a), "tw_severity_band(a)": risk.severity_band(a), "tw_nutrient_status(a, 0D, 1D)": risk.nutrient_status(a, 0.0, 1.0),
+        "tw_risk_din_only(a)": risk.risk_index_din_only(a), "tw_clamp(a, 0D, 1D)": numeric.clamp(a, 0.0, 1.0), "tw_risk_stage(a)": risk.risk_stage(a),
+    }
+    row = df.select(*[F.struct(F.collect_list(F.expr(s)).alias("x"), F.collect_list(c).alias("y")).alias(f"f{i}") for i, (s, c) in enumerate(same.items())]).first()
+    for name, pair in zip(same, row):
+        assert all(p == q or abs(p - q) <= 1e-12 * abs(q) + 1e-15 for p, q in zip(pair.x, pair.y, strict=True)), name
+
+
 def test_table_functions(spark):
     udfs.register_table_functions(spark)
     rows = spark.sql("SELECT * FROM tw_envelope_items('{\"body\":{\"item\":[{\"a\":1},{\"a\":2}]}}', 'body.item')").collect()
