@@ -14,8 +14,8 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .shared import per_text
 
 #: Pieces, and their bytes, remembered per task before starting anew
-REMEMBERED, REMEMBERED_BYTES = 1 << 19, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
+#: Bytes of text that one step encodes, and ids that one step decodes
+STEP_BYTES, STEP_IDS = 4 << 20, 1 << 19
 #: Longest piece in bytes that is merged in groups of one length
 LONGEST = 48
 
@@ -268,23 +270,51 @@ def encode(
 
         return compute
 
-    return per_text(docs, text_col, [id_col, *(keep or [])], "ids array<int>", make)
+    return per_text(docs, text_col, [id_col, *(keep or [])], "ids array<int>", make, STEP_BYTES)
 
 
-def decode(ids: Column, ranks_path: str) -> Column:
-    """Bytes of an array of ids; null for a null array or one that holds an unknown or null id."""
+class Vocabulary:
+    """Bytes of ids, as one block that is gathered from."""
 
-    @F.pandas_udf("binary")
-    def to_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = {rank: token for token, rank in load_ranks(ranks_path).items()}
+    def __init__(self, ranks: dict[bytes, int]):
+        top = max(ranks.values(), default=-1) + 1
+        self.start, self.size = np.zeros(top + 1, np.int64), np.full(top + 1, -1, np.int64)
+        at = 0
+        for token, rank in ranks.items():
+            self.start[rank], self.size[rank] = at, len(token)
+            at += len(token)
+        self.block = np.frombuffer(b"".join(ranks), np.uint8)
+
+    def bytes_of(self, ids: pa.ListArray) -> pa.Array:
+        """Bytes of every list; null for a null list or one that holds an unknown or null id."""
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        values = ids.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1).to_numpy()
+        offsets = offsets - offsets[0]
+        known = np.where((values >= 0) & (values < len(self.size) - 1), values, len(self.size) - 1)
+        sizes = self.size[known]
+        faults = np.concatenate([[0], np.cumsum(sizes < 0)])
+        sizes = np.maximum(sizes, 0)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.block[np.arange(total) + np.repeat(self.start[known] - ends + sizes, sizes)]
+        bounds = np.concatenate([[0], ends])[offsets].astype(np.int32)
+        whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        sound = (faults[offsets[1:]] == faults[offsets[:-1]]) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return pa.compute.if_else(pa.array(sound), whole, pa.scalar(None, pa.binary()))
 
-        def text(row):
-            try:
-                return None if row is None else b"".join(map(tokens.__getitem__, row.tolist()))
-            except KeyError:
-                return None
 
-        for batch in batches:
-            yield pd.Series([text(row) for row in batch], dtype=object)
+def decode(ids: Column, ranks_path: str) -> Column:
+    """Bytes of an array of ids; null for a null array or one that holds an unknown or null id."""
 
-    return to_bytes(ids)
+    @F.arrow_udf("binary")
+    def to_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = Vocabulary(load_ranks(ranks_path))
+        for batch in batches:
+            offsets, parts, start = batch.offsets.to_numpy(), [], 0
+            while start < len(batch):
+                stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + STEP_IDS, "right")) - 1)
+                parts.append(vocabulary.bytes_of(batch.slice(start, stop - start)))
+                start = stop
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    return to_bytes(ids.cast("array<int>"))

@@ -55,10 +55,10 @@ def per_row(
 
 def per_text(
     docs: DataFrame, text_col: str, keep: list[str], added: str,
-    make: Callable[[], Callable[[list[bytes]], list[pa.Array]]],
+    make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], limit: int = 8 << 20,
 ) -> DataFrame:
     """Columns ``keep`` of every row, then those of the DDL ``added``, which the function built by ``make`` computes from
-    the texts of a bounded slice of rows. Kept columns may have any names and types."""
+    the texts of a slice of rows of about ``limit`` bytes. Kept columns may have any names and types."""
     kept = [f"_{i}" for i in range(len(keep))]
     names = [part.split()[0] for part in added.split(", ")]
 
@@ -66,7 +66,7 @@ def per_text(
         compute = make()
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", limit):
                 made = compute(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=kept + names)
 
