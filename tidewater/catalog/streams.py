@@ -14,11 +14,14 @@ from .quality import _ALL, _R, _WIN, field_readings
 from .seasons import _ADI, _FF, _W
 from .tables import _ENDPOINT, requests
 
-SLICES = 3
+SLICES, FILES = 3, 4
 
 
-def feed(df, order, label, slices=SLICES):
-    """Write ``df`` in time slices, one after the other, and read the folder as a stream of one slice per batch."""
+def feed(df, order, label, slices=SLICES, files=FILES):
+    """Write ``df`` in time slices, one after the other, and read the folder as a stream of one slice per batch.
+
+    Every slice becomes the same number of files, written by as many tasks; a batch takes that many.
+    """
     spark = df.sparkSession
     path = staging_path(spark, f"feed-{label}")
     cut = F.percentile_approx(F.unix_date(F.col(order).cast("date")), [i / slices for i in range(1, slices)], 1000)
@@ -27,9 +30,12 @@ def feed(df, order, label, slices=SLICES):
     piece = F.lit(0)
     for p in points:
         piece = piece + (number > p).cast("int")
+    share = F.pmod(F.xxhash64(*df.columns), F.lit(files)).cast("int")
+    if df.select(piece.alias("p"), share.alias("s")).distinct().count() < slices * files:
+        share, files = F.lit(0), 1  # too few rows for as many files in every slice
     for i in range(slices):
-        df.filter(piece == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(piece == i).repartitionById(files, share).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finished(spark, job, path):
