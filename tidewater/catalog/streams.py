@@ -75,14 +75,15 @@ def stream_adi(spark, d):
 
 @query(
     "stream_perf",
-    cte("v_scores") + """, w AS (SELECT pred_id, count(*) OVER v AS win_n, avg(latency_ms) OVER v AS lm, avg(warn) OVER v AS sm, list(latency_ms) OVER v AS l FROM v_scores WINDOW v AS (PARTITION BY farm_id % 7 ORDER BY date, pred_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
-    SELECT pred_id, win_n, round(lm, 6) AS latency_mean, round(sm, 6) AS score_mean, list_sort(l)[CAST(least(win_n * 95 // 100, win_n - 1) + 1 AS INT)] AS latency_p95 FROM w""",
+    cte("v_scores") + """, w AS (SELECT pred_id, count(*) OVER v AS win_n, avg(latency_ms) OVER v AS lm, avg(warn) OVER v AS sm, list(latency_ms) OVER v AS l, list(stage) OVER v AS st FROM v_scores WINDOW v AS (PARTITION BY farm_id % 7 ORDER BY date, pred_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
+    SELECT pred_id, win_n, round(lm, 6) AS latency_mean, round(sm, 6) AS score_mean, list_sort(l)[CAST(least(win_n * 95 // 100, win_n - 1) + 1 AS INT)] AS latency_p95,
+      CASE WHEN win_n >= 30 THEN round(abs(list_sum(list_transform([0, 1, 2, 3, 4], lambda s: CASE WHEN round(len(list_filter(st, lambda x: x = s))::DOUBLE / win_n, 4) > 0 THEN round(len(list_filter(st, lambda x: x = s))::DOUBLE / win_n, 4) * (round(len(list_filter(st, lambda x: x = s))::DOUBLE / win_n, 4) / (0.2 + 1e-8) + 1e-8) ELSE 0 END)) - 1), 6) END AS chi2_drift FROM w""",
 )
 def stream_perf(spark, d):
     path = staging_path(spark, "perf")
     scores = view(spark, d, "v_scores").withColumn("model", F.col("farm_id") % 7)
-    job = jobs.monitor(feed(scores, "date", "perf"), ["model"], ["date", "pred_id"], "latency_ms", "warn", path)
-    return finished(spark, job, path).select("pred_id", "win_n", r6("latency_mean"), r6("score_mean"), "latency_p95")
+    job = jobs.monitor(feed(scores, "date", "perf"), ["model"], ["date", "pred_id"], "latency_ms", "warn", path, stage="stage", baseline=[0.2] * 5)
+    return finished(spark, job, path).select("pred_id", "win_n", r6("latency_mean"), r6("score_mean"), "latency_p95", r6("chi2_drift"))
 
 
 @query(

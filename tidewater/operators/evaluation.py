@@ -132,14 +132,18 @@ def stage_shares(df: DataFrame, stage: str = "stage", n_stages: int = 5) -> Data
     return df.agg(F.count("*").alias("n"), *[share(s).alias(f"share_{s}") for s in range(n_stages)])
 
 
+def _drift(shares: list[Column], baseline: list[float], n: Column, min_rows: int) -> Column:
+    """Chi-square style distance of shares from a baseline; NULL with too few rows."""
+    total = F.lit(0.0)
+    for c, b in zip(shares, baseline):
+        total = total + F.when(c > 0, c * (c / F.lit(b + 1e-8) + F.lit(1e-8))).otherwise(0.0)
+    return F.when(n >= min_rows, F.abs(total - 1.0))
+
+
 def drift_score(df: DataFrame, baseline: list[float], stage: str = "stage", threshold: float = 0.3, min_rows: int = 30) -> DataFrame:
     """Chi-square style distance of the stage shares from a baseline; NULL with too few rows."""
     shares = stage_shares(df, stage, len(baseline))
-    total = F.lit(0.0)
-    for i, b in enumerate(baseline):
-        c = F.col(f"share_{i}")
-        total = total + F.when(c > 0, c * (c / F.lit(b + 1e-8) + F.lit(1e-8))).otherwise(0.0)
-    score = F.when(F.col("n") >= min_rows, F.abs(total - 1.0))
+    score = _drift([F.col(f"share_{i}") for i in range(len(baseline))], baseline, F.col("n"), min_rows)
     return shares.withColumn("chi2_drift", score).withColumn(
         "is_drift", F.coalesce(F.col("chi2_drift") > threshold, F.lit(False))
     )
@@ -168,9 +172,10 @@ def perf_summary(df: DataFrame, latency: str, score: str) -> DataFrame:
 
 
 def perf_rolling(
-    df: DataFrame, keys: list[str], order: list[tuple[str, bool]], latency: str, score: str, window: int = 200, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[tuple[str, bool]], latency: str, score: str, window: int = 200, hot_rows: int = HOT_ROWS,
+    stage: str | None = None, baseline: list[float] | None = None, threshold: float = 0.3, min_rows: int = 30,
 ) -> DataFrame:
-    """Trailing-window monitor statistics at every inference."""
+    """Trailing-window monitor statistics at every inference; with ``stage`` and ``baseline`` also the window's drift."""
 
     def measure(part: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*[F.col(c) for c, _ in order]).rowsBetween(-(window - 1), 0)
@@ -188,7 +193,14 @@ def perf_rolling(
         at = lambda p: F.element_at(
             "_sorted", F.least(F.floor(F.col("win_n") * F.lit(p) / 100), F.col("win_n") - 1).cast("int") + 1
         )
-        return out.withColumns({f"latency_p{p}": at(p) for p in (50, 95, 99)}).drop("_sorted")
+        out = out.withColumns({f"latency_p{p}": at(p) for p in (50, 95, 99)}).drop("_sorted")
+        if stage is None or not baseline:
+            return out
+        inside = [f"_in_{s}" for s in range(len(baseline))]
+        counted = out.withColumns({c: F.count_if(F.col(stage) == s).over(w) for s, c in enumerate(inside)})
+        shares = [round_half_up(F.col(c) / F.col("win_n"), 4) for c in inside]
+        scored = counted.withColumn("chi2_drift", _drift(shares, baseline, F.col("win_n"), min_rows)).drop(*inside)
+        return scored.withColumn("is_drift", F.coalesce(F.col("chi2_drift") > threshold, F.lit(False)))
 
     return framed(df, keys, order, measure, preceding=window - 1, hot_rows=hot_rows)
 

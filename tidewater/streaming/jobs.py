@@ -67,14 +67,17 @@ def deficit_index(stream: DataFrame, cell: list[str], path: str) -> StreamingQue
     return start_with_carry(stream, step, path)
 
 
-def monitor(stream: DataFrame, keys: list[str], order: list[str], latency: str, score: str, path: str, window: int = 200) -> StreamingQuery:
-    """T4: trailing-window statistics, the window spanning micro-batches."""
+def monitor(
+    stream: DataFrame, keys: list[str], order: list[str], latency: str, score: str, path: str, window: int = 200,
+    stage: str | None = None, baseline: list[float] | None = None,
+) -> StreamingQuery:
+    """T4: trailing-window statistics and drift, the window spanning micro-batches."""
 
     def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
         rows = batch.withColumn("_new", F.lit(True))
         if before is not None:
             rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
-        stats = perf_rolling(rows, keys, [(c, True) for c in order], latency, score, window).filter("_new").drop("_new")
+        stats = perf_rolling(rows, keys, [(c, True) for c in order], latency, score, window, stage=stage, baseline=baseline).filter("_new").drop("_new")
         return stats, last_n_per_key(rows.drop("_new"), keys, order, window - 1).drop("recency")
 
     return start_with_carry(stream, step, path)
