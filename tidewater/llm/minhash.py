@@ -212,7 +212,7 @@ def near_duplicates(
     sig = staged(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
     valued = sig.filter("k1 is not null and id is not null")
     # Equal sets are one class, named by its smallest id
-    named = valued.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    named = staged(valued.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "named")
     classes = staged(
         valued.join(named.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi")
         .select("id", "n_shingles", "minima", "bands").dropDuplicates(["id", "bands"]), "classes",
@@ -267,7 +267,8 @@ def near_duplicates(
     # Classes -> components -> rows. Rows that share an id join the classes of all their texts
     by_class = named.select("k1", "k2", F.col("rep").alias("node")).join(grouped, "node", "left").withColumn(
         "component", F.coalesce("component", "node")).join(merged, "component", "left")
-    final = by_class.select("k1", "k2", F.coalesce("final", "component").alias("component_id"))
+    # Written, so that the rows of a large group of copies meet it in a plain join, which can split them
+    final = staged(by_class.select("k1", "k2", F.coalesce("final", "component").alias("component_id")), "final")
     return sig.join(final, ["k1", "k2"], "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
