@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .shared import per_text
 
-#: Pieces, and their bytes, remembered per task before starting anew
-REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
+#: Pieces, and their bytes, remembered per task before starting anew (about 50 MB)
+REMEMBERED, REMEMBERED_BYTES = 120_000, 16 << 20
 #: Bytes of text that one step encodes, and ids that one step decodes
-STEP_BYTES, STEP_IDS = 4 << 20, 1 << 19
+STEP_BYTES, STEP_IDS = 1 << 20, 1 << 18
 #: Longest piece in bytes that is merged in groups of one length
 LONGEST = 48
 
@@ -251,26 +251,34 @@ def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
+    verify: bool = False,
 ) -> DataFrame:
     """(id_col, further columns ``keep``, ids array<int>) per row: the ids of the whole text, without special tokens.
 
+    With ``verify`` also round_trip boolean: whether the ids, decoded again, are the bytes of the text.
+
     Null and empty texts give an empty array. Repeated rows give repeated results. ``pattern`` is in the syntax of the
     ``regex`` module; text that no match covers is left out, as the public patterns cover everything.
     ``ranks_path`` must be readable on the executors.
     """
 
     def make():
-        pieces, split = Pieces(load_ranks(ranks_path)), regex.compile(pattern).findall
+        ranks = load_ranks(ranks_path)
+        pieces, split, vocabulary = Pieces(ranks), regex.compile(pattern).findall, Vocabulary(ranks)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
             flat, counts = pieces.encode(split(text.decode("utf-8", "replace")) for text in texts)
             ends = np.concatenate([[0], np.cumsum(counts)])
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            if not verify:
+                return [ids]
+            return [ids, pa.compute.equal(vocabulary.bytes_of(ids), pa.array(texts, pa.binary()))]
 
         return compute
 
-    return per_text(docs, text_col, [id_col, *(keep or [])], "ids array<int>", make, STEP_BYTES)
+    added = "ids array<int>" + ", round_trip boolean" * verify
+    return per_text(docs, text_col, [id_col, *(keep or [])], added, make, STEP_BYTES)
 
 
 class Vocabulary:

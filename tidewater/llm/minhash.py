@@ -37,7 +37,7 @@ SIGMAS = 5.0
 OUTSIDERS, MEMBERS = 256, 1024
 #: Candidate ids up to this number (8 MB) are broadcast to read their texts again, else joined by a shuffle
 BROADCAST_IDS = 1 << 20
-_VOCABULARY = 1 << 19
+_VOCABULARY = 1 << 17
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93)]
 

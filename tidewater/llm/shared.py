@@ -55,7 +55,7 @@ def per_row(
 
 def per_text(
     docs: DataFrame, text_col: str, keep: list[str], added: str,
-    make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], limit: int = 8 << 20,
+    make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], limit: int = 4 << 20,
 ) -> DataFrame:
     """Columns ``keep`` of every row, then those of the DDL ``added``, which the function built by ``make`` computes from
     the texts of a slice of rows of about ``limit`` bytes. Kept columns may have any names and types."""
@@ -78,7 +78,7 @@ def per_text(
     return out.toDF(*keep, *names)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of ``batch`` whose ``column`` holds about ``limit`` bytes at most, one row at least."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start, total = 0, 0
