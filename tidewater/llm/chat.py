@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 START, END = "### ", "</turn>\n"
 #: Turns of one conversation are summed in ranges of this many turn numbers, then range by range
 _RANGE = 256
@@ -89,9 +91,11 @@ def format_windows(
         F.length(head).alias("head"), (F.col("role") == target_role).alias("target"),
         F.concat(head, escape(F.col("text")), F.lit(END)).alias("piece"),
     )
+    # Written, as four joins read them
+    pieces = staged(pieces, "pieces")
     same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
-    windows = pieces.groupBy("conv_id", "cell", "crossing").agg(
-        F.min("pos").alias("window"), F.min(F.when(~F.col("_system"), F.col("_start"))).alias("first"))
+    windows = staged(pieces.groupBy("conv_id", "cell", "crossing").agg(
+        F.min("pos").alias("window"), F.min(F.when(~F.col("_system"), F.col("_start"))).alias("first")), "windows")
     fields = ["pos", "target", "head", "piece"]
     new = pieces.alias("p").join(
         windows.alias("w"), same("p", "w") & (F.col("p.cell") == F.col("w.cell")) & (F.col("p.crossing") == F.col("w.crossing"))
