@@ -305,6 +305,28 @@ def test_leaks_with_other_values(spark, monkeypatch):
     assert decontaminate.find_leaks(df, items.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), items).count() == 0
 
 
+def leaks(spark, items, texts):
+    """(document, item) positions of the leaks found."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id BIGINT, text STRING")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, asked).collect()}
+
+
+def test_leaks_with_words_put_in_and_longer_names(spark):
+    rng = np.random.default_rng(5)
+    long = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    train = "x. A train leaves {0} at 90 km per hour and reaches {1} after 7 hours. How far is {1}? so"
+    texts = [
+        " ".join(long[:150] + ["page"] + long[150:]), " ".join(long[:100] + long[101:200] + ["27", "28"] + long[200:]), " ".join(long[:100]),
+        train.format("Boston", "Salt Lake City"), train.format("New York", "Rome"), " ".join(reversed(long)), " ".join(long[:150] + ["z"] * 5000 + long[150:]),
+    ]
+    out = leaks(spark, [" ".join(long), "A train leaves Boston at 60 km per hour and reaches Denver after 5 hours. How far is Denver?"], texts)
+    assert set(out) == {(0, 0), (1, 0), (3, 1), (4, 1)} and out[0, 0].matched == 286 and not out[3, 1].exact
+    other = leaks(spark, ["Salt Lake City is the largest town between Reno and Grand Junction today"], [
+        "we know that Salt Lake City is the largest town between Reno and Grand Junction today", "salt lake city is the largest town between reno and grand junction today"])
+    assert set(other) == {(0, 0), (1, 0)}
+
+
 # Language
 
 

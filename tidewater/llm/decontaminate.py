@@ -1,9 +1,10 @@
 """Benchmark leaks, re-parameterised ones included, with column functions only.
 
-Texts are brought to templates: numbers, names (title-case words that do not begin a sentence) and units after a number become
-typed placeholders, everything else is lower-cased words. Windows of template tokens of the documents are hash-joined with those
-of the benchmark; matches of one item that share an alignment count together. Where enough of an item's windows match,
-the placeholders' values must be consistent: one benchmark value always stands for one document value.
+Texts are brought to templates: numbers, names (runs of title-case words that do not begin a sentence) and units after a number
+become typed placeholders, everything else is lower-cased words. Windows of template tokens of the documents are hash-joined with
+those of the benchmark; matches of one item within about its length count together, so words put in or left out between them
+do no harm. Where enough of an item's windows match, the values of the placeholders in them must be consistent: one benchmark
+value always stands for one document value.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ WINDOW, COVERAGE, LITERALS = 8, 0.5, 3
 BROADCAST_WINDOWS = 1 << 18
 #: Matched documents up to this number are broadcast to read their texts again
 BROADCAST_IDS = 1 << 20
-NUMBER, NAME, UNIT = "\x04", "\x05", "\x06"
+#: Marks before a number, a name and a unit, and after a name
+NUMBER, NAME, UNIT, END = "\x04", "\x05", "\x06", "\x07"
 UNITS = (
     "mm|cm|m|km|in|ft|yd|mi|mg|g|kg|t|oz|lb|lbs|ml|l|cl|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|usd|eur|dollars|euros|cents|"
     "percent|meters|metres|kilometers|kilometres|miles|inches|feet|grams|kilograms|liters|litres|watts|volts|degrees"
@@ -30,55 +32,91 @@ _NUM = r"[0-9]+(?:[.,][0-9]+)*+"
 def _plain(text: Column) -> Column:
     """The text, null as empty, without the control characters that serve as placeholders."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(t.rlike(r"[\x04-\x06]"), F.translate(t, NUMBER + NAME + UNIT, "   ")).otherwise(t)
+    return F.when(t.rlike(r"[\x04-\x07]"), F.translate(t, NUMBER + NAME + UNIT + END, "    ")).otherwise(t)
 
 
-def surface(text: Column) -> Column:
-    """The words and numbers of a text as they are written; one for each template token."""
-    return F.regexp_extract_all(_plain(text), F.lit(f"{_NUM}|{_WORD}"), 0)
+def marked(text: Column) -> Column:
+    """Lower-cased words of a text, a run of name words as one; numbers, names and units are led by their mark."""
+    word = r"\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
+    # Cheap look at the first letter, then what stands before it: a letter, or the end of a sentence and up to three marks
+    name = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])(?<!(?:^|[.!?:;\n])[\"'()\[\]*\s]{{0,3}}){word}(?:[ \t -]+{word})*+"
+    t = F.regexp_replace(_plain(text), name, f"{NAME}$0{END}")
+    t = F.regexp_replace(t, _NUM, f" {NUMBER}$0 ")
+    unit = rf"({NUMBER}[0-9.,]++\s*)((?i:{UNITS})(?![\p{{L}}\p{{M}}]))"
+    t = F.regexp_replace(t, unit, f"$1{UNIT}$2")
+    found = F.regexp_extract_all(F.lower(t), F.lit(f"{NAME}[^{END}]*{END}|{NUMBER}{_NUM}|{UNIT}?{_WORD}"), 0)
+    return F.transform(found, lambda x: F.when(x.startswith(NAME), F.concat(F.lit(NAME), F.array_join(_words(x), " "))).otherwise(x))
+
+
+def _words(name: Column) -> Column:
+    return F.filter(F.split(name, r"[^\p{L}\p{M}]+", -1), lambda x: x != "")
+
+
+def _kind(token: Column) -> Column:
+    """The template token of a marked one."""
+    return F.when(token < "\x08", F.left(token, F.lit(1))).otherwise(token)
 
 
 def template(text: Column) -> Column:
     """Template tokens of a text."""
-    # Cheap look at the first letter, then what stands before it: a letter, or the end of a sentence and up to three marks
-    name = r"(?=\p{Lu})(?<![\p{L}\p{M}])(?<!(?:^|[.!?:;\n])[\"'()\[\]*\s]{0,3})\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
-    t = F.regexp_replace(_plain(text), name, NAME)
-    t = F.regexp_replace(t, _NUM, f" {NUMBER} ")
-    unit = rf"({NUMBER}\s*)(?i:{UNITS})(?![\p{{L}}\p{{M}}])"
-    t = F.regexp_replace(t, unit, f"$1{UNIT}")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}]+", -1), lambda x: x != "")
+    return F.transform(marked(text), _kind)
+
 
+def _named(token: Column) -> Column:
+    return token.isin(NUMBER, NAME, UNIT)
 
-def _hash(tokens: str, at: Column, width: int) -> Column:
-    return F.xxhash64(F.lit(width), *[F.get(F.col(tokens), at + k) for k in range(width)])
 
+def _windows(docs: DataFrame, widths: list[int], keep: list[str]) -> DataFrame:
+    """(keep..., at, h) for every window of each of the ``widths`` of the marked tokens ``m``."""
+    tokens = docs.withColumn("t", F.transform("m", _kind)).filter(F.size("t") >= min(widths))
+    spread = tokens.select(*keep, "m", "t", F.explode(F.sequence(F.lit(0), F.size("t") - min(widths))).alias("at"))
 
-def _windows(df: DataFrame, tokens: str, width: int, keep: list[str]) -> DataFrame:
-    """(keep..., at, h) for every window of ``width`` tokens."""
-    spread = df.filter(F.size(tokens) >= width).select(*keep, tokens, F.explode(F.sequence(F.lit(0), F.size(tokens) - width)).alias("at"))
-    return spread.select(*keep, "at", _hash(tokens, F.col("at"), width).alias("h"))
+    def value(width: int) -> Column:
+        return F.xxhash64(F.lit(width), *[F.get("t", F.col("at") + k) for k in range(width)])
 
+    if len(widths) == 1:
+        return spread.select(*keep, "at", value(widths[0]).alias("h"))
+    every = F.array(*[F.when(F.col("at") + w <= F.size("t"), value(w)) for w in widths])
+    return spread.select(*keep, "at", F.explode(every).alias("h")).filter("h is not null")
 
-def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, literals: int) -> DataFrame:
-    """(item, width, n_windows, at, h): windows of every item, as a template, with its first word read as a name too, and with
-    names read as plain words too. An item shorter than ``window`` is one window of its own width; windows with fewer than
-    ``literals`` (or, in short items, one) plain tokens say nothing about a template and are left out."""
-    named = lambda x: x.isin(NUMBER, NAME, UNIT)
-    items = benchmark.select(F.col(id_col).alias("item"), template(F.col(text_col)).alias("t"), surface(F.col(text_col)).alias("s")).filter("size(t) > 0")
-    title = F.get("s", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}+$")
+
+def benchmark_forms(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(key, item, n, n_windows, forms): every item's text as a template, with its first word read as a name too, and with names read
+    as plain words too. A form is an array of template token x, marked token y, value v and the token's position p in the first form."""
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).distinct().select(
+        F.monotonically_increasing_id().alias("key"), "item", marked(F.col("text")).alias("m"),
+        F.regexp_extract(_plain(F.col("text")), f"{_NUM}|{_WORD}", 0).rlike(r"^\p{Lu}\p{Ll}+$").alias("title")).filter("size(m) > 0")
+
+    def token(y: Column, p: Column) -> Column:
+        return F.struct(_kind(y).alias("x"), y.alias("y"), F.when(y < "\x08", F.substr(y, F.lit(2))).otherwise(y).alias("v"), p.alias("p"))
+
+    first, second = F.get("m", F.lit(0)), F.get("m", F.lit(1))
+    run = F.coalesce(second.startswith(NAME), F.lit(False))
+    led = F.when(run, F.concat(F.lit(NAME), first, F.lit(" "), F.substr(second, F.lit(2)))).otherwise(F.concat(F.lit(NAME), first))
+    items = items.withColumn("f", F.transform("m", token))
     forms = F.array(
-        F.col("t"),
-        F.when(title, F.concat(F.array(F.lit(NAME)), F.slice("t", F.lit(2), F.size("t")))).otherwise(F.col("t")),
-        F.transform("t", lambda x, i: F.when(x == NAME, F.lower(F.get("s", i))).otherwise(x)),
+        F.col("f"),
+        F.when(F.col("title"), F.concat(F.array(token(led, run.cast("int"))), F.slice("f", run.cast("int") + 2, F.size("f")))).otherwise(F.col("f")),
+        F.flatten(F.transform("f", lambda t: F.when(t["x"] == NAME, F.transform(_words(t["v"]), lambda w: token(w, t["p"]))).otherwise(F.array(t)))),
     )
-    every = items.withColumn("width", F.least(F.size("t"), F.lit(window))).withColumn("n_windows", F.size("t") - F.col("width") + 1)
-    every = every.withColumn("form", F.explode(F.array_distinct(forms)))
-    spread = every.select("item", "width", "n_windows", "form", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("at"))
-    cut = spread.withColumn("w", F.slice("form", F.col("at") + 1, F.col("width")))
-    plain = F.size(F.filter("w", lambda x: ~named(x)))
+    n = F.size("m")
+    return items.select("key", "item", n.alias("n"), (n - F.least(n, F.lit(window)) + 1).alias("n_windows"), F.array_distinct(forms).alias("forms"))
+
+
+def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
+    """(key, n, n_windows, width, h, j, form, start): windows of every form; ``j`` is the window of the first form that begins there.
+
+    A form shorter than ``window`` is one window of its own width; windows with fewer than ``literals`` (or, in short items,
+    one) plain tokens say nothing about a template and are left out."""
+    every = items.select("key", "n", "n_windows", F.posexplode("forms").alias("form", "f")).withColumn("width", F.least(F.size("f"), F.lit(window)))
+    spread = every.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("f") - F.col("width"))))
+    cut = spread.withColumn("w", F.slice("f", F.col("start") + 1, F.col("width")))
+    plain = F.size(F.filter("w", lambda t: ~_named(t["x"])))
     cut = cut.filter(plain >= F.least(F.lit(literals), F.greatest(F.lit(1), F.col("width") - 1)))
-    widths = [F.when(F.col("width") == k, F.xxhash64(F.lit(k), *[F.get("w", F.lit(i)) for i in range(k)])) for k in range(1, window + 1)]
-    return cut.select("item", "width", "n_windows", "at", F.coalesce(*widths).alias("h")).distinct()
+    widths = [F.when(F.col("width") == k, F.xxhash64(F.lit(k), *[F.get("w", F.lit(i))["x"] for i in range(k)])) for k in range(1, window + 1)]
+    j = F.least(F.get("w", F.lit(0))["p"], F.col("n_windows") - 1).alias("j")
+    made = cut.select("key", "n", "n_windows", "width", F.coalesce(*widths).alias("h"), j, F.struct("form", "start").alias("from"))
+    return made.groupBy("key", "n", "n_windows", "width", "h", "j").agg(F.min("from").alias("from")).select("*", "from.*").drop("from")
 
 
 def find_leaks(
@@ -87,40 +125,51 @@ def find_leaks(
 ) -> DataFrame:
     """(id_col, item_col, matched, n_windows, coverage, exact, slots): the benchmark items that a document holds.
 
-    A pair is returned when at least ``coverage`` of the item's windows match along one alignment with consistent slots;
-    ``exact`` tells that all slot values are the item's own, ``slots`` how many there are. Rows that share an id count as
-    one document. Null and empty texts hold nothing; null ids take no part; of items that share an id each text counts.
+    A pair is returned when at least ``coverage`` of the item's windows match, in about the item's length, with consistent slots;
+    ``exact`` tells that all slot values are the item's own, ``slots`` how many there are. Rows that share an id are judged one
+    by one, and the best counts. Null and empty texts hold nothing; null ids take no part; of items that share an id each text counts.
     """
-    held = benchmark.filter(F.col(item_col).isNotNull())
-    marks = staged(benchmark_windows(held, item_col, item_text_col, window, literals), "benchmark_windows")
+    items = staged(benchmark_forms(benchmark.filter(F.col(item_col).isNotNull()), item_col, item_text_col, window), "benchmark_forms")
+    marks = staged(benchmark_windows(items, window, literals), "benchmark_windows")
     found = marks.agg(F.count("*"), F.collect_set("width")).first()
     few = found[0] <= BROADCAST_WINDOWS
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), template(F.col(text_col)).alias("t"))
-    matches = None
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    known = rows.select("id", "row", marked(F.col("text")).alias("m"))
     # At most ``window`` different widths: that of long items, and those of items shorter than it
-    for width in sorted(found[1] or [window]):
-        own = marks.filter(F.col("width") == width).select("item", "n_windows", F.col("at").alias("j"), "h")
-        part = _windows(known, "t", width, ["id"]).join(F.broadcast(own) if few else own, "h").select(
-            "id", "item", "n_windows", "j", (F.col("at") - F.col("j")).alias("shift"))
-        matches = part if matches is None else matches.unionByName(part)
-    counted = matches.groupBy("id", "item", "n_windows", "shift").agg(F.countDistinct("j").alias("matched"))
-    aligned = staged(counted.filter(F.col("matched") >= coverage * F.col("n_windows")), "alignments")
+    own = marks.drop("width")
+    matches = _windows(known, sorted(found[1] or [window]), ["id", "row"]).join(F.broadcast(own) if few else own, "h").withColumn("shift", F.col("at") - F.col("j"))
+    # Two rows of bands, half a band apart: shifts that differ by up to half the item's length share a band
+    pair = ["id", "row", "key", "n", "n_windows"]
+    place = F.first(F.struct("j", "form", "start", "at"))
+    shifts = matches.groupBy(*pair, "shift", "j").agg(place.alias("w")).groupBy(*pair, "shift").agg(F.collect_list("w").alias("w"))
+    wide = F.greatest("n", F.lit(window))
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.floor((F.col("shift") + k * wide / 2) / wide).alias("b")) for k in (0, 1)])
+    spread = shifts.withColumn("band", F.explode(bands)).select(*pair, "band", "shift", F.size("w").alias("support"), F.explode("w").alias("w"))
+    # Of several places of a window, the one whose shift most windows share
+    once = spread.groupBy(*pair, "band", F.col("w.j").alias("j")).agg(F.max(F.struct("support", -F.col("shift"), "w"))["w"].alias("w"))
+    banded = once.groupBy(*pair, "band").agg(F.collect_list("w").alias("w"))
+    aligned = staged(banded.filter(F.size("w") >= coverage * F.col("n_windows")), "alignments")
     ids = staged(aligned.select("id").distinct(), "leaking")
     small = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    left = texts.select("id", template(F.col("text")).alias("t"), surface(F.col("text")).alias("s"))
-    right = held.select(F.col(item_col).alias("item"), template(F.col(item_text_col)).alias("bt"), surface(F.col(item_text_col)).alias("bs"))
-    both = aligned.join(left, "id").join(right, "item").filter(F.size("bt") - F.least(F.size("bt"), F.lit(window)) + 1 == F.col("n_windows"))
-    at = lambda name, j: F.get(F.col(name), j + F.col("shift"))
-    slot = lambda j: (F.get("bt", j).isin(NUMBER, NAME, UNIT)) & (at("t", j) == F.get("bt", j))
-    where = F.filter(F.sequence(F.lit(0), F.size("bt") - 1), lambda j: (j + F.col("shift") >= 0) & slot(j))
-    pairs = F.transform(where, lambda j: F.struct(F.lower(F.get("bs", j)).alias("a"), F.lower(at("s", j)).alias("b")))
-    judged = both.withColumn("pairs", F.array_distinct(pairs)).filter(
-        F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
+    texts = rows.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id", "row"])
+    left = texts.select("id", "row", marked(F.col("text")).alias("m"))
+    both = aligned.join(left, ["id", "row"]).join(items.select("key", "item", "forms"), "key")
+
+    def slots(w: Column) -> Column:
+        """Item's value ``a`` and document's value ``b`` of every placeholder of a window."""
+        part = F.slice(F.get("forms", w["form"]), w["start"] + 1, F.lit(window))
+        values = F.transform(part, lambda t, i: F.struct(
+            t["p"].alias("p"), _named(t["x"]).alias("named"), t["v"].alias("a"), F.substr(F.get("m", w["at"] + i), F.lit(2)).alias("b")))
+        return F.transform(F.filter(values, lambda x: x["named"]), lambda x: F.struct(x["p"].alias("p"), x["a"].alias("a"), x["b"].alias("b")))
+
+    windows = both.select("id", "item", "n_windows", F.transform("w", slots).alias("w"))
+    pairs = F.array_distinct(F.transform(F.flatten("w"), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    judged = windows.withColumn("pairs", pairs).filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
     best = judged.select(
         "id", "item", F.struct(
-            (F.col("matched") / F.col("n_windows")).alias("coverage"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"),
-            "matched", "n_windows", F.size("pairs").alias("slots")).alias("best"))
+            (F.size("w") / F.col("n_windows")).alias("coverage"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"),
+            F.size("w").alias("matched"), "n_windows", F.size("pairs").alias("slots")).alias("best"))
     return best.groupBy("id", "item").agg(F.max("best").alias("best")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.matched").cast("bigint").alias("matched"),
         F.col("best.n_windows").cast("bigint").alias("n_windows"), F.col("best.coverage").alias("coverage"), F.col("best.exact").alias("exact"),
