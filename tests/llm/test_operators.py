@@ -327,6 +327,14 @@ def test_leaks_with_words_put_in_and_longer_names(spark):
     assert set(other) == {(0, 0), (1, 0)}
 
 
+def test_leaks_of_numbers_and_names(spark):
+    table = " ".join(f"{k * k + 7} {k * 31}" for k in range(20))
+    items = ["What is 12 + 7?", "Is Paris in France?", "Compute the total of " + table, "Dates: " + ", ".join(f"May {k}, 19{k}" for k in range(10, 25))]
+    texts = ["Now: What is 12 + 7? Nineteen.", "He asked. Is Paris in France? Yes.", "so " + items[2], "so " + items[3], "What is 13 + 7? Is Rome in Italy?", "Compute the total of " + " ".join(str(k) for k in range(50))]
+    out = leaks(spark, items, texts)
+    assert set(out) == {(k, k) for k in range(4)} and all(r.exact and r.coverage == 1 for r in out.values())
+
+
 # Language
 
 

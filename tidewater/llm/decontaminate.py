@@ -66,13 +66,20 @@ def _named(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
 
-def _windows(docs: DataFrame, widths: list[int], keep: list[str]) -> DataFrame:
+def _least(width: int | Column, literals: int) -> Column:
+    """Plain tokens that a window needs to be compared as a template; one with fewer is compared by its values."""
+    return F.least(F.lit(literals), F.greatest(F.lit(1), F.lit(width) - 1))
+
+
+def _windows(docs: DataFrame, widths: list[int], literals: int, keep: list[str]) -> DataFrame:
     """(keep..., at, h) for every window of each of the ``widths`` of the marked tokens ``m``."""
     tokens = docs.withColumn("t", F.transform("m", _kind)).filter(F.size("t") >= min(widths))
     spread = tokens.select(*keep, "m", "t", F.explode(F.sequence(F.lit(0), F.size("t") - min(widths))).alias("at"))
 
     def value(width: int) -> Column:
-        return F.xxhash64(F.lit(width), *[F.get("t", F.col("at") + k) for k in range(width)])
+        at = lambda name: [F.get(name, F.col("at") + k) for k in range(width)]
+        plain = sum(((x >= "\x08").cast("int") for x in at("t")), F.lit(0))
+        return F.when(plain >= _least(width, literals), F.xxhash64(F.lit(width), *at("t"))).otherwise(F.xxhash64(F.lit(width), *at("m")))
 
     if len(widths) == 1:
         return spread.select(*keep, "at", value(widths[0]).alias("h"))
@@ -106,14 +113,17 @@ def benchmark_forms(benchmark: DataFrame, id_col: str, text_col: str, window: in
 def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
     """(key, n, n_windows, width, h, j, form, start): windows of every form; ``j`` is the window of the first form that begins there.
 
-    A form shorter than ``window`` is one window of its own width; windows with fewer than ``literals`` (or, in short items,
-    one) plain tokens say nothing about a template and are left out."""
+    A form shorter than ``window`` is one window of its own width. Windows with fewer than ``literals`` plain tokens (or, in short
+    items, fewer than their width less one) say nothing about a template and are compared by their values; a short item without
+    any word is left out."""
     every = items.select("key", "n", "n_windows", F.posexplode("forms").alias("form", "f")).withColumn("width", F.least(F.size("f"), F.lit(window)))
     spread = every.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("f") - F.col("width"))))
     cut = spread.withColumn("w", F.slice("f", F.col("start") + 1, F.col("width")))
     plain = F.size(F.filter("w", lambda t: ~_named(t["x"])))
-    cut = cut.filter(plain >= F.least(F.lit(literals), F.greatest(F.lit(1), F.col("width") - 1)))
-    widths = [F.when(F.col("width") == k, F.xxhash64(F.lit(k), *[F.get("w", F.lit(i))["x"] for i in range(k)])) for k in range(1, window + 1)]
+    cut = cut.withColumn("plain", plain).filter((F.col("plain") > 0) | (F.col("width") == window))
+    read = F.when(F.col("plain") >= _least(F.col("width"), literals), F.transform("w", lambda t: t["x"])).otherwise(F.transform("w", lambda t: t["y"]))
+    cut = cut.withColumn("read", read)
+    widths = [F.when(F.col("width") == k, F.xxhash64(F.lit(k), *[F.get("read", F.lit(i)) for i in range(k)])) for k in range(1, window + 1)]
     j = F.least(F.get("w", F.lit(0))["p"], F.col("n_windows") - 1).alias("j")
     made = cut.select("key", "n", "n_windows", "width", F.coalesce(*widths).alias("h"), j, F.struct("form", "start").alias("from"))
     return made.groupBy("key", "n", "n_windows", "width", "h", "j").agg(F.min("from").alias("from")).select("*", "from.*").drop("from")
@@ -138,7 +148,7 @@ def find_leaks(
     known = rows.select("id", "row", marked(F.col("text")).alias("m"))
     # At most ``window`` different widths: that of long items, and those of items shorter than it
     own = marks.drop("width")
-    matches = _windows(known, sorted(found[1] or [window]), ["id", "row"]).join(F.broadcast(own) if few else own, "h").withColumn("shift", F.col("at") - F.col("j"))
+    matches = _windows(known, sorted(found[1] or [window]), literals, ["id", "row"]).join(F.broadcast(own) if few else own, "h").withColumn("shift", F.col("at") - F.col("j"))
     # Two rows of bands, half a band apart: shifts that differ by up to half the item's length share a band
     pair = ["id", "row", "key", "n", "n_windows"]
     place = F.first(F.struct("j", "form", "start", "at"))
