@@ -335,6 +335,23 @@ def test_leaks_of_numbers_and_names(spark):
     assert set(out) == {(k, k) for k in range(4)} and all(r.exact and r.coverage == 1 for r in out.values())
 
 
+def test_leaks_with_an_altered_value_or_another_end(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
+    put = lambda at: " ".join(at.get(i, w) for i, w in enumerate(words))
+    item, other = put({20: "17", 120: "17", 150: "Denver", 190: "40"}), put({20: "17", 40: "17", 60: "17", 120: "17"})
+    texts = [
+        put({20: "17", 120: "18", 150: "Denver", 190: "40"}), " ".join(item.split()[:130] + [w[::-1] for w in words[130:150]] + ["Oslo"] + ["so"] * 39 + ["50"]),
+        put({20: "5", 40: "5", 60: "5", 120: "6"}), put({20: "5", 40: "6", 60: "7", 120: "8"}),
+    ]
+    out = leaks(spark, [item], texts[:2])
+    assert set(out) == {(0, 0), (1, 0)} and not out[0, 0].exact and out[1, 0].exact and out[0, 0].matched == 193 - 8
+    out = leaks(spark, [other], texts[2:])
+    assert {k: (r.matched, r.exact) for k, r in out.items()} == {(0, 0): (193 - 8, False), (1, 0): (193 - 32, False)}
+    swapped = leaks(spark, ["we add 4 and 5 and 4 and 5 to get a sum"], ["we add 7 and 8 and 9 and 6 to get a sum"])
+    assert not swapped
+
+
 # Language
 
 

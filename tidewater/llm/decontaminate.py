@@ -3,8 +3,8 @@
 Texts are brought to templates: numbers, names (runs of title-case words that do not begin a sentence) and units after a number
 become typed placeholders, everything else is lower-cased words. Windows of template tokens of the documents are hash-joined with
 those of the benchmark; matches of one item within about its length count together, so words put in or left out between them
-do no harm. Where enough of an item's windows match, the values of the placeholders in them must be consistent: one benchmark
-value always stands for one document value.
+do no harm. Where enough of an item's windows match, the values of the placeholders in them must be the item's own, or
+consistent: one benchmark value stands for one document value at most places.
 """
 
 from __future__ import annotations
@@ -135,8 +135,9 @@ def find_leaks(
 ) -> DataFrame:
     """(id_col, item_col, matched, n_windows, coverage, exact, slots): the benchmark items that a document holds.
 
-    A pair is returned when at least ``coverage`` of the item's windows match, in about the item's length, with consistent slots;
-    ``exact`` tells that all slot values are the item's own, ``slots`` how many there are. Rows that share an id are judged one
+    A pair is returned when at least ``coverage`` of the item's windows match, in about the item's length, with the item's own slot
+    values, or with the value that the document has at most places of each of the item's values; ``matched`` counts these windows,
+    ``exact`` tells that all slot values in matched windows are the item's own, ``slots`` how many pairs of values there are. Rows that share an id are judged one
     by one, and the best counts. Null and empty texts hold nothing; null ids take no part; of items that share an id each text counts.
     """
     items = staged(benchmark_forms(benchmark.filter(F.col(item_col).isNotNull()), item_col, item_text_col, window), "benchmark_forms")
@@ -175,11 +176,24 @@ def find_leaks(
 
     windows = both.select("id", "item", "n_windows", F.transform("w", slots).alias("w"))
     pairs = F.array_distinct(F.transform(F.flatten("w"), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    judged = windows.withColumn("pairs", pairs).filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
-    best = judged.select(
+    windows = windows.withColumn("pairs", pairs).withColumn("own", F.size(F.filter("w", lambda w: F.forall(w, lambda x: x["a"] == x["b"]))))
+    exact = F.col("own") == F.size("w")
+    places = F.when(exact, F.array().cast("array<struct<p:int,a:string,b:string>>")).otherwise(F.array_distinct(F.flatten("w")))
+    windows = windows.withColumn("places", places).withColumn("values", F.array_distinct(F.transform("places", lambda x: x["a"])))
+
+    def most(a: Column) -> Column:
+        """The document's value at most places of the item's value ``a``, null where it has no more than half of them."""
+        there = F.filter("places", lambda x: x["a"] == a)
+        counts = F.transform(F.array_distinct(F.transform(there, lambda x: x["b"])), lambda b: F.struct(F.size(F.filter(there, lambda x: x["b"] == b)).alias("n"), b.alias("b")))
+        return F.when(F.array_max(counts)["n"] * 2 > F.size(there), F.array_max(counts)["b"])
+
+    windows = windows.withColumn("mapping", F.map_from_arrays("values", F.transform("values", most)))
+    consistent = F.forall(F.map_values("mapping"), lambda b: b.isNotNull())
+    follow = F.size(F.filter("w", lambda w: F.forall(w, lambda x: F.element_at("mapping", x["a"]) == x["b"])))
+    judged = windows.withColumn("matched", F.when(~exact & consistent, F.greatest("own", follow)).otherwise(F.col("own")))
+    best = judged.filter(F.col("matched") >= coverage * F.col("n_windows")).select(
         "id", "item", F.struct(
-            (F.size("w") / F.col("n_windows")).alias("coverage"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"),
-            F.size("w").alias("matched"), "n_windows", F.size("pairs").alias("slots")).alias("best"))
+            (F.col("matched") / F.col("n_windows")).alias("coverage"), exact.alias("exact"), "matched", "n_windows", F.size("pairs").alias("slots")).alias("best"))
     return best.groupBy("id", "item").agg(F.max("best").alias("best")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.matched").cast("bigint").alias("matched"),
         F.col("best.n_windows").cast("bigint").alias("n_windows"), F.col("best.coverage").alias("coverage"), F.col("best.exact").alias("exact"),
