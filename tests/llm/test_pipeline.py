@@ -63,3 +63,17 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
         out = corpus_pipeline.tokens(spark, docs, SF)
         assert out.count() == docs.count() and out.filter(~F.col("round_trip")).count() == 0
     assert public_tokenizers.PATTERN and [n for n, _ in corpus_pipeline.STAGES][1] == "near_duplicates"
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    rng = np.random.default_rng(3)
+    odd = [
+        "Съешь ещё этих мягких французских булок да выпей же чаю", "これは日本語の文章です。東京は大きな都市です。", " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(80)),
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    added = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], docs.schema)
+    # With all languages, and with one alone
+    for learned in (docs, docs.filter("lang = 'en'")):
+        kept = {r.doc_id for r in corpus_pipeline.language(spark, learned.unionByName(added), SF).collect()}
+        assert kept == {r.doc_id for r in learned.collect()}

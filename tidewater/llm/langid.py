@@ -1,8 +1,9 @@
 """Language identification as mixture inference: every document is a mixture of language n-gram distributions.
 
 Training counts hashed letter trigrams per language, summed in tasks first. For a document, expectation-maximisation gives
-the proportion of each language; among the nested sets of its most likely languages the one with the best penalised
-likelihood is selected, and the language with the largest proportion in it is the prediction.
+the proportion of each language and of a background, all trigrams alike, which takes what no language explains; among the nested
+sets of its most likely languages the one with the best penalised likelihood is selected, and the language with the largest
+proportion in it is the prediction.
 """
 
 from __future__ import annotations
@@ -84,10 +85,10 @@ def _em(p: np.ndarray, counts: np.ndarray, rounds: int = 60, close: float = 1e-4
 
 
 def infer(buckets: np.ndarray, table: np.ndarray, penalty: float) -> tuple[int, np.ndarray, list[int]]:
-    """Best language, proportions under the full mixture, selected set."""
+    """Best language, proportions of the languages under the full mixture (the background has the rest), selected set."""
     at, counts = np.unique(buckets, return_counts=True)
     p, counts = table[at].astype(np.float64), counts.astype(np.float64)
-    share, _ = _em(p, counts)
+    share = _em(np.column_stack([p, np.full(len(p), 1 / BUCKETS)]), counts)[0][:-1]
     order = np.argsort(-share, kind="stable")
     best, chosen, chosen_share = -np.inf, order[:1], np.ones(1)
     cost = penalty * np.log(counts.sum() + 1)
@@ -105,11 +106,13 @@ def infer(buckets: np.ndarray, table: np.ndarray, penalty: float) -> tuple[int,
 
 
 def identify(
-    docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 2.0, keep: list[str] | None = None
+    docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 2.0, keep: list[str] | None = None,
+    with_explained: bool = False,
 ) -> DataFrame:
-    """(id_col or the columns ``keep``, lang_pred, score, languages) per row, from the whole text alone.
+    """(id_col or the columns ``keep``, lang_pred, score, languages) per row, from the whole text alone; ``with_explained`` adds explained.
 
-    ``score`` is the predicted language's proportion in the full mixture, ``languages`` the selected set. A null text, one
+    ``score`` is the predicted language's proportion in the full mixture, ``languages`` the selected set, ``explained`` the
+    proportion of all languages, which is small for languages and scripts that were not learned. A null text, one
     without a letter, and any text under a model without languages are ``und`` with score 0 and an empty set.
     """
     names, table = model["languages"], model["table"]
@@ -118,16 +121,18 @@ def identify(
         letters = _letters()
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            best, score, found = [], [], []
+            best, score, found, explained = [], [], [], []
             for text in texts:
                 grams = trigrams(text, letters)
                 if not len(grams) or not names:
-                    best.append(UNDETERMINED), score.append(0.0), found.append([])
+                    best.append(UNDETERMINED), score.append(0.0), found.append([]), explained.append(0.0)
                     continue
                 k, share, chosen = infer(grams, table, penalty)
                 best.append(names[k]), score.append(min(1.0, float(share[k]))), found.append([names[x] for x in chosen])
-            return [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.list_(pa.string()))]
+                explained.append(min(1.0, float(share.sum())))
+            made = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.list_(pa.string()))]
+            return made + [pa.array(explained, pa.float64())] * with_explained
 
         return compute
 
-    return per_text(docs, text_col, keep or [id_col], "lang_pred string, score double, languages array<string>", make)
+    return per_text(docs, text_col, keep or [id_col], "lang_pred string, score double, languages array<string>" + ", explained double" * with_explained, make)
