@@ -412,6 +412,18 @@ def test_url_filter_as_of(spark):
     assert urlfilter.filter_urls(df, entries.limit(0)).filter("blocked").count() == 0 and urlfilter.filter_urls(df.limit(0), entries).count() == 0
 
 
+def test_url_filter_of_long_hosts_deep_paths_and_capitals(spark):
+    host, path = ".".join(f"l{i}" for i in range(20)) + ".com", "/".join(f"s{i}" for i in range(12))
+    entries = spark.createDataFrame(
+        [(p, "block", "2024-01-01") for p in (host, f"a.org/{path}", "B.org/News", "c.org/news")], "pattern STRING, action STRING, listed_on STRING").withColumn("listed_on", F.to_date("listed_on"))
+    urls = {
+        f"http://{host}/": True, f"http://www.{host}/x": True, f"http://{host.split('.', 1)[1]}/": False, f"http://a.org/{path}/more": True, f"http://a.org/{path[:-1]}": False,
+        "http://b.org/News/1": True, "http://b.org/news/1": False, "http://c.org/news": True, "http://c.org/News": False,
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url STRING").withColumn("fetched_on", F.to_date(F.lit("2024-02-01")))
+    assert {r.url: r.blocked for r in urlfilter.filter_urls(df, entries).collect()} == urls
+
+
 # WARC
 
 
