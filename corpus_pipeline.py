@@ -19,9 +19,18 @@ BROADCAST_IDS = 1 << 20
 RANKS = "byte_bpe_50k.tiktoken"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = staged(ids.filter("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key ``_row`` of their own, in the order of their ids, nulls last: the id where no id is null or repeated."""
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    # The second key lets the sort split rows of one id
+    ordered = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_at").drop("_at")
+    return staged(ordered.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = staged(rows.distinct(), "dropped")
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "_row", "left_anti").drop("_row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,23 +49,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near-duplicates (five words, similarity 0.8), and one row of an id.
+    """Keeps the row with the smallest id of every group of near-duplicates (five words, similarity 0.8).
 
-    Texts without words and rows without an id stay.
+    Rows are judged one by one, also those that share an id or have none. Texts without words stay.
     """
-    judged = staged(minhash.near_duplicates(docs, width=5, percent=80), "judged")
-    kept = _without(docs, judged.filter("not kept").select("doc_id"))
-    again = staged(judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return kept
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
-    return _without(kept, again).unionByName(one).select(*docs.columns)
+    keyed = _keyed(docs)
+    judged = minhash.near_duplicates(keyed, "_row", width=5, percent=80)
+    return _without(keyed, judged.filter("not kept").select("_row")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, also a re-parameterised one."""
-    return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Drops rows that hold a benchmark item, also a re-parameterised one."""
+    keyed = _keyed(docs)
+    found = decontaminate.find_leaks(keyed, table(spark, sf_dir, "benchmark"), "_row")
+    return _without(keyed, found.select("_row")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

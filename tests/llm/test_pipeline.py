@@ -77,3 +77,18 @@ def test_language_rejects_what_was_not_learned(spark):
     for learned in (docs, docs.filter("lang = 'en'")):
         kept = {r.doc_id for r in corpus_pipeline.language(spark, learned.unionByName(added), SF).collect()}
         assert kept == {r.doc_id for r in learned.collect()}
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_by_their_texts(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    first, second, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two", "three"))
+    rows = [(1, first), (1, second), (None, third), (None, third), (None, first), (2, second), (3, f"so {item}"), (3, "the clean row"), (None, f"so, {item} so"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    have = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    gone = [(None, third), (None, first), (2, second)]
+    want = [r for i, r in enumerate(rows) if not (r in gone and i != 2)]
+    # The two rows with the item are near-duplicates where the item is long
+    assert [r for r in have(kept) if item not in (r[1] or "")] == sorted([r for r in want if item not in (r[1] or "")], key=str)
+    clean = corpus_pipeline.decontamination(spark, docs, SF)
+    assert have(clean) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
