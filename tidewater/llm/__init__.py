@@ -1,4 +1,4 @@
-"""Training-data operators: quality, search, chat, tokens, near-duplicates, leaks, language, URLs, archives, personal data."""
+"""Training-data operators: quality, search, chat, tokens, near-duplicates, leaks, language, URLs, archives, personal data, packing, divergence, phrases."""
 
 import sys
 

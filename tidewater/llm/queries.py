@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, minhash, pii, quality, topk, urlfilter, warc
+from . import bpe, chat, decontaminate, divergence, langid, minhash, packing, phrases, pii, quality, topk, urlfilter, warc
 from .shared import shared_folder, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def query(key: str, oracle: str | None = None):
@@ -237,3 +237,86 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), digest=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+_OP12_SQL = r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS terms
+      FROM documents
+    ),
+    t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+    k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+    v AS (SELECT g.lang, count(k.term) AS kept FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN k USING (lang) GROUP BY g.lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+    g AS (
+      SELECT a.lang, a.source, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) a
+      LEFT JOIN c ON c.lang = a.lang AND c.source = a.source GROUP BY ALL
+    ),
+    p AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST((1000000000 * CAST(coalesce(c.n, 0) + 2 AS HUGEINT)) // (g.total + 2 * v.kept) AS BIGINT) AS p
+      FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ),
+    w AS (SELECT lang, term, sum(n) AS n FROM p GROUP BY ALL),
+    q AS (
+      SELECT w.lang, w.term, 1 + CAST((1000000000 * CAST(w.n + 2 AS HUGEINT)) // (s.total + 2 * v.kept) AS BIGINT) AS q
+      FROM w JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY lang) s USING (lang)
+    ),
+    f AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT a.lang, a.source AS sa, b.source AS sb, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+      ) x ON x.lang = a.lang AND x.sa = a.source AND x.sb = b.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q
+    ),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+    """
+
+
+@query("op12_divergence", _OP12_SQL)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+    WITH d AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents
+    ),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+    n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+    g AS (
+      SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase FROM (
+        SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+      )
+    ),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    x AS (
+      SELECT lang, k, phrase, a FROM f WHERE k > 1 AND NOT EXISTS (
+        SELECT 1 FROM f AS o WHERE o.lang = f.lang AND o.k > f.k AND 100 * o.a >= 100 * f.a AND contains(' ' || o.phrase || ' ', ' ' || f.phrase || ' '))
+    ),
+    c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM x),
+    s AS (
+      SELECT c.lang, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, n.n, CAST((1000 * CAST(c.a AS HUGEINT) * n.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+      FROM c JOIN n ON n.lang = c.lang
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.ws, 1, c.cut), ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.ws, c.cut + 1, c.k), ' ')
+    ),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM s) WHERE i = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+    """
+
+
+@query("op13_phrases", _OP13_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
