@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import slices, staged
 
@@ -135,7 +136,7 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     })
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def _first_hash(terms: pa.Array) -> pa.Array:
     return pa.array(_hashes(terms.to_pylist())[0].view(np.int64) if len(terms) else [], pa.int64())
 
