@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.frames import staged
 from ..plans.ordering import exact_quantiles, join_null_safe, row_index
+from ..plans.scan import accumulate, affine
 
 
 def number_days(days: DataFrame, date: str = "date") -> DataFrame:
@@ -122,20 +123,17 @@ def quantile_bins(df: DataFrame, value: str, probs: list[float], name: str = "bi
 
 
 def ema_accumulate(series: DataFrame, keys: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving accumulation along dates; one row per (key, date), so arrays are bounded by the calendar."""
-    history = series.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("v")))).alias("_h")
-    )
-
-    def step(state, x):
-        now = F.when(F.size(state.path) == 0, x.v).otherwise(F.lit(alpha) * x.v + F.lit(1 - alpha) * state.e)
-        return F.struct(
-            now.alias("e"),
-            F.concat(state.path, F.array(F.struct(x.date.alias("date"), now.alias("ema")))).alias("path"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<struct<date:date,ema:double>>").alias("path"))
-    return history.select(*keys, F.inline(F.aggregate("_h", start, step, lambda s: s.path)))
+    """(keys, date, ema): exponential moving accumulation along dates, one row per (key, date).
+
+    The first value of a key is taken as it is; a missing value leaves the accumulation where it was.
+    """
+    begun = series.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min("date").alias("_first"))
+    rows = join_null_safe(series.select(*keys, "date", F.col(value).alias("_v")), begun, keys, "left").withColumn("_day", F.unix_date("date"))
+    first = F.col("date") == F.col("_first")
+    keep = F.when(F.col("_v").isNull(), 1.0).when(first, 0.0).otherwise(1 - alpha)
+    add = F.when(F.col("_v").isNull(), 0.0).when(first, F.col("_v")).otherwise(F.lit(alpha) * F.col("_v"))
+    walked = accumulate(rows, keys, "_day", affine(keep, add), "ema")
+    return walked.select(*keys, "date", F.when(F.col("date") >= F.col("_first"), F.col("ema")).alias("ema"))
 
 
 def hash_split(df: DataFrame, bucket: Column, train_pct: int = 80) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
 from ..functions import seasons
+from ..plans.ordering import join_null_safe
+from ..plans.scan import accumulate, affine
 from .temporal import day_weight
 
 
@@ -23,7 +26,7 @@ def adi_index(
     """Accumulated deficit per cell and date of the harvest season.
 
     A day with a deficit (or no reading) adds the day's weight up to ``ceiling``; any other day multiplies the
-    index by ``decay``. Each (cell, season) history is at most one season long, and is folded as one array.
+    index by ``decay``. Both are clamped affine steps, so histories are scanned in stretches that are spread over tasks.
     ``carry`` (cell, season, adi) continues histories that an earlier call has already walked.
     """
     weights = day_weight(dense)
@@ -33,26 +36,14 @@ def adi_index(
         .withColumn("season", seasons.season_id(F.col("date")))
         .withColumn("deficit", F.col("din").isNull() | (F.col("din") <= threshold))
     )
-    history = days.groupBy(*cell, "season").agg(
-        F.array_sort(F.collect_list(F.struct("date", "deficit", "weight"))).alias("_days")
-    )
-
-    def step(state, day):
-        risen = F.least(F.lit(ceiling), state.adi + day.weight)
-        now = F.when(day.deficit, risen).otherwise(state.adi * F.lit(decay))
-        return F.struct(
-            now.alias("adi"),
-            F.concat(state.path, F.array(F.struct(day.date.alias("date"), now.alias("adi")))).alias("path"),
-        )
-
-    if carry is None:
-        history = history.withColumn("_start", F.lit(0.0))
-    else:
-        known = carry.select(*cell, "season", F.col("adi").alias("_start"))
-        history = history.join(known, [*cell, "season"], "left").withColumn("_start", F.coalesce("_start", F.lit(0.0)))
-    start = F.struct(F.col("_start").alias("adi"), F.array().cast("array<struct<date:date,adi:double>>").alias("path"))
-    folded = history.select(*cell, "season", F.aggregate("_days", start, step, lambda s: s.path).alias("_path"))
-    return folded.select(*cell, "season", F.inline("_path"))
+    keys = [*cell, "season"]
+    if carry is not None:
+        days = join_null_safe(days, carry.select(*keys, F.col("adi").alias("_from")), keys, "left")
+    rising = F.col("deficit")
+    step = affine(F.when(rising, 1.0).otherwise(decay), F.when(rising, F.col("weight")).otherwise(0.0), F.when(rising, ceiling).otherwise(F.lit(math.inf)))
+    start = F.lit(0.0) if carry is None else F.coalesce("_from", F.lit(0.0))
+    walked = accumulate(days.withColumn("_day", F.unix_date("date")), keys, "_day", step, "adi", start)
+    return walked.select(*keys, "date", "adi")
 
 
 def adi_stage(adi):
