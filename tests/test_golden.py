@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import numeric as nm
 from tidewater.functions import optics, risk, seasons
 from tidewater.functions import text as tx
-from tidewater.operators import cube, dataset, evaluation, governance, labels, packs, spatial, tables, temporal
+from tidewater.operators import cube, dataset, evaluation, governance, interpolation, labels, packs, spatial, tables, temporal
 
 
 def one(spark, expr):
@@ -124,7 +124,7 @@ def test_drift(spark):
 
 def test_interpolation_weights(spark):
     points = spark.createDataFrame([(1, 1, 0.01, 0.0, 10.0), (1, 2, -0.02, 0.0, 20.0)], "g INT, loc_id INT, lat DOUBLE, lon DOUBLE, value DOUBLE")
-    got = spatial.interpolate_grid(points, (0.0, 1.0, 0.0, 1.0), 2, 2, ("g",)).filter("row_idx = 0 AND col_idx = 0").first()
+    got = interpolation.interpolate_grid(points, (0.0, 1.0, 0.0, 1.0), 2, 2, ("g",)).filter("row_idx = 0 AND col_idx = 0").first()
     assert got["value"] == pytest.approx(12.0) and got["n_points"] == 2
 
 

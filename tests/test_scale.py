@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import evaluation, governance, quality, retrieval, spatial, temporal
+from tidewater.operators import cube, evaluation, governance, interpolation, quality, retrieval, spatial, temporal
 from tidewater.plans import frames, ordering
 from tidewater.streaming import jobs
 
@@ -81,7 +81,7 @@ def test_interpolation_with_sparse_groups_against_brute_force(spark):
     rows = [(g, i, a, b, rnd.random()) for g in range(4) for i, a, b in places if g == 0 or (g == 1 and a > 35.5) or (g == 2 and i < 3)]
     points = spark.createDataFrame(rows, "g INT, loc_id INT, lat DOUBLE, lon DOUBLE, value DOUBLE")
     box, h, w = (34.0, 36.0, 126.0, 128.0), 4, 3
-    got = {(r["g"], r["row_idx"], r["col_idx"]): r["value"] for r in spatial.interpolate_grid(points, box, h, w, ("g",), 5).collect()}
+    got = {(r["g"], r["row_idx"], r["col_idx"]): r["value"] for r in interpolation.interpolate_grid(points, box, h, w, ("g",), 5).collect()}
     assert len(got) == 3 * h * w
     for (g, r, c), value in got.items():
         lat, lon = 34 + r * 2 / (h - 1), 126 + c * 2 / (w - 1)
@@ -139,14 +139,47 @@ def test_rate_limiter_stream_equals_a_replay(spark):
     assert got == want
 
 
-def test_long_tolerance_pass_equals_the_range_join(spark):
+
+
+@pytest.mark.parametrize("tolerance", [0, 12])
+def test_first_in_window_equals_the_range_join(spark, tolerance):
     rnd = random.Random(11)
     rows = [(rnd.randrange(5), rnd.randrange(400), rnd.randrange(2), rnd.random()) for _ in range(300)]
     points = spark.createDataFrame(rows, "loc INT, n INT, source_rank INT, value DOUBLE").withColumn(
         "date", F.expr("date_add(DATE '2024-01-01', n)")
     )
     dates = spark.range(0, 400, 7).select(F.expr("date_add(DATE '2024-01-01', CAST(id AS INT))").alias("date"))
-    ordered = temporal.first_in_window(points, dates, ["loc"], 12)
-    paired = temporal.first_in_window(points, dates, ["loc"], 12, pairs_up_to=12)
+    got = temporal.first_in_window(points, dates, ["loc"], tolerance)
+    near = temporal.within_days(dates, points.withColumnRenamed("date", "_obs"), tolerance, "date", "_obs")
+    want = near.groupBy("date", "loc").agg(F.min(F.struct("source_rank", "_obs", "value"))["value"].alias("value"))
     cols = ["date", "loc", "value"]
-    assert ordered.count() > 0 and same(ordered.select(cols), paired.select(cols))
+    assert got.count() > 0 and same(got.select(cols), want.select(cols))
+
+
+def test_interpolation_over_days_equals_the_one_day_way(spark, monkeypatch):
+    """Tiles and stretches of days with rows missing, sources that overlap, and a place that has moved."""
+    monkeypatch.setattr(interpolation, "TILE", 3)
+    monkeypatch.setattr(interpolation, "DAYS", 5)
+    rnd = random.Random(8)
+    places = _places(40, 9, 2.0) + [(3, 34.5, 126.5)]
+    rows = [(c, i, a, b, rnd.randrange(25), rnd.randrange(2), rnd.random()) for c in "xy" for i, a, b in places for _ in range(3 if c == "x" else 1)]
+    points = spark.createDataFrame(rows, "channel STRING, loc_id INT, lat DOUBLE, lon DOUBLE, n INT, source_rank INT, value DOUBLE").withColumn(
+        "date", F.expr("date_add(DATE '2024-01-01', n)")
+    ).filter("channel = 'x' or n between 8 and 11")
+    box, h, w = (34.0, 36.0, 126.0, 128.0), 5, 4
+    spans = temporal.first_in_window_spans(points, ["channel", "loc_id", "lat", "lon"], 2)
+    first, last = points.agg(F.min("date"), F.max("date")).first()
+    wide = interpolation.interpolate_spans(spans, first, last, interpolation.Grid(box, h, w), ["x", "y", "z"], k=3, counted=True).collect()
+    assert len(wide) == ((last - first).days + 1) * h * w and all(r["z"] is None and r["n_z"] == 0 for r in wide)
+    dates = spark.createDataFrame([(x,) for x in {r["date"] for r in wide}], "date DATE")
+    daily = temporal.first_in_window(points, dates, ["channel", "loc_id", "lat", "lon"], 2)
+    one_day = interpolation.interpolate_grid(daily, box, h, w, ("date", "channel"), 3).collect()
+    want = {(r["date"], r["row_idx"], r["col_idx"], r["channel"]): (r["value"], r["n_points"]) for r in one_day}
+    got = {(r["date"], r["row_idx"], r["col_idx"], c): (r[c], r[f"n_{c}"]) for r in wide for c in "xy" if r[c] is not None}
+    assert got.keys() == want.keys() and all(got[x] == (pytest.approx(want[x][0]), want[x][1]) for x in want)
+
+
+def test_cube_of_no_readings(spark):
+    bare = spark.createDataFrame([], "loc_id INT, lat DOUBLE, lon DOUBLE, date DATE, source_rank INT, measure STRING, value DOUBLE")
+    empty = cube.channel_cube(bare, interpolation.Grid((34.0, 36.0, 126.0, 128.0), 2, 2))
+    assert cube.fill_cube(empty).count() == 0

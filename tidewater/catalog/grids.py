@@ -8,8 +8,9 @@ from ..functions import fixed_values as fx
 from ..functions import optics
 from ..operators import cube as cb
 from ..operators import spatial as sp
-from ..operators.temporal import first_in_window
-from .base import BOX, cte, day, dense_daily, query, r6, table, view
+from ..operators.interpolation import Grid, interpolate_spans
+from ..operators.temporal import first_in_window_spans
+from .base import BOX, EVENT_VALUES, EVENTS, cte_recursive, cte, day, dense_daily, query, r6, table, view
 
 _OBS_AT = ", p AS (SELECT o.*, s.lat, s.lon FROM v_station_obs o JOIN v_stations s USING (station_id))"
 
@@ -103,9 +104,10 @@ def idw_grid(spark, d):
         F.col("station_id").alias("loc_id"), "lat", "lon", F.col("obs_date").alias("date"),
         (F.col("l_linenumber") % 2).alias("source_rank"), F.col("salinity").alias("value"),
     )
-    near = first_in_window(points, dates, ["loc_id", "lat", "lon"], 7)
-    out = sp.interpolate_grid(near, BOX, 8, 8, ("date",))
-    return out.select(day(), "row_idx", "col_idx", r6("value"), "n_points")
+    spans = first_in_window_spans(points, ["loc_id", "lat", "lon"], 7).withColumn("channel", F.lit("value"))
+    first, last = dates.agg(F.min("date"), F.max("date")).first()
+    out = interpolate_spans(spans, first, last, Grid(BOX, 8, 8), ["value"], counted=True).join(dates, "date", "left_semi")
+    return out.filter("n_value > 0").select(day(), "row_idx", "col_idx", r6("value"), F.col("n_value").alias("n_points"))
 
 
 # measure, line numbers that carry it, expression over v_station_obs
@@ -124,7 +126,7 @@ def _rank(line: int) -> int:
     return line - 1
 
 
-# The oracle names measures and channels by number: DuckDB fails on text columns of this size here
+# The oracle names measures and channels by number, which keeps its intermediate tables small
 _MEASURE_NO = {m: i for i, m in enumerate([*[m[0] for m in _MEASURES], "wind_dir_sin", "wind_dir_cos"])}
 
 
@@ -139,43 +141,95 @@ def _measure_sql() -> str:
 
 
 _RULES = ", ".join(f"({i}, {_MEASURE_NO[m]}, {min(r)}, {max(r)}, {tol})" for i, (m, r, tol) in enumerate(cb.RAW_CHANNELS.values()))
-_PIVOT = ", ".join(f"max(CASE WHEN channel = {i} THEN v END) AS {c}" for i, c in enumerate(cb.RAW_CHANNELS))
+_RAW = ", ".join(f"max(CASE WHEN channel = {i} THEN v END) AS {c}" for i, c in enumerate(cb.RAW_CHANNELS))
+# Stations by distance as one list per cell, values by station as one list per day and channel: a cell takes the first ten that are there
 _CUBE = (
-    cte("v_stations", "v_station_obs") + f""", {_GRID8}, t AS (SELECT DISTINCT CAST(date_trunc('month', obs_date) AS DATE) AS date FROM v_station_obs), raw AS ({_measure_sql()}),
+    cte_recursive("v_stations", "v_station_obs") + f""", {_GRID8}, raw AS MATERIALIZED ({_measure_sql()}),
+ t AS MATERIALIZED (SELECT CAST(unnest(generate_series(min(obs_date), max(obs_date), INTERVAL 1 DAY)) AS DATE) AS date FROM raw WHERE v IS NOT NULL),
  once AS (SELECT station_id, obs_date, rk, measure, min(v) AS v FROM raw WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4), rules(channel, measure, r0, r1, tol) AS (VALUES {_RULES}),
- w AS (SELECT t.date, c.channel, o.station_id, o.v, row_number() OVER (PARTITION BY t.date, c.channel, o.station_id ORDER BY o.rk, o.obs_date, o.v) AS k FROM rules c JOIN once o ON o.measure = c.measure AND o.rk BETWEEN c.r0 AND c.r1 JOIN t ON o.obs_date BETWEEN t.date - CAST(c.tol AS INT) AND t.date + CAST(c.tol AS INT)),
- x AS (SELECT w.date, w.channel, row_idx, col_idx, w.v, sqrt((glat - s.lat) * (glat - s.lat) + (glon - s.lon) * (glon - s.lon)) AS dist, w.station_id FROM w JOIN v_stations s USING (station_id) CROSS JOIN g WHERE k = 1),
- r AS (SELECT *, row_number() OVER (PARTITION BY date, channel, row_idx, col_idx ORDER BY dist, station_id) AS rn FROM x),
- i AS (SELECT date, channel, row_idx, col_idx, sum(v / pow(greatest(dist, 1e-6), 2)) / sum(1 / pow(greatest(dist, 1e-6), 2)) AS v FROM r WHERE rn <= 10 GROUP BY 1, 2, 3, 4),
- wide0 AS (SELECT date, row_idx, col_idx, {_PIVOT} FROM i GROUP BY 1, 2, 3),
+ s AS MATERIALIZED (SELECT station_id, lat, lon, row_number() OVER (ORDER BY station_id) AS no FROM v_stations WHERE station_id IN (SELECT station_id FROM once)),
+ a AS MATERIALIZED (SELECT c.channel, c.tol, o.station_id, o.obs_date, o.v, CAST(o.rk AS BIGINT) * 1000000 + (o.obs_date - DATE '1970-01-01') AS pick FROM rules c JOIN once o ON o.measure = c.measure AND o.rk BETWEEN c.r0 AND c.r1),
+ w AS MATERIALIZED (SELECT channel, station_id, v, pick, unnest(range(CAST(obs_date - DATE '1970-01-01' - tol AS BIGINT), CAST(obs_date - DATE '1970-01-01' + tol + 1 AS BIGINT))) AS dn FROM a),
+ f AS MATERIALIZED (SELECT DATE '1970-01-01' + CAST(dn AS INTEGER) AS date, channel, station_id, arg_min(v, pick) AS v FROM w GROUP BY dn, channel, station_id),
+ near AS MATERIALIZED (SELECT row_idx, col_idx, list(no ORDER BY dist, no) AS nos, list(1 / pow(greatest(dist, 1e-6), 2) ORDER BY dist, no) AS ws
+   FROM (SELECT row_idx, col_idx, s.no, sqrt((glat - s.lat) * (glat - s.lat) + (glon - s.lon) * (glon - s.lon)) AS dist FROM s CROSS JOIN g) GROUP BY 1, 2),
+ l AS MATERIALIZED (SELECT k.date, k.channel, list(f.v ORDER BY s.no) AS vs FROM (SELECT DISTINCT date, channel FROM f) k CROSS JOIN s LEFT JOIN f ON f.date = k.date AND f.channel = k.channel AND f.station_id = s.station_id GROUP BY 1, 2),
+ x AS (SELECT date, channel, row_idx, col_idx, list_slice(list_filter(list_zip(list_transform(nos, lambda n: vs[n]), ws), lambda e: e[1] IS NOT NULL), 1, 10) AS p FROM l CROSS JOIN near),
+ i AS MATERIALIZED (SELECT date, channel, row_idx, col_idx, list_sum(list_transform(p, lambda e: e[1] * e[2])) / list_sum(list_transform(p, lambda e: e[2])) AS v FROM x),
+ wide0 AS MATERIALIZED (SELECT t.date, g.row_idx, g.col_idx, {_RAW} FROM t CROSS JOIN g LEFT JOIN i ON i.date = t.date AND i.row_idx = g.row_idx AND i.col_idx = g.col_idx GROUP BY 1, 2, 3),
  wide AS (SELECT * REPLACE (coalesce(precipitation, 0) AS precipitation), CASE WHEN no3_nitrogen IS NOT NULL OR nh4_nitrogen IS NOT NULL THEN coalesce(no3_nitrogen, 0) + coalesce(nh4_nitrogen, 0) END AS din,
    sin(2 * pi() * (month(date) - 1) / 12) AS month_sin, cos(2 * pi() * (month(date) - 1) / 12) AS month_cos, sqrt(current_u * current_u + current_v * current_v) AS current_speed, row_number() OVER c AS p,
    avg(sst) OVER (c ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sst_7d_avg, avg(sst) OVER (c ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS sst_30d_avg, avg(chlorophyll_a) OVER (c ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS chl_7d_avg,
    avg(nir_idx) OVER (c ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS nir_7d_avg, coalesce(sst, avg(sst) OVER (PARTITION BY date)) AS sf FROM wide0 WINDOW c AS (PARTITION BY row_idx, col_idx ORDER BY date)),
  z AS (SELECT *, CASE WHEN dip > 0 THEN din / dip END AS np_ratio, sst - sst_30d_avg AS sst_anomaly, p - last_value(CASE WHEN precipitation > 0.5 OR p = 1 THEN p END IGNORE NULLS) OVER (PARTITION BY row_idx, col_idx ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS days_since_rain,
    lag(sf) OVER rr AS xl, lead(sf) OVER rr AS xr, lag(sf) OVER cc AS yl, lead(sf) OVER cc AS yr FROM wide WINDOW rr AS (PARTITION BY date, row_idx ORDER BY col_idx), cc AS (PARTITION BY date, col_idx ORDER BY row_idx)),
- y AS (SELECT *, sqrt(pow(coalesce((xr - xl) / 2.0, xr - sf, sf - xl, 0), 2) + pow(coalesce((yr - yl) / 2.0, yr - sf, sf - yl, 0), 2)) AS sst_gradient FROM z) """
+ y AS MATERIALIZED (SELECT *, sqrt(pow(coalesce((xr - xl) / 2.0, xr - sf, sf - xl, 0), 2) + pow(coalesce((yr - yl) / 2.0, yr - sf, sf - yl, 0), 2)) AS sst_gradient FROM z) """
 )
+_FILLED = (
+    _CUBE + ", h AS (SELECT date, row_idx, col_idx, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER c AS {c}" for c in fx.CHANNELS)
+    + " FROM y WINDOW c AS (PARTITION BY row_idx, col_idx ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), mm AS (SELECT "
+    + ", ".join(f"avg({c}) AS {c}" for c in fx.CHANNELS) + " FROM h), u AS MATERIALIZED (SELECT date, row_idx, col_idx, "
+    + ", ".join(f"coalesce(h.{c}, mm.{c}, 0) AS {c}" for c in fx.CHANNELS) + " FROM h CROSS JOIN mm) "
+)
+_ROUNDED = "CAST(date AS VARCHAR) AS date, row_idx, col_idx, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in fx.CHANNELS)
 
 
-@query(
-    "channel_cube",
-    _CUBE + "SELECT CAST(date AS VARCHAR) AS date, row_idx, col_idx, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in fx.CHANNELS) + " FROM y",
-)
-def channel_cube(spark, d):
-    """All 32 channels on an 8 x 8 grid for the first day of every month."""
+def _measures(spark, d):
+    """Long table of all measures, one row per reading and measure."""
     obs = located_obs(spark, d)
-    dates = obs.select(F.trunc("obs_date", "month").alias("date")).distinct()
     entries = []
     for name, lines, expr in _MEASURES:
         value = F.when(F.col("l_linenumber").isin(*lines), F.expr(expr))
         entries.append(F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value")))
-    measures = obs.select(
+    return obs.select(
         F.col("station_id").alias("loc_id"), "lat", "lon", F.col("obs_date").alias("date"),
         (F.col("l_linenumber") - 1).alias("source_rank"), F.inline(F.array(*entries)),
     ).filter(F.col("value").isNotNull())
-    cube = cb.channel_cube(measures, dates, cb.Grid(BOX, 8, 8))
-    return cube.select(day(), "row_idx", "col_idx", *[r6(c) for c in fx.CHANNELS])
+
+
+def _cube(spark, d):
+    return cb.channel_cube(_measures(spark, d), Grid(BOX, 8, 8))
+
+
+@query("channel_cube", _CUBE + f"SELECT {_ROUNDED} FROM y")
+def channel_cube(spark, d):
+    """All 32 channels on an 8 x 8 grid for every day from the first reading to the last."""
+    return _cube(spark, d).select(day(), "row_idx", "col_idx", *[r6(c) for c in fx.CHANNELS])
+
+
+@query("cube_filled", _FILLED + f"SELECT {_ROUNDED} FROM u")
+def cube_filled(spark, d):
+    """The cube without gaps: forward-filled per cell, the rest by channel means."""
+    return cb.fill_cube(_cube(spark, d)).select(day(), "row_idx", "col_idx", *[r6(c) for c in fx.CHANNELS])
+
+
+@query(
+    "cube_labels",
+    _FILLED + f""", e(no, s, f) AS (VALUES {EVENT_VALUES}), ev AS (SELECT DISTINCT t.date FROM t JOIN e ON t.date BETWEEN s - 14 AND f + 14),
+ wt AS (SELECT date, CASE WHEN m >= 15 THEN 1.5 WHEN m >= 10 THEN 1.0 ELSE 0.7 END::DOUBLE AS weight FROM (SELECT date, coalesce(avg(sst), 12) AS m FROM u GROUP BY 1)),
+ q AS (SELECT u.date, row_idx, col_idx, CASE WHEN month(u.date) >= 11 THEN year(u.date) ELSE year(u.date) - 1 END AS season, (din IS NULL OR din <= 70) AS deficit, weight FROM u JOIN wt USING (date) WHERE month(u.date) NOT IN (6, 7, 8, 9, 10)),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY row_idx, col_idx, season ORDER BY date) AS k FROM q),
+ walk AS (SELECT row_idx, col_idx, season, date, k, CASE WHEN deficit THEN least(10.0, weight) ELSE 0.0 END::DOUBLE AS adi FROM o WHERE k = 1
+   UNION ALL SELECT o.row_idx, o.col_idx, o.season, o.date, o.k, CASE WHEN o.deficit THEN least(10.0, w.adi + o.weight) ELSE w.adi * 0.2 END::DOUBLE
+   FROM walk w JOIN o ON o.row_idx = w.row_idx AND o.col_idx = w.col_idx AND o.season = w.season AND o.k = w.k + 1)
+ SELECT CAST(u.date AS VARCHAR) AS date, u.row_idx, u.col_idx, round(adi, 6) AS adi, CAST(CASE WHEN month(u.date) IN (6, 7, 8, 9, 10) THEN -1 WHEN ev.date IS NULL THEN 0 WHEN adi >= 8 THEN 3 WHEN adi >= 5 THEN 2 WHEN adi >= 1 THEN 1 ELSE 0 END AS INT) AS label
+ FROM u LEFT JOIN walk USING (date, row_idx, col_idx) LEFT JOIN ev ON ev.date = u.date""",
+)
+def cube_labels(spark, d):
+    """Deficit index and label of every cell and day of the filled cube."""
+    labels = cb.label_cube(cb.fill_cube(_cube(spark, d)), EVENTS)
+    return labels.select(day(), "row_idx", "col_idx", r6("adi"), "label")
+
+
+@query(
+    "cube_stats",
+    _FILLED + " SELECT channel, round(avg(value), 6) AS mean, round(stddev_pop(value) + 1e-8, 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS channel, CAST({c} AS DOUBLE) AS value FROM u" for c in fx.CHANNELS) + ") GROUP BY 1",
+)
+def cube_stats(spark, d):
+    """Normalisation statistics of every channel of the filled cube."""
+    filled = cb.fill_cube(_cube(spark, d))
+    return _stats(cb.norm_stats_batch(cb.to_long(filled, ["date", "row_idx", "col_idx"], fx.CHANNELS)))
 
 
 _LONG = ", l AS (SELECT date, cell_id, 'din' AS channel, din AS value FROM v_dense UNION ALL SELECT date, cell_id, 'sst', sst FROM v_dense)"

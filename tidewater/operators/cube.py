@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +11,10 @@ from ..functions import fixed_values as fx
 from ..functions.numeric import guarded_ratio, month_cycle, round_half_up, sum_present, wind_vector
 from ..plans.frames import staged
 from ..plans.ordering import exact_quantiles, join_null_safe
-from .spatial import interpolate_grid, spatial_gradient
-from .temporal import days_since_rain, first_in_window, forward_fill, rolling_means
+from .interpolation import Grid, interpolate_spans
+from .labels import adi_labels
+from .spatial import spatial_gradient
+from .temporal import days_since_rain, first_in_window_spans, forward_fill, mean_fill, rolling_means
 
 # Raw channel -> (measure, source ranks that may feed it, tolerance in days). Rank 0 = coastal survey,
 # 1 = monitoring network, 2 = weather, 3 = ocean model, 4 = satellite.
@@ -40,13 +42,6 @@ RAW_CHANNELS = {
 }
 
 
-@dataclass(frozen=True)
-class Grid:
-    box: tuple[float, float, float, float]
-    h: int
-    w: int
-
-
 def with_wind_vector(measures: DataFrame) -> DataFrame:
     """Replace wind direction by its sine and cosine in the long table."""
     sin, cos = wind_vector(F.col("value"))
@@ -59,8 +54,8 @@ def with_wind_vector(measures: DataFrame) -> DataFrame:
     return measures.select(*rest, F.inline(parts))
 
 
-def channel_points(measures: DataFrame, dates: DataFrame, channels: dict = RAW_CHANNELS) -> DataFrame:
-    """Readings usable per (date, channel, location), within each channel's tolerance.
+def channel_spans(measures: DataFrame, channels: dict = RAW_CHANNELS) -> DataFrame:
+    """The days on which each reading is the one of its channel, location and source, within the channel's tolerance.
 
     ``measures`` is long: loc_id, lat, lon, date, source_rank, measure, value.
     """
@@ -75,23 +70,16 @@ def channel_points(measures: DataFrame, dates: DataFrame, channels: dict = RAW_C
             "tolerance": F.element_at(rule(lambda c, r: r[2]), F.col("measure")),
         }
     )
-    place = ["channel", "loc_id", "lat", "lon"]
-    daily = named.groupBy(*place, "tolerance", "date", "source_rank").agg(F.min("value").alias("value"))
-    daily = staged(daily, "readings")  # one pass over the readings serves every tolerance
-    parts = [
-        first_in_window(daily.filter(F.col("tolerance") == days).drop("tolerance"), dates, place, days)
-        for days in sorted({r[2] for r in channels.values()})
-    ]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    return first_in_window_spans(named, ["channel", "loc_id", "lat", "lon"], F.col("tolerance"))
 
 
-def raw_cube(measures: DataFrame, dates: DataFrame, grid: Grid, k: int = 10, channels: dict = RAW_CHANNELS) -> DataFrame:
-    """Interpolated raw channels, long: date, channel, row_idx, col_idx, value."""
-    points = channel_points(measures, dates, channels)
-    return interpolate_grid(points, grid.box, grid.h, grid.w, ("date", "channel"), k, universe=("channel",)).drop("n_points")
+def raw_cube(measures: DataFrame, grid: Grid, k: int = 10, channels: dict = RAW_CHANNELS) -> DataFrame:
+    """Interpolated raw channels of every day from the first reading to the last: date, row_idx, col_idx, one column per channel."""
+    spans = staged(channel_spans(measures, channels), "spans")  # read for the days and for the values
+    first, last = measures.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return measures.sparkSession.createDataFrame([], "date date, row_idx int, col_idx int" + "".join(f", {c} double" for c in channels))
+    return interpolate_spans(spans, first, last, grid, list(channels), k)
 
 
 def derive_channels(wide: DataFrame) -> DataFrame:
@@ -119,16 +107,18 @@ def derive_channels(wide: DataFrame) -> DataFrame:
 
 def fill_cube(cube: DataFrame) -> DataFrame:
     """Forward-fill every channel per cell, then replace the rest by the channel mean (0 if none)."""
-    from .temporal import mean_fill
+    filled = staged(forward_fill(cube, ["row_idx", "col_idx"], fx.CHANNELS), "filled")  # read for the means and for the values
+    return mean_fill(filled, fx.CHANNELS)
+
 
-    return mean_fill(forward_fill(cube, ["row_idx", "col_idx"], fx.CHANNELS), fx.CHANNELS)
+def channel_cube(measures: DataFrame, grid: Grid, k: int = 10) -> DataFrame:
+    """32-channel cube of every day from the first reading to the last. Missing cells stay NULL until ``fill_cube``."""
+    return derive_channels(raw_cube(with_wind_vector(measures), grid, k))
 
 
-def channel_cube(measures: DataFrame, dates: DataFrame, grid: Grid, k: int = 10) -> DataFrame:
-    """32-channel cube: interpolate, pivot, derive. Missing cells stay NULL until ``fill_cube``."""
-    raw = raw_cube(with_wind_vector(measures), dates, grid, k)
-    wide = raw.groupBy("date", "row_idx", "col_idx").pivot("channel", list(RAW_CHANNELS)).agg(F.first("value"))
-    return derive_channels(wide)
+def label_cube(filled: DataFrame, events: Sequence[tuple]) -> DataFrame:
+    """Deficit index and label of every cell and day of a filled cube."""
+    return adi_labels(filled.select("date", "row_idx", "col_idx", "din", "sst"), ["row_idx", "col_idx"], events)
 
 
 def to_long(df: DataFrame, ids: list[str], channels: list[str]) -> DataFrame:

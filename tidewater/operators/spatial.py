@@ -1,4 +1,4 @@
-"""Nearest-neighbour joins, interpolation, binning and grid derivatives."""
+"""Nearest-neighbour joins, binning and grid derivatives."""
 
 from __future__ import annotations
 
@@ -112,46 +112,6 @@ def with_station_km(nearest: DataFrame) -> DataFrame:
     )
 
 
-def interpolate_grid(
-    points: DataFrame, box: tuple[float, float, float, float], h: int, w: int, by: tuple[str, ...],
-    k: int = 10, power: float = 2.0, universe: tuple[str, ...] = (),
-) -> DataFrame:
-    """Inverse-distance interpolation of ``points(by, loc_id, lat, lon, value)`` onto an h x w grid.
-
-    A location occurs once per ``by`` group and keeps its position. Every cell's nearest 2k locations are looked up
-    once per ``universe`` key (all groups together by default); a group then uses the first k of that list that it
-    holds. Cells whose list holds too few of a group's locations are searched again inside the group, so the result
-    is the exact k-nearest interpolation.
-    """
-    by, keys, cell = list(by), list(universe), ["row_idx", "col_idx"]
-    points = staged(points, "points")  # read several times below
-    places = points.select(*keys, "loc_id", "lat", "lon").distinct()
-    whole = places.select(*keys).distinct() if keys else points.sparkSession.range(1).select()
-    cells = explode_grid(whole, box, h, w)
-    lists = nearest_neighbors(cells, places, cell, "loc_id", 2 * k, tuple(keys)).select(*keys, *cell, "loc_id", "dist2")
-    values = points.select(*by, "loc_id", "value")
-    listed = values.join(lists, [*keys, "loc_id"])
-    order = Window.partitionBy(*by, *cell).orderBy("dist2", "loc_id")
-    near = listed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
-    weight = F.lit(1.0) / F.pow(F.greatest(F.sqrt("dist2"), F.lit(1e-6)), F.lit(power))
-
-    def blend(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*by, *cell).agg(
-            (F.sum(weight * F.col("value")) / F.sum(weight)).alias("value"), F.count("*").alias("n_points")
-        )
-
-    sizes = points.groupBy(*by).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
-    found = staged(explode_grid(sizes, box, h, w).join(blend(near), [*by, *cell], "left"), "cells")
-    enough = F.coalesce(F.col("n_points"), F.lit(0)) >= F.col("_need")
-    done = found.filter(enough).select(*by, *cell, "value", "n_points")
-    short = found.filter(~enough).select(*by, *cell, "lat", "lon")
-    if short.isEmpty():
-        return done
-    pool = points.join(short.select(*by).distinct(), by, "left_semi").select(*by, "loc_id", "lat", "lon", "value")
-    again = nearest_neighbors(short, pool, cell, "loc_id", k, tuple(by))
-    return done.unionByName(blend(again))
-
-
 def bin_mean(points: DataFrame, values: list[str], date: str = "date", per_degree: int = 20) -> DataFrame:
     """Mean per (date, rounded position); the pre-aggregation before interpolation."""
     at = lambda c: (F.rint(F.col(c) * per_degree) / per_degree).alias(c)
@@ -232,11 +192,6 @@ def explode_grid(df: DataFrame, box: tuple[float, float, float, float], h: int,
     )
 
 
-def grid_cells(spark, box: tuple[float, float, float, float], h: int, w: int) -> DataFrame:
-    """Regular grid as (row_idx, col_idx, lat, lon)."""
-    return explode_grid(spark.range(1).select(), box, h, w)
-
-
 def pixel_mapping(df: DataFrame, box, h: int, w: int, north_up: bool = False) -> DataFrame:
     lat_min, lat_max, lon_min, lon_max = box
     return (

@@ -44,46 +44,33 @@ def within_days(targets: DataFrame, points: DataFrame, tolerance: int, target_da
     return t.join(p, "_b").filter(F.abs(F.datediff(target_date, point_date)) <= tolerance).drop("_b")
 
 
-def first_in_window(
-    points: DataFrame, dates: DataFrame, location: list[str], tolerance: int, rank: str = "source_rank", pairs_up_to: int = 10
-) -> DataFrame:
-    """Per (target date, location): the reading with the lowest source rank, then earliest date, within tolerance.
+def first_in_window_spans(points: DataFrame, location: list[str], tolerance: Column | int, rank: str = "source_rank") -> DataFrame:
+    """(location, rank, value, first_day, last_day): the target days for which a reading is the earliest of its source in the window.
 
-    ``points`` holds ``location``, ``date``, ``rank``, ``value``; ``dates`` holds the target ``date``. Readings are first
-    reduced to one per (location, source, day), so every partition is bounded by the calendar. A short tolerance is a
-    bucketed range join; a long one would repeat each reading for every target it reaches, so there the earliest reading
-    on or after the start of each target's window is found by one ordered pass instead.
+    A window reaches ``tolerance`` days before and after its target, so a reading is the earliest from the day on which the one before
+    has left the window, or it enters itself, until it leaves. Readings are first reduced to one per (location, source, day), so
+    every partition is bounded by the calendar, and a reading stays one row however many targets it serves.
     """
-    once = points.filter(F.col("value").isNotNull()).groupBy(*location, "date", rank).agg(F.min("value").alias("value"))
-    if tolerance <= pairs_up_to:
-        near = within_days(
-            dates.select("date"), once.withColumnRenamed("date", "_obs"), tolerance, "date", "_obs"
-        )
-    else:
-        near = _first_on_or_after(once, dates, [*location, rank], tolerance)
-    picked = F.min(F.struct(rank, "_obs", "value")).alias("_m")
-    return near.groupBy("date", *location).agg(picked).select("date", *location, F.col("_m.value").alias("value"))
+    width = tolerance if isinstance(tolerance, Column) else F.lit(tolerance)
+    once = points.filter(F.col("value").isNotNull()).groupBy(*location, "date", rank, width.alias("_width")).agg(F.min("value").alias("value"))
+    before = F.lag("date").over(Window.partitionBy(*location, rank).orderBy("date"))
+    first = F.greatest(F.expr("date_sub(date, _width)"), F.date_add(before, F.col("_width") + 1))
+    return once.withColumn("first_day", first).select(
+        *location, rank, "value", F.col("first_day"), F.expr("date_add(date, _width)").alias("last_day")
+    ).filter("first_day <= last_day")
 
 
-def _first_on_or_after(once: DataFrame, dates: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
-    """Earliest reading of each key inside [target - tolerance, target + tolerance]."""
-    wanted = dates.select(F.array_sort(F.collect_set("date"))).scalar()  # bounded by the calendar
-    reached = F.col("date").between(F.date_sub("_lo", tolerance), F.date_add("_hi", tolerance))
-    spans = once.groupBy(*keys).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    asks = spans.withColumn("date", F.explode(wanted)).filter(reached).select(
-        *keys, F.date_sub("date", tolerance).alias("_at"), F.lit(0).alias("_kind"), "date",
-        F.lit(None).cast("date").alias("_obs"), F.lit(None).cast("double").alias("value"),
-    )
-    seen = once.select(
-        *keys, F.col("date").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("date").alias("date"),
-        F.col("date").alias("_obs"), "value",
-    )
-    later = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    reading = F.last(F.when(F.col("_kind") == 1, F.struct("_obs", "value")), ignorenulls=True).over(later)
-    answered = seen.unionByName(asks).withColumn("_r", reading).filter(F.col("_kind") == 0)
-    return answered.select(*keys, "date", "_r._obs", "_r.value").filter(
-        F.col("_obs") <= F.date_add("date", tolerance)
-    )
+def first_in_window(points: DataFrame, dates: DataFrame, location: list[str], tolerance: int, rank: str = "source_rank") -> DataFrame:
+    """Per (target date, location): the reading with the lowest source rank, then earliest date, within tolerance.
+
+    ``points`` holds ``location``, ``date``, ``rank``, ``value``; ``dates`` holds the target ``date``. Each reading is spread over just
+    the days that it answers for.
+    """
+    spans = first_in_window_spans(points, location, tolerance, rank)
+    reached = spans.withColumn("date", F.explode(F.sequence("first_day", "last_day")))
+    near = reached.join(dates.select("date").distinct(), "date", "left_semi")
+    picked = F.min(F.struct(rank, "value")).alias("_m")
+    return near.groupBy("date", *location).agg(picked).select("date", *location, F.col("_m.value").alias("value"))
 
 
 def interval_events(dates: DataFrame, events: DataFrame, date: str = "date", before: int = 0, after: int = 0) -> DataFrame:
@@ -138,11 +125,12 @@ def forward_fill(df: DataFrame, keys: list[str], columns: list[str], date: str =
 
 
 def mean_fill(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace what is still missing by the column mean, zero for an all-missing column."""
-    means = df.agg(*[F.avg(c).alias(c) for c in columns])
-    return df.withColumns(
-        {c: F.coalesce(F.col(c), means.select(c).scalar(), F.lit(0.0)) for c in columns}
-    )
+    """Replace what is still missing by the column mean, zero for an all-missing column.
+
+    The means are one row, taken at once in one pass; pass a written table if ``df`` is dear to compute.
+    """
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(means[c]).cast("double"), F.lit(0.0)) for c in columns})
 
 
 def lag_difference(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
