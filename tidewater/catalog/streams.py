@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..functions import risk
-from ..operators.temporal import first_per_key
-from ..plans.frames import staging_path
+from ..operators.temporal import day_weight, first_per_key
+from ..plans.frames import staged, staging_path
 from ..streaming import jobs
 from ..streaming.carry import output_of
 from .base import cte, cte_recursive, day, dense_daily, query, r6, table, view
@@ -18,24 +20,25 @@ SLICES, FILES = 3, 4
 
 
 def feed(df, order, label, slices=SLICES, files=FILES):
-    """Write ``df`` in time slices, one after the other, and read the folder as a stream of one slice per batch.
+    """``df`` as a stream of time slices, one per batch: stretches of equal length between the first and the last day."""
+    source = staged(df, f"source-{label}")  # read for the range of days and once per slice
+    number = F.unix_date(F.col(order).cast("date"))
+    low, high = source.agg(F.min(number), F.max(number)).first()
+    return feed_slices(source, F.floor((number - low) * slices / (high - low + 1)), label, slices, files)
+
 
-    Every slice becomes the same number of files, written by as many tasks; a batch takes that many.
+def feed_slices(source, piece, label, slices, files=FILES):
+    """The rows of a written table as a stream whose batch number is ``piece``.
+
+    Every slice becomes the same number of files, written by as many tasks one slice after the other, and a batch takes that many.
+    Rows are dealt round, so no file is left out where a partition holds as many rows of the slice.
     """
-    spark = df.sparkSession
+    spark = source.sparkSession
     path = staging_path(spark, f"feed-{label}")
-    cut = F.percentile_approx(F.unix_date(F.col(order).cast("date")), [i / slices for i in range(1, slices)], 1000)
-    points = df.select(cut.alias("p")).first()["p"]
-    number = F.unix_date(F.col(order).cast("date"))
-    piece = F.lit(0)
-    for p in points:
-        piece = piece + (number > p).cast("int")
-    share = F.pmod(F.xxhash64(*df.columns), F.lit(files)).cast("int")
-    if df.select(piece.alias("p"), share.alias("s")).distinct().count() < slices * files:
-        share, files = F.lit(0), 1  # too few rows for as many files in every slice
     for i in range(slices):
-        df.filter(piece == i).repartitionById(files, share).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+        share = F.pmod(F.monotonically_increasing_id(), F.lit(files)).cast("int")
+        source.filter(piece == i).repartitionById(files, share).write.mode("append").parquet(path)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finished(spark, job, path):
@@ -43,6 +46,17 @@ def finished(spark, job, path):
     return output_of(spark, path)
 
 
+@contextmanager
+def state_store(spark):
+    """The store that per-key processors need, for the queries started inside."""
+    before = spark.conf.get(jobs.STORE_SETTING)
+    spark.conf.set(jobs.STORE_SETTING, jobs.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(jobs.STORE_SETTING, before)
+
+
 def last_updates(df, keys):
     """The final row per key of an update-mode result."""
     return first_per_key(df.withColumn("_b", -F.col("batch")), keys, ["_b"]).drop("_b")
@@ -61,15 +75,18 @@ def stream_dedup(spark, d):
 def stream_outliers(spark, d):
     path = staging_path(spark, "outliers")
     stream = feed(field_readings(spark, d), "observed_at", "outliers")
-    out = finished(spark, jobs.outliers(stream, ["sensor_id"], ["observed_at", "event_id"], path), path)
+    with state_store(spark):
+        out = finished(spark, jobs.outliers(stream, ["sensor_id"], ["observed_at", "event_id"], path), path)
     return out.select("event_id", "sensor_id", "field", "value", "anomaly_type", "severity", "threshold")
 
 
 @query("stream_adi", cte_recursive("v_dense") + _ADI + " SELECT CAST(date AS VARCHAR) AS date, cell_id, CAST(season AS INT) AS season, round(adi, 6) AS adi FROM walk")
 def stream_adi(spark, d):
     path = staging_path(spark, "adi")
-    stream = feed(dense_daily(spark, d).select("date", "cell_id", "din", "sst"), "date", "adi")
-    out = finished(spark, jobs.deficit_index(stream, ["cell_id"], path), path)
+    daily = dense_daily(spark, d)
+    stream = feed(daily.join(day_weight(daily), "date").select("date", "cell_id", "din", "weight"), "date", "adi")
+    with state_store(spark):
+        out = finished(spark, jobs.deficit_index(stream, ["cell_id"], path), path)
     return out.select(day(), "cell_id", "season", r6("adi"))
 
 
@@ -82,8 +99,10 @@ def stream_adi(spark, d):
 def stream_perf(spark, d):
     path = staging_path(spark, "perf")
     scores = view(spark, d, "v_scores").withColumn("model", F.col("farm_id") % 7)
-    job = jobs.monitor(feed(scores, "date", "perf"), ["model"], ["date", "pred_id"], "latency_ms", "warn", path, stage="stage", baseline=[0.2] * 5)
-    return finished(spark, job, path).select("pred_id", "win_n", r6("latency_mean"), r6("score_mean"), "latency_p95", r6("chi2_drift"))
+    stream = feed(scores, "date", "perf")
+    with state_store(spark):
+        out = finished(spark, jobs.monitor(stream, ["model"], ["date", "pred_id"], "latency_ms", "warn", path, stage="stage", baseline=[0.2] * 5), path)
+    return out.select("pred_id", "win_n", r6("latency_mean"), r6("score_mean"), "latency_p95", r6("chi2_drift"))
 
 
 @query(
@@ -101,26 +120,22 @@ def stream_latest(spark, d):
     f"""WITH RECURSIVE e AS (SELECT event_id, user_id, endpoint, t, row_number() OVER (PARTITION BY user_id, endpoint ORDER BY t, event_id) AS n
       FROM (SELECT event_id, user_id, {_ENDPOINT} AS endpoint, epoch_us(ts) AS t FROM events)),
     s AS (
-      SELECT user_id, endpoint, n, event_id, TRUE AS allowed, [t] AS log FROM e WHERE n = 1
+      SELECT user_id, endpoint, n, event_id, TRUE AS allowed, [t] AS log, 0 AS n_past, (t + 43200000000) // 1000000 AS reset_at, t // 1000000 AS now FROM e WHERE n = 1
       UNION ALL
-      SELECT user_id, endpoint, n, event_id, len(past) < 2, CASE WHEN len(past) < 2 THEN list_append(past, t) ELSE past END
+      SELECT user_id, endpoint, n, event_id, len(past) < 2, CASE WHEN len(past) < 2 THEN list_append(past, t) ELSE past END, len(past),
+        (coalesce(past[1], t) + 43200000000) // 1000000, t // 1000000
       FROM (SELECT e.user_id, e.endpoint, e.n, e.event_id, e.t, list_filter(s.log, lambda x: x >= e.t - 43200000000) AS past
             FROM s JOIN e ON e.user_id = s.user_id AND e.endpoint = s.endpoint AND e.n = s.n + 1)
     )
-    SELECT event_id, allowed FROM s""",
+    SELECT event_id, allowed, CAST(greatest(1 - n_past, 0) AS BIGINT) AS remaining, reset_at, CASE WHEN NOT allowed THEN greatest(0, reset_at - now) END AS retry_after FROM s""",
 )
 def stream_rate_limit(spark, d):
     """At most two admitted requests per user and endpoint in twelve hours."""
     path = staging_path(spark, "rate")
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    r = requests(spark, d).select("event_id", "user_id", "endpoint", "ts", "micros", F.lit(2).alias("limit"))
-    try:
-        spark.conf.set(setting, jobs.ROCKSDB)
-        jobs.rate_limit(feed(r, "ts", "rate").drop("ts"), ["user_id", "endpoint"], path, 43_200).awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
-    return spark.read.schema("event_id BIGINT, allowed BOOLEAN").parquet(f"{path}/out")
+    r = requests(spark, d).select("event_id", "user_id", "endpoint", F.col("ts").cast("timestamp").alias("ts"), "micros", F.lit(2).alias("limit"))
+    with state_store(spark):
+        job = jobs.rate_limit(feed(r, "ts", "rate"), ["user_id", "endpoint"], path, 43_200, "ts", "2 days")
+        return finished(spark, job, path).select("event_id", "allowed", "remaining", "reset_at", "retry_after")
 
 
 @query(
@@ -164,7 +179,9 @@ def stream_rain24(spark, d):
 def stream_ffill(spark, d):
     path = staging_path(spark, "fill")
     daily = dense_daily(spark, d).select("date", "cell_id", "din", (F.coalesce("din", F.lit(0.0)) / 100).alias("rain"))
-    out = finished(spark, jobs.fill_and_count(feed(daily, "date", "fill"), ["cell_id"], "din", "rain", path), path)
+    stream = feed(daily, "date", "fill")
+    with state_store(spark):
+        out = finished(spark, jobs.fill_and_count(stream, ["cell_id"], "din", "rain", path), path)
     return out.select(day(), "cell_id", r6("value"), "dry")
 
 
@@ -177,6 +194,31 @@ def stream_alerts(spark, d):
     path = staging_path(spark, "alerts")
     warn = F.col("value") / (F.col("value") + 30.0)
     events = table(spark, d, "events").select(F.col("event_id").alias("pred_id"), "ts", risk.severity_band(warn).alias("severity"))
-    out = finished(spark, jobs.alerts(feed(events, "ts", "alerts"), ["ts", "pred_id"], "severity", path), path)
+    stream = feed(events, "ts", "alerts")
+    with state_store(spark):
+        out = finished(spark, jobs.alerts(stream, "ts", "pred_id", "severity", path), path)
     newest = out.select(F.max("batch")).scalar()
     return out.filter(F.col("batch") == newest).select("pred_id", F.col("alert_no").cast("bigint").alias("alert_no"), "severity")
+
+
+@query(
+    "stream_late_rows",
+    """WITH b AS (SELECT min(CAST(ts AS DATE)) AS low, max(CAST(ts AS DATE)) AS high FROM events),
+    e AS (SELECT event_id, ts, CASE WHEN event_id % 40 = 0 THEN 5 ELSE (CAST(ts AS DATE) - low) * 6 // (high - low + 1) END AS batch FROM events, b),
+    m AS (SELECT batch, count(*) AS n_rows, max(ts) AS newest FROM e GROUP BY 1),
+    w AS (SELECT batch, n_rows, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 2 DAYS AS mark FROM m)
+    SELECT CAST(w.batch AS BIGINT) AS batch, w.n_rows, count(*) FILTER (WHERE date_trunc('millisecond', e.ts) <= date_trunc('millisecond', w.mark)) AS n_late FROM w JOIN e ON e.batch = w.batch GROUP BY 1, 2""",
+)
+def stream_late_rows(spark, d):
+    """One reading in forty arrives with the last of six slices; those behind the watermark of two days are dropped and counted.
+
+    The watermark that judges a batch is that of the batch before it, so it stands on the slices up to two before.
+    """
+    path = staging_path(spark, "late")
+    source = staged(table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "source-late")
+    number = F.unix_date(F.col("ts").cast("date"))
+    low, high = source.agg(F.min(number), F.max(number)).first()
+    piece = F.when(F.col("event_id") % 40 == 0, 5).otherwise(F.floor((number - low) * 6 / (high - low + 1)))
+    job = jobs.late_rows(feed_slices(source, piece, "late", 6), "ts", ["event_id"], path, "2 days")
+    job.awaitTermination()
+    return jobs.late_counts(spark, job)

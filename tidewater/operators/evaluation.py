@@ -196,15 +196,20 @@ def perf_rolling(
         out = out.withColumns({f"latency_p{p}": at(p) for p in (50, 95, 99)}).drop("_sorted")
         if stage is None or not baseline:
             return out
-        inside = [f"_in_{s}" for s in range(len(baseline))]
-        counted = out.withColumns({c: F.count_if(F.col(stage) == s).over(w) for s, c in enumerate(inside)})
-        shares = [round_half_up(F.col(c) / F.col("win_n"), 4) for c in inside]
-        scored = counted.withColumn("chi2_drift", _drift(shares, baseline, F.col("win_n"), min_rows)).drop(*inside)
-        return scored.withColumn("is_drift", F.coalesce(F.col("chi2_drift") > threshold, F.lit(False)))
+        counted = out.withColumns({f"_in_{s}": F.count_if(F.col(stage) == s).over(w) for s in range(len(baseline))})
+        return with_drift(counted, baseline, threshold, min_rows)
 
     return framed(df, keys, order, measure, preceding=window - 1, hot_rows=hot_rows)
 
 
+def with_drift(counted: DataFrame, baseline: list[float], threshold: float = 0.3, min_rows: int = 30) -> DataFrame:
+    """Drift of windows from their rows ``win_n`` and the rows per stage ``_in_0``, ``_in_1`` and so on, which are dropped."""
+    inside = [f"_in_{s}" for s in range(len(baseline))]
+    shares = [round_half_up(F.col(c) / F.col("win_n"), 4) for c in inside]
+    scored = counted.withColumn("chi2_drift", _drift(shares, baseline, F.col("win_n"), min_rows)).drop(*inside)
+    return scored.withColumn("is_drift", F.coalesce(F.col("chi2_drift") > threshold, F.lit(False)))
+
+
 def paired_diff(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     """Mean, maximum and 95th percentile of the absolute difference of two score tables."""
     gaps = a.select(key, F.col(score).alias("_a")).join(b.select(key, F.col(score).alias("_b")), key).select(

@@ -94,7 +94,11 @@ def flag_outliers(
     ``readings`` has ``field`` and ``value``; flagged values still enter later windows.
     """
     present = readings.filter(F.col("value").isNotNull())
-    stats = window_statistics(present, keys, order, window=window, hot_rows=hot_rows)
+    return raised_flags(window_statistics(present, keys, order, window=window, hot_rows=hot_rows), **thresholds)
+
+
+def raised_flags(stats: DataFrame, **thresholds: float) -> DataFrame:
+    """One row per flag from readings with the columns of ``window_statistics``, which are dropped."""
     by_window = statistic_flags(**thresholds)
     flags = F.array_compact(
         F.array(

@@ -41,11 +41,13 @@ def start_with_carry(stream: DataFrame, step: Step, path: str, trigger: dict | N
     )
 
 
-def start_updates(aggregate: DataFrame, path: str, mode: str = "update", trigger: dict | None = None) -> StreamingQuery:
-    """Write every micro-batch's changed groups under its batch number."""
+def start_updates(
+    aggregate: DataFrame, path: str, mode: str = "update", trigger: dict | None = None, finish: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
+    """Write every micro-batch's new or changed rows, or what ``finish`` makes of them, under its batch number."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        (finish(batch) if finish else batch).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     return (
         aggregate.writeStream.outputMode(mode).foreachBatch(on_batch)

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed_values as fx
-from ..operators.evaluation import perf_rolling
-from ..operators.labels import adi_index
-from ..operators.quality import flag_outliers
+from ..functions import seasons
+from ..operators.evaluation import with_drift
+from ..operators.quality import raised_flags
 from ..operators.reports import alert_feed
-from ..operators.temporal import last_n_per_key
 from .carry import Carry, start_updates, start_with_carry
+from .processors import DeficitIndex, FillAndCount, MonitorWindow, Ring, SlidingLog, WindowStatistics
 
+#: Needed by T2-T4, T6, T10 and T11
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _ddl(df: DataFrame, without: tuple[str, ...] = ()) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
+
+
+def _appended(df: DataFrame, path: str) -> StreamingQuery:
+    return start_updates(df, path, "append")
 
 
 def dedup(stream: DataFrame, keys: list[str], time: str, path: str, delay: str = "2 days") -> StreamingQuery:
@@ -37,34 +43,25 @@ def dedup(stream: DataFrame, keys: list[str], time: str, path: str, delay: str =
 
 
 def outliers(stream: DataFrame, keys: list[str], order: list[str], path: str, window: int = 50) -> StreamingQuery:
-    """The batch detector over each micro-batch preceded by the last ``window`` readings per key."""
-
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
-        rows = batch.withColumn("_new", F.lit(True))
-        if before is not None:
-            rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
-        flags = flag_outliers(rows, keys, [(c, True) for c in order], window=window).filter("_new").drop("_new")
-        tail = last_n_per_key(rows.drop("_new").filter(F.col("value").isNotNull()), keys, order, window)
-        return flags, tail.drop("recency")
-
-    return start_with_carry(stream, step, path)
+    """The batch detector's flags, the last ``window`` readings of each key being kept in the state store."""
+    present = stream.filter(F.col("value").isNotNull())
+    processor = WindowStatistics(["value"], order, window)
+    stats = present.groupBy(*keys).transformWithStateInPandas(processor, f"{_ddl(present)}, {processor.ADDED}", "Append", "None")
+    return _appended(raised_flags(stats), path)
 
 
 def deficit_index(stream: DataFrame, cell: list[str], path: str) -> StreamingQuery:
-    """The deficit index continued from the carried value per (cell, season); batches hold whole days."""
-
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
-        def last(index: DataFrame) -> DataFrame:
-            newest = index.groupBy(*cell, "season").agg(F.max_by("adi", "date").alias("adi"))
-            if before is not None:
-                newest = newest.unionByName(before.join(newest, [*cell, "season"], "left_anti"))
-            # A finished season is never continued
-            top = newest.groupBy(*cell).agg(F.max("season").alias("_top"))
-            return newest.join(top, cell).filter("season >= _top - 1").drop("_top")
-
-        return adi_index(batch, cell, carry=before), last
+    """The deficit index of each cell, begun anew each season.
 
-    return start_with_carry(stream, step, path)
+    ``stream`` has ``date``, ``din`` and ``weight``; a day's weight depends on the whole domain and so comes with the rows.
+    """
+    days = stream.filter(seasons.in_season(F.col("date"))).select(
+        *cell, "date", seasons.season_id(F.col("date")).cast("int").alias("season"), F.col("din").cast("double"), F.col("weight").cast("double")
+    )
+    processor = DeficitIndex(fx.DIN_DEFICIT_UGL, fx.ADI_DECAY, fx.ADI_CEILING)
+    return _appended(
+        days.groupBy(*cell).transformWithStateInPandas(processor, f"{_ddl(days, ('din', 'weight'))}, adi DOUBLE", "Append", "None"), path
+    )
 
 
 def monitor(
@@ -72,15 +69,12 @@ def monitor(
     stage: str | None = None, baseline: list[float] | None = None,
 ) -> StreamingQuery:
     """T4: trailing-window statistics and drift, the window spanning micro-batches."""
-
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
-        rows = batch.withColumn("_new", F.lit(True))
-        if before is not None:
-            rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
-        stats = perf_rolling(rows, keys, [(c, True) for c in order], latency, score, window, stage=stage, baseline=baseline).filter("_new").drop("_new")
-        return stats, last_n_per_key(rows.drop("_new"), keys, order, window - 1).drop("recency")
-
-    return start_with_carry(stream, step, path)
+    stages = len(baseline) if stage and baseline else 0
+    processor = MonitorWindow([latency, score, *([stage] if stages else [])], order, window - 1, stages)
+    plain = ["latency_mean", "score_mean", "score_stdev", "score_min", "score_max", "latency_p50", "latency_p95", "latency_p99"]
+    added = ["win_n BIGINT", *[f"{c} DOUBLE" for c in plain], *[f"_in_{i} BIGINT" for i in range(stages)]]
+    stats = stream.groupBy(*keys).transformWithStateInPandas(processor, f"{_ddl(stream)}, {', '.join(added)}", "Append", "None")
+    return _appended(with_drift(stats, baseline) if stages else stats, path)
 
 
 def latest(stream: DataFrame, keys: list[str], order: list[str], path: str, seconds: int | None = None) -> StreamingQuery:
@@ -90,50 +84,21 @@ def latest(stream: DataFrame, keys: list[str], order: list[str], path: str, seco
     return start_updates(newest, path, trigger={"processingTime": f"{seconds} seconds"} if seconds else None)
 
 
-class SlidingLog(StatefulProcessor):
-    """Keeps the times of the requests that were let through during the last window."""
-
-    def __init__(self, window_micros: int):
-        self.window = window_micros
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", T.StructType([T.StructField("micros", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        log = [t[0] for t in self.times.get()] if self.times.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["micros", "event_id"])
-        allowed = []
-        for now, limit in zip(batch["micros"], batch["limit"]):
-            log = [t for t in log if t >= now - self.window]
-            ok = len(log) < limit
-            if ok:
-                log.append(int(now))
-            allowed.append(ok)
-        if log:
-            self.times.put([(t,) for t in log])
-        else:
-            self.times.clear()
-        yield pd.DataFrame({"event_id": batch["event_id"], "allowed": allowed})
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limit(stream: DataFrame, keys: list[str], path: str, seconds: int = fx.RATE_WINDOW_SECONDS) -> StreamingQuery:
+def rate_limit(
+    stream: DataFrame, keys: list[str], path: str, seconds: int = fx.RATE_WINDOW_SECONDS, time: str | None = None, delay: str = "1 day"
+) -> StreamingQuery:
     """Only requests that were let through count against the limit.
 
-    ``stream`` has ``event_id``, ``micros`` and ``limit``; state per key is at most ``limit`` times.
+    ``stream`` has ``event_id``, ``micros`` and ``limit``; state per key is at most ``limit`` times. The result has allowed, remaining,
+    reset_at and, where denied, retry_after, both in seconds. With the event time column ``time`` a timer clears the state of a key
+    once the watermark, ``delay`` behind the newest row, has passed its window, and rows behind the watermark are dropped.
     """
-    decided = (
-        stream.groupBy(*keys)
-        .transformWithStateInPandas(
-            SlidingLog(seconds * 1_000_000), "event_id BIGINT, allowed BOOLEAN", outputMode="Append", timeMode="None"
-        )
-    )
-    return (
-        decided.writeStream.format("parquet").option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    schema = "event_id BIGINT, allowed BOOLEAN, remaining BIGINT, reset_at BIGINT, retry_after BIGINT"
+    seen = stream.withWatermark(time, delay) if time else stream
+    decided = seen.groupBy(*keys).transformWithStateInPandas(
+        SlidingLog(seconds * 1_000_000, bool(time)), schema, "Append", "EventTime" if time else "None"
     )
+    return _appended(decided, path)
 
 
 def running_statistics(stream: DataFrame, channel: str, value: str, path: str) -> StreamingQuery:
@@ -161,41 +126,46 @@ def rain_24h(stream: DataFrame, time: str, keys: list[str], value: str, path: st
 
 def fill_and_count(stream: DataFrame, cell: list[str], value: str, rain: str, path: str, wet: float = 0.5) -> StreamingQuery:
     """Forward fill and the dry-spell counter, both continued from the last day of each cell."""
+    rows = stream.select(*cell, "date", F.col(value).cast("double").alias(value), F.col(rain).cast("double").alias(rain))
+    schema = f"{_ddl(rows, (value, rain))}, value DOUBLE, dry BIGINT"
+    return _appended(rows.groupBy(*cell).transformWithStateInPandas(FillAndCount(value, rain, wet), schema, "Append", "None"), path)
+
+
+def alerts(
+    stream: DataFrame, time: str, tie: str, severity: str, path: str, recent: int = 60, shown: int = 20, shards: int = 64
+) -> StreamingQuery:
+    """The alert list after each micro-batch, from the newest ``recent`` readings so far.
+
+    Rings by shard come first, and just what is new in them reaches the one ring of all, so this holds few rows however large a batch.
+    """
+    rows = stream.select(F.unix_micros(F.col(time).cast("timestamp")).alias("micros"), F.col(tie).alias("tie"), F.col(severity).alias("severity"))
+    schema, order = rows.schema, ["micros", "tie"]
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("tie"), F.lit(shards))).groupBy("shard").transformWithStateInPandas(
+        Ring(schema, order, recent, True), schema, "Append", "None"
+    )
+    ring = sharded.withColumn("whole", F.lit(0)).groupBy("whole").transformWithStateInPandas(Ring(schema, order, recent, False), schema, "Append", "None")
+
+    def listed(batch: DataFrame) -> DataFrame:
+        feed = alert_feed(batch, order, "severity", recent, shown)
+        return feed.select(F.timestamp_micros("micros").alias(time), F.col("tie").alias(tie), F.col("severity").alias(severity), "alert_no")
+
+    return start_updates(ring, path, "append", finish=listed)
+
+
+def late_rows(stream: DataFrame, time: str, keys: list[str], path: str, delay: str = "1 day") -> StreamingQuery:
+    """Rows once per key within the watermark, as T1, and how many came too late.
+
+    A row whose time is not after the watermark is dropped; every micro-batch's number of rows and of dropped ones is reported by the
+    engine, and ``late_counts`` reads it from the query when it has ended.
+    """
+    once = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return _appended(once, path)
+
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
-        rows = batch
-        if before is None:
-            rows = rows.withColumns({"_value": F.lit(None).cast("double"), "_dry": F.lit(None).cast("bigint")})
-        else:
-            rows = rows.join(before.select(*cell, F.col("value").alias("_value"), F.col("dry").alias("_dry")), cell, "left")
-        w = Window.partitionBy(*cell).orderBy("date")
-        past = w.rowsBetween(Window.unboundedPreceding, 0)
-        placed = rows.withColumn("_pos", F.row_number().over(w))
-        wet_at = F.last(F.when(F.col(rain) > wet, F.col("_pos")), ignorenulls=True).over(past)
-        filled = placed.select(
-            *cell, "date",
-            F.coalesce(F.last(value, ignorenulls=True).over(past), F.col("_value")).alias("value"),
-            F.coalesce(
-                F.when((F.col("_pos") == 1) & F.col("_dry").isNull(), F.lit(0)), F.col("_pos") - wet_at,
-                F.col("_dry") + F.col("_pos"), F.col("_pos") - 1,
-            ).cast("bigint").alias("dry"),
-        )
-
-        def last(written: DataFrame) -> DataFrame:
-            newest = written.groupBy(*cell).agg(F.max_by("value", "date").alias("value"), F.max_by("dry", "date").alias("dry"))
-            return newest if before is None else newest.unionByName(before.join(newest, cell, "left_anti"))
-
-        return filled, last
-
-    return start_with_carry(stream, step, path)
-
-
-def alerts(stream: DataFrame, order: list[str], severity: str, path: str, recent: int = 60) -> StreamingQuery:
-    """The alert list after each micro-batch, from the newest ``recent`` readings so far."""
-
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, Carry]:
-        rows = batch if before is None else batch.unionByName(before)
-        ring = rows.orderBy(*[F.col(c).desc() for c in order]).limit(recent)
-        return alert_feed(rows, order, severity, recent), ring
-
-    return start_with_carry(stream, step, path)
+def late_counts(spark: SparkSession, job: StreamingQuery) -> DataFrame:
+    """(batch, n_rows, n_late) of an ended query with row-wise state, one row per micro-batch that had rows."""
+    seen = [
+        (int(p.batchId), int(p.numInputRows), sum(int(o.numRowsDroppedByWatermark) for o in p.stateOperators))
+        for p in job.recentProgress if p.numInputRows
+    ]
+    return spark.createDataFrame(seen, "batch BIGINT, n_rows BIGINT, n_late BIGINT")
