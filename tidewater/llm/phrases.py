@@ -5,8 +5,8 @@ the corpus: the longest gram that begins there, which is shorter only where a pi
 has all its flow from one edge and to one edge, are compacted to long phrases. Counts of shorter phrases follow from node flow:
 what flows out of a node, and the corrections for pieces that end in it.
 
-Before, a sketch of fixed size takes the occurrences of all grams of up to three words. It never counts too little, so a gram that
-stays below the least count there is none of a candidate, and records are cut in front of it. That saves volume and changes no count.
+Before, a sketch of fixed size takes the occurrences of all grams of two and three words. It never counts too little, so a gram that
+stays below the least count there is in no candidate, and records are cut in front of it. That saves volume and changes no count.
 """
 
 from __future__ import annotations
@@ -69,14 +69,14 @@ class Words:
             yield self.start[i:j], self.stop[i:j], min(STEP_WORDS, len(self.start) - i), self.joined[i:j]
 
     def grams(self, start: np.ndarray, stop: np.ndarray, joined: np.ndarray, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(hash, whether all its words are in one piece) of the grams of one, two and three words that begin at each word."""
+        """(hash, whether all its words are in one piece) of the grams of two and of three words that begin at each word."""
         first = int(start[0])
         raw = np.frombuffer(self.text, np.uint8)[first : int(stop[-1])].astype(np.uint64)
         power = np.cumprod(np.full(len(raw), _BASE, np.uint64))
         back = np.cumprod(np.full(len(raw), _INVERSE, np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power)])
         word = _mixed((sums[stop - first] - sums[start - first]) * back[start - first] + np.uint64(seed))
-        out, gram, whole = [(word, np.ones(len(word), bool))], word, np.ones(len(word), bool)
+        out, gram, whole = [], word, np.ones(len(word), bool)
         for k in (1, 2):
             after = np.zeros(len(word), np.uint64)
             after[:-k] = word[k:]
@@ -172,10 +172,10 @@ def _records(frequent, slots: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                         for gram, whole in words.grams(start, stop, joined, seed):
                             at = (gram & np.uint64(slots - 1)).astype(np.int64)
                             known.append(whole & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-                        length, runs = known[0].astype(np.int64), known[0]
+                        length, runs = np.ones(len(start), np.int64), np.ones(len(start), bool)
                         for k in range(1, LONGEST):
                             # The next word continues the gram if the two or three words that it ends may be frequent
-                            last = known[min(k, 2)][max(0, k - 2) :]
+                            last = known[min(k, 2) - 1][max(0, k - 2) :]
                             runs = runs & np.append(last, np.zeros(len(runs) - len(last), bool))
                             length += runs
                         length = length[:own]
