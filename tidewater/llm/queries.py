@@ -43,12 +43,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op2_topk",
     """
-    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+    WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
     s AS (
-      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+      SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row
     ),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
 )
@@ -181,14 +181,14 @@ _OP8_SQL = f"""
       UNION ALL SELECT q, 'block', {_sql_day("q", 8)} FROM d WHERE {_sql_hex("q", 7)} < 2
       UNION ALL SELECT q, CASE WHEN {_sql_hex("q", 11)} < 8 THEN 'allow' ELSE 'block' END, {_sql_day("q", 12)} FROM t WHERE {_sql_hex("q", 10)} < 3
     ),
-    g AS (SELECT lower(pattern) AS pattern, listed_on, max(action) AS action FROM e GROUP BY ALL),
+    g AS (SELECT pattern, listed_on, max(action) AS action FROM e GROUP BY ALL),
     i AS (SELECT pattern, action, listed_on AS valid_from, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS valid_to FROM g),
     k AS (SELECT DISTINCT url, fetched_on, host, path FROM p WHERE host <> ''),
     s AS (SELECT *, string_split(host, '.') AS ls, list_filter(string_split(path, '/'), lambda x: x <> '') AS ps FROM k),
     x AS (
       SELECT url, fetched_on, unnest(list_concat(
         list_transform(range(1, len(ls) + 1), lambda n: array_to_string(list_slice(ls, n, len(ls)), '.')),
-        list_transform(range(1, least(len(ps), 8) + 1), lambda n: host || '/' || array_to_string(list_slice(ps, 1, n), '/')))) AS pattern
+        list_transform(range(1, len(ps) + 1), lambda n: host || '/' || array_to_string(list_slice(ps, 1, n), '/')))) AS pattern
       FROM s
     ),
     r AS (

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 #: Rows of a block pair: at most about this many candidates (x queries) are held by one task at a time
 CANDIDATES, QUERIES = 1024, 2048
 _LONG = (1 << 63) - 1
@@ -20,22 +22,24 @@ _LONG = (1 << 63) - 1
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, factor: int) -> DataFrame:
     """(id, v array<bigint>): floor(factor * x) with x as double. Vectors that are null, empty, or hold a null or non-finite
-    component are left out; of rows with one id, the one with the smallest vector counts."""
+    component are left out, and so are null ids; rows that share an id all stay."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.size(v).__gt__(0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         vectors.filter(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False)))
         .select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: F.floor(x * factor)).alias("v"))
-        .groupBy("id").agg(F.min("v").alias("v"))
     )
 
 
-def threshold_search(rows: np.ndarray, ids: np.ndarray, order: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of the rows, without those whose id is ``own``; ties to smaller ids.
+def threshold_search(
+    rows: np.ndarray, ids: np.ndarray, order: np.ndarray, query: np.ndarray, own: int, k: int, keys: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """The k best (score, id) of the rows, without those whose key is ``own``; ties to smaller ids. Without ``keys`` the ids are the keys.
 
     ``order[d]`` sorts the rows by component d, ascending. Scores are exact: sums in float64 when they fit, else integers.
     """
     n, dims = rows.shape
+    others = (ids if keys is None else keys) != own
     best: list[tuple[int, int]] = []
     met = np.zeros(n, bool)
     up = query > 0
@@ -50,7 +54,7 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, order: np.ndarray, query
         fresh[heads] = True
         fresh &= ~met
         met |= fresh
-        at = np.flatnonzero(fresh & (ids != own))
+        at = np.flatnonzero(fresh & others)
         if len(at):
             scores = rows[at] @ query
             if len(at) > k:
@@ -73,17 +77,18 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 def _search(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if len(queries) and len(candidates):
-            q, x, ids = _matrix(queries), _matrix(candidates), candidates.column("id").to_numpy()
+            q, x, ids, keys = _matrix(queries), _matrix(candidates), candidates.column("id").to_numpy(), candidates.column("key").to_numpy()
             # Every partial sum stays below 2^53, so float64 products are exact; larger components use Python integers
             exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**53
             q, x = (m.astype(np.float64 if exact else object) for m in (q, x))
             order = np.argsort(x, axis=0, kind="stable").T.copy()
-            for own, query in zip(queries.column("id").to_pylist(), q):
-                for score, i in threshold_search(x, ids, order, query, own, k):
-                    out[0].append(own), out[1].append(i), out[2].append(max(-_LONG - 1, min(_LONG, score)))
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+            for own, query_id, query in zip(queries.column("key").to_pylist(), queries.column("id").to_pylist(), q):
+                for score, i in threshold_search(x, ids, order, query, own, k, keys):
+                    for column, value in zip(out, (own, query_id, i, max(-_LONG - 1, min(_LONG, score)))):
+                        column.append(value)
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["key", "query_id", "vec_id", "score"])
 
     return run
 
@@ -91,21 +96,23 @@ def _search(k: int):
 def top_k(
     vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 256
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best inner products of every query row with every row of another id.
+    """(query_id, rank, vec_id, score): the k best inner products of every query row with every other row.
 
+    Rows that share an id are rows of their own: each is a candidate, also for the others, and each query row has its own ranks.
     Queries are the rows for which the SQL condition ``is_query`` (over the column ``id``) holds. Ties go to the smaller id;
     fewer than k rows give all of them. Vectors of another length than the query's take no part in its search. A score
     beyond the range of a long is clamped to it. Other columns are ignored; an empty table gives no rows.
     """
-    data = quantized(vectors, id_col, vector_col, factor).withColumn("dims", F.size("v"))
+    data = quantized(vectors, id_col, vector_col, factor).withColumns({"dims": F.size("v"), "key": F.monotonically_increasing_id()})
+    data = staged(data, "vectors")  # written, so that a row keeps its key
     queries = data.filter(is_query)
     total, asked = data.count(), queries.count()
     parts, groups = max(1, -(-total // CANDIDATES)), max(1, -(-asked // QUERIES))
-    cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    cell = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("g", cell(groups)).withColumn("c", every(parts)).select("dims", "g", "c", "id", "v")
-    right = data.withColumn("c", cell(parts)).withColumn("g", every(groups)).select("dims", "g", "c", "id", "v")
+    left = queries.withColumn("g", cell(groups)).withColumn("c", every(parts)).select("dims", "g", "c", "key", "id", "v")
+    right = data.withColumn("c", cell(parts)).withColumn("g", every(groups)).select("dims", "g", "c", "key", "id", "v")
     found = left.groupBy("dims", "g", "c").cogroup(right.groupBy("dims", "g", "c")).applyInArrow(
-        _search(k), "query_id bigint, vec_id bigint, score bigint")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        _search(k), "key bigint, query_id bigint, vec_id bigint, score bigint")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
