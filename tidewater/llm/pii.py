@@ -38,21 +38,26 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _starts(sizes: Column) -> Column:
-    """Exclusive running sums of an array, in chunks so that no sum runs over the whole array for every element."""
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For every element what ``join`` makes of 0 and all elements before it, in chunks so that none looks at the whole array."""
+    total = lambda x: F.aggregate(x, F.lit(0), join)
 
     def chunked(s: Column) -> Column:
         last = F.floor((F.size(s) - 1) / _CHUNK).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(s, c * _CHUNK + 1, _CHUNK))
 
     def inside(chunk: Column, before: Column) -> Column:
-        return F.transform(chunk, lambda _, i: before + total(F.slice(chunk, F.lit(1), i)))
+        return F.transform(chunk, lambda _, i: join(before, total(F.slice(chunk, F.lit(1), i))))
 
     def every(held: Column, totals: Column) -> Column:
         return F.flatten(F.transform(held, lambda x, c: _let(total(F.slice(totals, F.lit(1), c)), lambda before: inside(x, before))))
 
-    return _let(sizes, lambda s: _let(chunked(s), lambda held: _let(F.transform(held, total), lambda totals: every(held, totals))))
+    return _let(values, lambda s: _let(chunked(s), lambda held: _let(F.transform(held, total), lambda totals: every(held, totals))))
+
+
+def _starts(sizes: Column) -> Column:
+    """Exclusive running sums of an array."""
+    return _before(sizes, lambda a, b: a + b)
 
 
 def _digits(value: Column) -> Column:
@@ -124,12 +129,26 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; spans that overlap become one, named by the first."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        grown = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], grown).otherwise(a["out"]).alias("out"))
+    """The text with every span replaced by its kind in brackets; spans that overlap become one, named by the first.
 
-    done = F.aggregate(spans, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    The text is cut once into chunks of equal length, and each stretch between spans is put together from the chunks that it lies in,
+    so the work is linear in the text and the spans.
+    """
+    chunk = lambda at: F.floor(at / _CHUNK).cast("int")
+
+    def stretch(chunks: Column, a: Column, b: Column) -> Column:
+        inside = F.array_join(F.slice(chunks, chunk(a) + 1, chunk(b - 1) - chunk(a) + 1), "")
+        return F.when(b > a, F.substring(inside, a % _CHUNK + 1, b - a)).otherwise("")
+
+    def joined(held: Column, chunks: Column, reached: Column) -> Column:
+        # What lies before a span has been reached where the spans before it end; a span that begins there or later is not part of them
+        heads = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: F.get(held, i)["start"] >= F.get(reached, i))
+        named = lambda i: F.concat(
+            stretch(chunks, F.get(reached, i), F.get(held, i)["start"]), F.lit("["), F.upper(F.get(held, i)["kind"]), F.lit("]"))
+        end = F.array_max(F.transform(held, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(heads, named), ""), _let(end, lambda e: stretch(chunks, e, F.length(text))))
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    reached = lambda held: _before(F.transform(held, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    done = _let(spans, lambda held: _let(cut, lambda chunks: _let(reached(held), lambda r: joined(held, chunks, r))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
