@@ -226,30 +226,6 @@ class Pieces:
         return ids, np.diff(stops)
 
 
-def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.known) >= REMEMBERED:
-            self.known = {}
-        known, groups, long = self.known, defaultdict(list), set()
-        for piece in set(chain.from_iterable(texts)) - known.keys():
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                known[piece] = (whole,)
-            elif len(raw) <= LONGEST:
-                groups[len(raw)].append((piece, raw))
-            else:
-                known[piece] = tuple(merge(raw, self.ranks))
-                long.add(piece)
-        for group in groups.values():
-            for start in range(0, len(group), 4096):
-                part = group[start : start + 4096]
-                known.update(zip([x for x, _ in part], self.merges.ids([x for _, x in part])))
-        found = [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32) for pieces in texts]
-        for piece in long:
-            del known[piece]
-        return found
-
-
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
     verify: bool = False,
