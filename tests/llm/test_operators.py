@@ -546,3 +546,76 @@ def test_personal_data_validators_and_context(spark):
         assert [s.kind for s in r.spans if s.kind not in pii.BASE] == r.kinds
     a, b = (pii.find_spans(spark.createDataFrame([(t,)], "text STRING")).first().spans[0].score for t in ("mail me: a@b.cd", "sample version a@b.cd"))
     assert a > b
+
+
+def redacted(text, spans):
+    """Overlapping spans become one, named by the first."""
+    out, at = "", 0
+    for start, end, kind in spans:
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redact_equals_a_plain_cut(spark):
+    rng = random.Random(7)
+    kind = "array<struct<start:int,rank:int,end:int,kind:string,value:string,score:double>>"
+    rows = []
+    for n in (0, 1, 2, 5, 40, 900):
+        text = "".join(rng.choice("ab é€😀\n") for _ in range(n * 7 + 3))
+        starts = sorted(rng.randrange(len(text)) for _ in range(n))
+        spans = [(s, rng.choice(["email", "ip"]), min(len(text), s + rng.choice([1, 3, 30, 300]))) for s in starts]
+        rows.append((text, [(s, 0, e, k, "", 1.0) for s, k, e in sorted(spans)], redacted(text, [(s, e, k) for s, k, e in sorted(spans)])))
+    df = spark.createDataFrame(rows, f"text STRING, spans {kind}, want STRING")
+    assert df.withColumn("got", pii.redact(F.col("text"), F.col("spans"))).filter("not got <=> want").isEmpty()
+    text = "plain"
+    assert spark.createDataFrame([(None, [], None), (text, None, text)], f"text STRING, spans {kind}, want STRING").withColumn(
+        "got", pii.redact(F.col("text"), F.col("spans"))).filter("not got <=> want").isEmpty()
+
+
+def test_redact_is_linear(spark):
+    """A hundred thousand addresses in one text."""
+    import time
+
+    df = spark.range(1).select(F.repeat(F.lit("write to someone@example.org or "), 100_000).alias("text"))
+    started = time.time()
+    spans = pii.find_spans(df)
+    done = spans.select(pii.redact(F.col("text"), F.col("spans")).alias("t"), F.size("spans").alias("n")).first()
+    assert done["n"] == 100_000 and done["t"] == "write to [EMAIL] or " * 100_000 and time.time() - started < 120
+
+
+def test_topk_keeps_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 2.0]), (0, [3.0, 0.5]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    got = sorted(tuple(r) for r in topk.top_k(df, "id % 50 = 0", k=3).select("query_id", "rank", "vec_id", "score").collect())
+    want = []
+    for i, (query, q) in enumerate(rows):
+        if query == 0:
+            scored = sorted((-int(sum(256 * a * 256 * b for a, b in zip(q, v))), vec) for j, (vec, v) in enumerate(rows) if j != i)
+            want += [(query, n + 1, vec, -score) for n, (score, vec) in enumerate(scored[:3])]
+    assert got == sorted(want)
+
+
+def test_threshold_walk_meets_nearly_all_rows_of_even_dimensions():
+    """What the walk saves: with one strong dimension it stops before, with 64 even ones it has met almost all rows when it can stop."""
+    rng = np.random.default_rng(2)
+    met = {}
+    for name, scale in (("strong", [400.0] + [1.0] * 7), ("even", [64.0] * 64)):
+        rows = np.floor(rng.normal(0, 1, (2000, len(scale))) * scale)
+        order = np.argsort(rows, axis=0, kind="stable").T.copy()
+        seen = []
+        query = rows[0]
+
+        class Counted(np.ndarray):
+            def __getitem__(self, at):
+                if isinstance(at, np.ndarray) and at.ndim == 1:
+                    seen.append(len(at))
+                return super().__getitem__(at)
+
+        got = topk.threshold_search(rows.view(Counted), np.arange(2000), order, query, 0, 5)
+        scores = rows @ query
+        want = sorted(((int(s), i) for i, s in enumerate(scores) if i), key=lambda x: (-x[0], x[1]))[:5]
+        assert [(int(s), int(i)) for s, i in got] == want
+        met[name] = sum(seen) / 2000
+    assert met["strong"] < 0.8 and met["even"] > 0.9
