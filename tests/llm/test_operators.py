@@ -619,3 +619,25 @@ def test_threshold_walk_meets_nearly_all_rows_of_even_dimensions():
         assert [(int(s), int(i)) for s, i in got] == want
         met[name] = sum(seen) / 2000
     assert met["strong"] < 0.8 and met["even"] > 0.9
+
+
+ANNA = "Anna has 12 apples. Maria buys 3 apples from Anna. Anna then sells 4 pears to Maria. How many apples does Maria have?"
+
+
+@pytest.mark.parametrize("filler", ["", "Some words come first. The Old Tower fell on Monday in Rome. ", "Then Then He said The Word. "])
+def test_names_at_sentence_starts(spark, filler):
+    """Other names and numbers, also where names begin sentences; a verbatim copy where the text has such words as names elsewhere."""
+    other = ANNA.replace("Anna", "Tom").replace("Maria", "Eve").replace("12", "15").replace("3", "5").replace("4", "6")
+    broken = other.replace("5 apples from Tom. Tom then", "5 apples from Tom. Eve then")
+    docs = spark.createDataFrame([(1, filler + ANNA), (2, filler + other), (3, filler + other + " And more text follows here.")], "doc_id BIGINT, text STRING")
+    item = spark.createDataFrame([(7, ANNA), (8, "What does The Old Tower of Rome cost on Monday for one visitor?")], "item_id BIGINT, text STRING")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, item).collect()}
+    assert {(1, 7), (2, 7), (3, 7)} <= got and broken != other
+
+
+def test_scripts_without_spaces(spark):
+    text = "小明有十二个苹果,小红从他那里买了三个苹果,然后小明又卖给她四个梨,请问现在小红一共有多少个苹果"
+    changed = text.replace("梨", "桃").replace("请问", "请你问")
+    docs = spark.createDataFrame([(1, text), (2, "前面的文字。" + changed), (3, "完全不同的一段中文文字,没有任何题目在里面,只是普通的句子而已")], "doc_id BIGINT, text STRING")
+    item = spark.createDataFrame([(7, text)], "item_id BIGINT, text STRING")
+    assert {r["doc_id"] for r in decontaminate.find_leaks(docs, item).collect()} == {1, 2}

@@ -1,7 +1,8 @@
 """Benchmark leaks, re-parameterised ones included, with column functions only.
 
 Texts are brought to templates: numbers, names (runs of title-case words that do not begin a sentence) and units after a number
-become typed placeholders, everything else is lower-cased words. Windows of template tokens of the documents are hash-joined with
+become typed placeholders, everything else is lower-cased words, or single characters in scripts that are written without spaces. A
+title-case word that begins a sentence is read as a word and, where the text has it as a name elsewhere, in a second reading as a name. Windows of template tokens of the documents are hash-joined with
 those of the benchmark; matches of one item within about its length count together, so words put in or left out between them
 do no harm. Where enough of an item's windows match, the values of the placeholders in them must be the item's own, or
 consistent: one benchmark value stands for one document value at most places.
@@ -19,35 +20,65 @@ WINDOW, COVERAGE, LITERALS = 8, 0.5, 3
 BROADCAST_WINDOWS = 1 << 18
 #: Matched documents up to this number are broadcast to read their texts again
 BROADCAST_IDS = 1 << 20
-#: Marks before a number, a name and a unit, and after a name
-NUMBER, NAME, UNIT, END = "\x04", "\x05", "\x06", "\x07"
+#: Marks before a number, a name and a unit, after a name, and before a title-case word that begins a sentence
+NUMBER, NAME, UNIT, END, MAYBE = "\x04", "\x05", "\x06", "\x07", "\x03"
 UNITS = (
     "mm|cm|m|km|in|ft|yd|mi|mg|g|kg|t|oz|lb|lbs|ml|l|cl|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|usd|eur|dollars|euros|cents|"
     "percent|meters|metres|kilometers|kilometres|miles|inches|feet|grams|kilograms|liters|litres|watts|volts|degrees"
 )
-_WORD = r"\p{L}[\p{L}\p{M}]*"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORD = rf"(?:[{_UNSPACED}&&\p{{L}}]\p{{M}}*|[\p{{L}}&&[^{_UNSPACED}]][\p{{L}}\p{{M}}&&[^{_UNSPACED}]]*)"
 _NUM = r"[0-9]+(?:[.,][0-9]+)*+"
 
 
 def _plain(text: Column) -> Column:
     """The text, null as empty, without the control characters that serve as placeholders."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(t.rlike(r"[\x04-\x07]"), F.translate(t, NUMBER + NAME + UNIT + END, "    ")).otherwise(t)
+    return F.when(t.rlike(r"[\x03-\x07]"), F.translate(t, NUMBER + NAME + UNIT + END + MAYBE, "     ")).otherwise(t)
 
 
-def marked(text: Column) -> Column:
-    """Lower-cased words of a text, a run of name words as one; numbers, names and units are led by their mark."""
-    word = r"\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
+_TITLE = r"\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
+_BEGIN = r"(?:^|[.!?:;\n])[\"'()\[\]*\s]{0,3}"
+
+
+def with_names(text: Column) -> Column:
+    """The text with its names marked: runs of title-case words that do not begin a sentence."""
     # Cheap look at the first letter, then what stands before it: a letter, or the end of a sentence and up to three marks
-    name = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])(?<!(?:^|[.!?:;\n])[\"'()\[\]*\s]{{0,3}}){word}(?:[ \t -]+{word})*+"
-    t = F.regexp_replace(_plain(text), name, f"{NAME}$0{END}")
-    t = F.regexp_replace(t, _NUM, f" {NUMBER}$0 ")
+    name = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])(?<!{_BEGIN}){_TITLE}(?:[ \t -]+{_TITLE})*+"
+    return F.regexp_replace(_plain(text), name, f"{NAME}$0{END}")
+
+
+def tokens(named: Column) -> Column:
+    """Lower-cased words of a text with marked names, a run of name words as one; numbers, names and units are led by their mark."""
+    t = F.regexp_replace(named, _NUM, f" {NUMBER}$0 ")
     unit = rf"({NUMBER}[0-9.,]++\s*)((?i:{UNITS})(?![\p{{L}}\p{{M}}]))"
     t = F.regexp_replace(t, unit, f"$1{UNIT}$2")
-    found = F.regexp_extract_all(F.lower(t), F.lit(f"{NAME}[^{END}]*{END}|{NUMBER}{_NUM}|{UNIT}?{_WORD}"), 0)
+    found = F.regexp_extract_all(F.lower(t), F.lit(f"{NAME}[^{END}]*{END}|{NUMBER}{_NUM}|[{UNIT}{MAYBE}]?{_WORD}"), 0)
     return F.transform(found, lambda x: F.when(x.startswith(NAME), F.concat(F.lit(NAME), F.array_join(_words(x), " "))).otherwise(x))
 
 
+def marked(text: Column) -> Column:
+    """Marked tokens of a text, sentences beginning with plain words."""
+    return tokens(with_names(text))
+
+
+def second_reading(named: Column, first: Column) -> Column:
+    """Marked tokens at the same positions as ``first``, with words that begin a sentence as names where they are names elsewhere in
+    the text; null where there are none."""
+    begin = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}{NAME}])(?<={_BEGIN}){_TITLE}"
+    found = tokens(F.regexp_replace(named, begin, f"{MAYBE}$0"))
+    word = lambda x: F.substr(x, F.lit(2))
+
+    def resolved(held: Column) -> Column:
+        known = F.array_distinct(F.flatten(F.transform(F.filter(held, lambda x: x.startswith(NAME)), _words)))
+        read = lambda names: F.transform(held, lambda x: F.when(~x.startswith(MAYBE), x).when(
+            F.array_contains(names, word(x)), F.concat(F.lit(NAME), word(x))).otherwise(word(x)))
+        return F.element_at(F.transform(F.array(known), read), 1)
+
+    second = F.when(F.contains(named, F.lit(NAME)), F.element_at(F.transform(F.array(found), resolved), 1))
+    return F.when(second != first, second)
+
+
 def _words(name: Column) -> Column:
     return F.filter(F.split(name, r"[^\p{L}\p{M}]+", -1), lambda x: x != "")
 
@@ -88,10 +119,11 @@ def _windows(docs: DataFrame, widths: list[int], literals: int, keep: list[str])
 
 
 def benchmark_forms(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(key, item, n, n_windows, forms): every item's text as a template, with its first word read as a name too, and with names read
-    as plain words too. A form is an array of template token x, marked token y, value v and the token's position p in the first form."""
-    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).distinct().select(
-        F.monotonically_increasing_id().alias("key"), "item", marked(F.col("text")).alias("m"),
+    """(key, item, n, n_windows, forms): every item's text as a template, with its first word read as a name too, with names read as
+    plain words too, and in its second reading. A form is an array of template token x, marked token y, value v and the token's position p in the first form."""
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+    items = items.withColumn("named", with_names(F.col("text"))).withColumn("m", tokens(F.col("named"))).select(
+        F.monotonically_increasing_id().alias("key"), "item", "m", F.coalesce(second_reading(F.col("named"), F.col("m")), "m").alias("m2"),
         F.regexp_extract(_plain(F.col("text")), f"{_NUM}|{_WORD}", 0).rlike(r"^\p{Lu}\p{Ll}+$").alias("title")).filter("size(m) > 0")
 
     def token(y: Column, p: Column) -> Column:
@@ -105,6 +137,7 @@ def benchmark_forms(benchmark: DataFrame, id_col: str, text_col: str, window: in
         F.col("f"),
         F.when(F.col("title"), F.concat(F.array(token(led, run.cast("int"))), F.slice("f", run.cast("int") + 2, F.size("f")))).otherwise(F.col("f")),
         F.flatten(F.transform("f", lambda t: F.when(t["x"] == NAME, F.transform(_words(t["v"]), lambda w: token(w, t["p"]))).otherwise(F.array(t)))),
+        F.transform("m2", token),
     )
     n = F.size("m")
     return items.select("key", "item", n.alias("n"), (n - F.least(n, F.lit(window)) + 1).alias("n_windows"), F.array_distinct(forms).alias("forms"))
@@ -129,6 +162,14 @@ def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame
     return made.groupBy("key", "n", "n_windows", "width", "h", "j").agg(F.min("from").alias("from")).select("*", "from.*").drop("from")
 
 
+def _readings(rows: DataFrame) -> DataFrame:
+    """(id, row, m) per reading of each of the ``rows`` (id, row, text): a second one counts as a row of its own."""
+    first = rows.withColumn("named", with_names(F.col("text"))).withColumn("m", tokens(F.col("named")))
+    both = first.withColumn("m2", second_reading(F.col("named"), F.col("m")))
+    second = F.when(F.col("m2").isNotNull(), F.struct(F.xxhash64("row").alias("row"), F.col("m2").alias("m")))
+    return both.select("id", F.inline(F.array_compact(F.array(F.struct("row", "m"), second))))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS,
@@ -146,7 +187,7 @@ def find_leaks(
     few = found[0] <= BROADCAST_WINDOWS
     text = F.col(text_col).cast("string")
     rows = docs.filter(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    known = rows.select("id", "row", marked(F.col("text")).alias("m"))
+    known = _readings(rows)
     # At most ``window`` different widths: that of long items, and those of items shorter than it
     own = marks.drop("width")
     matches = _windows(known, sorted(found[1] or [window]), literals, ["id", "row"]).join(F.broadcast(own) if few else own, "h").withColumn("shift", F.col("at") - F.col("j"))
@@ -164,8 +205,7 @@ def find_leaks(
     ids = staged(aligned.select("id").distinct(), "leaking")
     small = ids.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id", "row"])
-    left = texts.select("id", "row", marked(F.col("text")).alias("m"))
-    both = aligned.join(left, ["id", "row"]).join(items.select("key", "item", "forms"), "key")
+    both = aligned.join(_readings(texts), ["id", "row"]).join(items.select("key", "item", "forms"), "key")
 
     def slots(w: Column) -> Column:
         """Item's value ``a`` and document's value ``b`` of every placeholder of a window."""
