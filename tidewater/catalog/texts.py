@@ -8,6 +8,7 @@ from ..functions import fixed_values as fx
 from ..functions import text as tx
 from ..operators import governance as gv
 from ..operators import retrieval as rt
+from ..operators import vector_index
 from .base import query, r6, table
 
 _CTRL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -117,6 +118,15 @@ def cosine_topk(spark, d):
     return top_documents(spark, d).select("query_id", "doc_id", r6("distance"), F.col("rank").cast("int").alias("rank"))
 
 
+@query("cosine_topk_index")
+def cosine_topk_index(spark, d):
+    """Nearest three of every hundredth vector, itself included, by the projection index."""
+    docs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    queries = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    found = vector_index.cosine_topk_index(queries, docs)
+    return found.select("query_id", "doc_id", r6("distance"), F.col("rank").cast("int").alias("rank"))
+
+
 def retrieved(spark, d):
     """Ranked documents per query as an array of at most three structs."""
     docs = table(spark, d, "documents").select(

@@ -55,7 +55,7 @@ def assign_chunk_ids(chunks: DataFrame, order: list[tuple[str, bool]], title: st
     ).drop("_pos")
 
 
-def _block_scores(k: int, digits: int):
+def block_scores(k: int, digits: int):
     def score(key, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype(
             {"query_id": "int64", "doc_id": "int64", "distance": "float64"}
@@ -103,7 +103,7 @@ def cosine_topk(
     best = (
         left.groupBy("_d", "_q")
         .cogroup(right.groupBy("_d", "_q"))
-        .applyInPandas(_block_scores(k, digits), "query_id BIGINT, doc_id BIGINT, distance DOUBLE")
+        .applyInPandas(block_scores(k, digits), "query_id BIGINT, doc_id BIGINT, distance DOUBLE")
     )
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
