@@ -183,3 +183,24 @@ def test_cube_of_no_readings(spark):
     bare = spark.createDataFrame([], "loc_id INT, lat DOUBLE, lon DOUBLE, date DATE, source_rank INT, measure STRING, value DOUBLE")
     empty = cube.channel_cube(bare, interpolation.Grid((34.0, 36.0, 126.0, 128.0), 2, 2))
     assert cube.fill_cube(empty).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_among_crowded_sources(spark, monkeypatch, k):
+    """Three thousand sources in one cell of 0.01 degrees and a few elsewhere: exact, and few candidates for each target."""
+    written = {}
+    plain = spatial.staged
+    monkeypatch.setattr(spatial, "staged", lambda df, label: written.__setitem__(label, plain(df, label)) or written[label])
+    rnd = random.Random(12)
+    crowd = [(i, 34.001 + rnd.random() * 0.008, 126.001 + rnd.random() * 0.008) for i in range(3000)]
+    sources = crowd + [(5000 + i, a, b) for i, a, b in _places(20, 3, 3.0)] + [(9000, 34.005, 126.005), (9001, 34.005, 126.005)]
+    targets = [(i, a, b) for i, a, b in _places(25, 7, 0.02)] + [(100 + i, a, b) for i, a, b in _places(20, 8, 3.0)] + [(900, -50.0, -170.0), (901, 34.005, 126.005)]
+    t = spark.createDataFrame(targets, "tid INT, lat DOUBLE, lon DOUBLE")
+    s = spark.createDataFrame(sources, "sid INT, lat DOUBLE, lon DOUBLE")
+    got = {}
+    for r in spatial.nearest_neighbors(t, s, ["tid"], "sid", k).collect():
+        got.setdefault(r["tid"], set()).add(r["sid"])
+    for tid, lat, lon in targets:
+        best = sorted(((lat - a) * (lat - a) + (lon - b) * (lon - b), sid) for sid, a, b in sources)[:k]
+        assert got[tid] == {sid for _, sid in best}
+    assert written["frontier"].groupBy("tid").agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] < 20 * spatial.DENSE

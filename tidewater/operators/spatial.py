@@ -9,9 +9,10 @@ from ..functions import geo
 from ..plans.frames import staged
 from ..plans.ordering import exact_quantiles, join_null_safe
 
-# Cell edge of the finest level in degrees; every further level is twice as wide and the last one spans the globe.
-BASE_CELL = 0.01
-LEVELS = 17
+# Cell edge of the finest level in degrees (7 cm); every further level is twice as wide and the last one spans the globe.
+FINEST, BASE, LEVELS = 0.01 / (1 << 14), 14, 31
+#: Sources up to which a cell is taken as a whole; larger ones are split where they lie near a target
+DENSE = 64
 
 
 def _at_level(cell: str, level: Column) -> Column:
@@ -29,6 +30,48 @@ def _neighbourhood(df: DataFrame, x: str, y: str, reach: int = 1) -> DataFrame:
     )
 
 
+def _celled(df: DataFrame) -> DataFrame:
+    return df.withColumn("_cx", F.floor(F.col("lat") / FINEST)).withColumn("_cy", F.floor(F.col("lon") / FINEST))
+
+
+def _leveled(df: DataFrame, levels: Column) -> DataFrame:
+    """One row per level with the cell (_nx, _ny) of that level."""
+    return df.withColumn("_l", F.explode(levels)).withColumn("_nx", _at_level("_cx", F.col("_l"))).withColumn("_ny", _at_level("_cy", F.col("_l")))
+
+
+def _split_dense(frontier: DataFrame, target: list[str], counts: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Cells that may hold one of the k nearest of a target, with DENSE sources at most unless they are of the finest level.
+
+    ``frontier`` holds a target's columns and its cells with their number of sources ``_n``, ``counts`` all cells that hold any. Every
+    round splits the large cells of a target and drops those that lie beyond k sources: the cells in the order of their
+    farthest corner hold k sources within a distance that no cell beyond it can better.
+    """
+    cell = [*by, "_l", "_nx", "_ny"]
+    children = counts.select(
+        *by, (F.col("_l") + 1).alias("_l"), _at_level("_nx", F.lit(1)).alias("_px"), _at_level("_ny", F.lit(1)).alias("_py"),
+        F.col("_nx").alias("_kx"), F.col("_ny").alias("_ky"), F.col("_n").alias("_kn"),
+    ).withColumnsRenamed({"_px": "_nx", "_py": "_ny"})
+    while True:
+        size = F.pow(F.lit(2.0), F.col("_l")) * FINEST
+        low = lambda c: F.col(c) * size
+        gap = lambda at, c: F.greatest(low(c) - F.col(at), F.col(at) - (low(c) + size), F.lit(0.0))
+        far = lambda at, c: F.greatest(F.abs(F.col(at) - low(c)), F.abs(F.col(at) - (low(c) + size)))
+        square = lambda f: f("lat", "_nx") * f("lat", "_nx") + f("lon", "_ny") * f("lon", "_ny")
+        measured = frontier.withColumn("_near", square(gap)).withColumn("_far", square(far))
+        so_far = F.sum("_n").over(Window.partitionBy(*target).orderBy("_far", "_l", "_nx", "_ny").rowsBetween(Window.unboundedPreceding, 0))
+        bound = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(Window.partitionBy(*target))
+        # A hair more than the bound, so that rounding drops no cell
+        kept = measured.withColumn("_held", so_far).withColumn("_bound", bound).filter(
+            F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-18))
+        frontier = staged(kept.drop("_near", "_far", "_held", "_bound"), "frontier")
+        large = (F.col("_n") > DENSE) & (F.col("_l") > 0)
+        if frontier.filter(large).isEmpty():
+            return frontier
+        below = frontier.filter(large).join(children, cell).withColumns(
+            {"_l": F.col("_l") - 1, "_nx": F.col("_kx"), "_ny": F.col("_ky"), "_n": F.col("_kn")}).drop("_kx", "_ky", "_kn")
+        frontier = frontier.filter(~large).unionByName(below)
+
+
 def nearest_neighbors(
     targets: DataFrame,
     sources: DataFrame,
@@ -41,51 +84,50 @@ def nearest_neighbors(
 
     Both sides carry ``lat``/``lon`` and the optional ``by`` columns; sources must have distinct
     positions per ``by`` group when many share one place. Works by equi-joins on a pyramid of
-    cells: the finest level whose 3x3 block holds k sources bounds the k-th distance by
-    2*sqrt(2) < 3 cell edges, so the 7x7 block of that level holds every true neighbour.
+    cells: the finest level from 0.01 degrees on whose 3x3 block holds k sources bounds the k-th distance by
+    2*sqrt(2) < 3 cell edges, so the 7x7 block of that level holds every true neighbour. Where such a block holds a cell
+    with more than DENSE sources, its cells are split for each target until they are small or too far away.
     """
     by = list(by)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-
-    def celled(df: DataFrame) -> DataFrame:
-        return df.withColumn("_cx", F.floor(F.col("lat") / BASE_CELL)).withColumn(
-            "_cy", F.floor(F.col("lon") / BASE_CELL)
-        )
-
-    t = celled(targets)
-    s = celled(sources).withColumnsRenamed({"lat": "_s_lat", "lon": "_s_lon"})
-    occupied = s.groupBy(*by, "_cx", "_cy").agg(F.count("*").alias("_n"))
-    pyramid = (
-        occupied.withColumn("_l", levels)
-        .groupBy(*by, "_l", _at_level("_cx", F.col("_l")).alias("_x"), _at_level("_cy", F.col("_l")).alias("_y"))
-        .agg(F.sum("_n").alias("_n"))
-    )
-    reach = _neighbourhood(pyramid, "_x", "_y").groupBy(*by, "_l", "_nx", "_ny").agg(F.sum("_n").alias("_n"))
-    cells = t.select(*by, "_cx", "_cy").distinct()
-    seen = (
-        cells.withColumn("_l", levels)
-        .withColumn("_nx", _at_level("_cx", F.col("_l")))
-        .withColumn("_ny", _at_level("_cy", F.col("_l")))
-        .join(reach, [*by, "_l", "_nx", "_ny"])
-    )
+    levels = F.sequence(F.lit(BASE), F.lit(LEVELS - 1))
+    t = _celled(targets)
+    s = _celled(sources).withColumnsRenamed({"lat": "_s_lat", "lon": "_s_lon"})
+    cell = [*by, "_l", "_nx", "_ny"]
+    counted = lambda df, levels: _leveled(df, levels).groupBy(*cell).agg(F.sum("_n").alias("_n"))
+    at_base = lambda df: df.withColumns({c: F.shiftleft(_at_level(c, F.lit(BASE)), BASE) for c in ("_cx", "_cy")})
+    occupied = at_base(s).groupBy(*by, "_cx", "_cy").agg(F.count("*").alias("_n"))
+    pyramid = counted(occupied, levels)
+    reach = _neighbourhood(pyramid.withColumnsRenamed({"_nx": "_x", "_ny": "_y"}), "_x", "_y").groupBy(*cell).agg(F.sum("_n").alias("_n"))
+    cells = at_base(t).select(*by, "_cx", "_cy").distinct()
+    seen = _leveled(cells, levels).join(reach, cell)
     found = seen.groupBy(*by, "_cx", "_cy").agg(F.min(F.when(F.col("_n") >= k, F.col("_l"))).alias("_found"))
     search = found.withColumn("_l", F.coalesce("_found", F.lit(LEVELS - 1)))
-    blocks = _neighbourhood(
-        search.withColumn("_x", _at_level("_cx", F.col("_l"))).withColumn("_y", _at_level("_cy", F.col("_l"))),
-        "_x",
-        "_y",
-        reach=3,
+    around = _neighbourhood(
+        search.withColumn("_x", _at_level("_cx", F.col("_l"))).withColumn("_y", _at_level("_cy", F.col("_l"))), "_x", "_y", reach=3
     ).select(*by, "_cx", "_cy", "_l", "_nx", "_ny")
-    placed = (
-        s.withColumn("_l", levels)
-        .withColumn("_nx", _at_level("_cx", F.col("_l")))
-        .withColumn("_ny", _at_level("_cy", F.col("_l")))
-        .drop("_cx", "_cy")
-    )
-    candidates = blocks.join(placed, [*by, "_l", "_nx", "_ny"]).drop("_l", "_nx", "_ny")
-    pairs = t.join(candidates, [*by, "_cx", "_cy"]).withColumn(
-        "dist2", geo.squared_degrees(F.col("lat"), F.col("lon"), F.col("_s_lat"), F.col("_s_lon"))
-    )
+    blocks = staged(around.join(pyramid, cell), "blocks")  # read for sparse and for dense surroundings
+    home = [*by, "_cx", "_cy"]
+    crowded = blocks.groupBy(*home).agg(F.max("_n").alias("_top")).filter(F.col("_top") > DENSE).select(*home)
+    placed = _leveled(s, levels).drop("_cx", "_cy")
+    dist2 = geo.squared_degrees(F.col("lat"), F.col("lon"), F.col("_s_lat"), F.col("_s_lon"))
+    based = at_base(t)
+    if crowded.isEmpty():
+        pairs = based.join(blocks.drop("_n").join(placed, cell).drop("_l", "_nx", "_ny"), home)
+    else:
+        calm = blocks.join(crowded, home, "left_anti")
+        pairs = based.join(calm.drop("_n").join(placed, cell).drop("_l", "_nx", "_ny"), home)
+        # Only the cells of crowded blocks need the finer levels
+        dense = blocks.filter(F.col("_n") > DENSE).select(*cell).distinct()
+        inside = placed.join(dense, cell, "left_semi").select(source_key, *by).distinct()
+        fine = s.join(inside, [source_key, *by], "left_semi")
+        whole = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+        counts = staged(counted(fine.groupBy(*by, "_cx", "_cy").agg(F.count("*").alias("_n")), whole), "cells")
+        own = list(dict.fromkeys([*by, *target_key]))
+        ahead = based.select(*own, "lat", "lon", "_cx", "_cy").join(crowded, home, "left_semi").join(blocks, home).drop("_cx", "_cy")
+        frontier = _split_dense(ahead, own, counts, by, k).drop("_n")
+        near = frontier.join(_leveled(s, whole).drop("_cx", "_cy"), cell).drop("_l", "_nx", "_ny")
+        pairs = pairs.drop("_cx", "_cy").unionByName(near, allowMissingColumns=True)
+    pairs = pairs.withColumn("dist2", dist2)
     group = list(dict.fromkeys([*by, *target_key]))
     payload = [c for c in s.columns if c not in by and not c.startswith("_c")]
     if k == 1:
