@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import cube, evaluation, governance, interpolation, quality, retrieval, spatial, temporal
+from tidewater.operators import cube, evaluation, governance, interpolation, quality, retrieval, spatial, tables, temporal
 from tidewater.plans import frames, ordering
+from tidewater.sources import tables as landed
 from tidewater.streaming import jobs
 
 
@@ -204,3 +205,53 @@ def test_nearest_among_crowded_sources(spark, monkeypatch, k):
         best = sorted(((lat - a) * (lat - a) + (lon - b) * (lon - b), sid) for sid, a, b in sources)[:k]
         assert got[tid] == {sid for _, sid in best}
     assert written["frontier"].groupBy("tid").agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] < 20 * spatial.DENSE
+
+
+def _matches(names, asked):
+    """Exact, else the best-ranked known name that contains the asked one or is contained in it."""
+    out = {}
+    for a in asked:
+        hits = [(0 if a == n else 1, r) for n, r in names if a and n and (n in a or a in n)]
+        out[a] = min(hits)[1] if hits else None
+    return out
+
+
+def test_fuzzy_names_against_all_pairs(spark):
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcé 島") for _ in range(n))
+    names = [(word(rnd.randrange(0, 9)), i) for i in range(150)] + [("x" * 10_000 + "needle" + "y" * 10, 900), ("zzzz", 901), (None, 902)]
+    asked = [word(rnd.randrange(0, 12)) for _ in range(150)] + ["a needley one", "needle", "q", "xxxx", "w" * 10_000 + "zzzz", "", None, "zzz"]
+    known = spark.createDataFrame(names, "known_name STRING, rank INT").withColumn("found", F.col("rank"))
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "id INT, name STRING")
+    got = {r["id"]: r["found"] for r in tables.fuzzy_name_join(df, known, "name").collect()}
+    want = _matches([(n, r) for n, r in names if n], {a for a in asked if a})
+    assert len(got) == len(asked) and got == {i: want.get(a) for i, a in enumerate(asked)}
+
+
+def test_merge_writes_only_partitions_that_are_hit(spark):
+    import os
+
+    path = frames.staging_path(spark, "merged")
+    old = spark.createDataFrame([(m, i, float(m)) for m in (1, 2, 3) for i in range(4)], "month INT, id INT, v DOUBLE")
+    old.write.partitionBy("month").parquet(path)
+    local = path.removeprefix("file:")
+    files = lambda m: sorted(f for f in os.listdir(f"{local}/month={m}") if f.endswith(".parquet")) if os.path.isdir(f"{local}/month={m}") else []
+    before = {m: files(m) for m in (1, 2, 3)}
+    rows = [(2, 1, 5, 50.0), (2, 1, 7, 70.0), (2, 1, 6, 60.0), (2, 9, 1, 90.0), (4, 0, 1, 40.0)]
+    incoming = spark.createDataFrame(rows, "month INT, id INT, seq INT, v DOUBLE")
+    for _ in range(2):  # also when it is repeated
+        landed.upsert_partitions(spark, path, incoming, ["month", "id"], ["seq"], "month")
+        assert files(1) == before[1] and files(3) == before[3] and files(2) != before[2] and files(4)
+        got = {(r["month"], r["id"]): r["v"] for r in spark.read.parquet(path).collect()}
+        want = {(m, i): float(m) for m in (1, 2, 3) for i in range(4)} | {(2, 1): 70.0, (2, 9): 90.0, (4, 0): 40.0}
+        assert got == want
+    fresh = frames.staging_path(spark, "fresh")
+    landed.upsert_partitions(spark, fresh, incoming.drop("seq").withColumn("seq", F.lit(1)).filter("id <> 1"), ["month", "id"], ["seq"], "month")
+    assert spark.read.parquet(fresh).count() == 2
+
+
+def test_upsert_takes_the_last_arrival(spark):
+    old = spark.createDataFrame([(1, 1.0)], "id INT, v DOUBLE")
+    new = spark.createDataFrame([(1, 5.0, 1), (1, 3.0, 2), (2, 9.0, 1)], "id INT, v DOUBLE, seq INT")
+    got = {r["id"]: r["v"] for r in tables.upsert(old, new, ["id"], ["seq"]).collect()}
+    assert got == {1: 3.0, 2: 9.0}

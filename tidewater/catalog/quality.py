@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import quality as ql
 from ..operators import tables as tb
 from ..operators.cube import to_long
+from ..plans.frames import staging_path
+from ..sources import tables as sources
 from .base import cte, dense_daily, query, r6, view
 
 # Event types stand for measured fields
@@ -39,6 +41,12 @@ def _flags(spark, d):
     return ql.flag_outliers(field_readings(spark, d), _KEYS, _ORDER)
 
 
+@query("replay_outliers", cte("v_readings") + _R + _WIN + _ALL + " SELECT * FROM flags")
+def replay_outliers(spark, d):
+    """The same flags from an ordered replay of each sensor."""
+    return ql.replay_outliers(field_readings(spark, d), _KEYS, [c for c, _ in _ORDER]).select(*_OUT)
+
+
 @query("outlier_flags", cte("v_readings") + _R + _WIN + _ALL + " SELECT * FROM flags")
 def outlier_flags(spark, d):
     return _flags(spark, d).select(*_OUT)
@@ -137,6 +145,26 @@ def upsert_features(spark, d):
     )
 
 
+@query(
+    "upsert_partitions",
+    cte("v_station_obs") + """, o AS (SELECT station_id, obs_date, year(obs_date) * 100 + month(obs_date) AS month, l_linenumber, l_orderkey, l_partkey, din_ugl FROM v_station_obs),
+    old AS (SELECT month, station_id, obs_date, max(din_ugl) AS din FROM o WHERE l_linenumber % 2 = 0 GROUP BY 1, 2, 3),
+    inc AS (SELECT month, station_id, obs_date, din_ugl AS din, row_number() OVER (PARTITION BY month, station_id, obs_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, din_ugl DESC) AS rn FROM o WHERE l_linenumber % 2 = 1 AND month % 100 = 3)
+    SELECT month, station_id, CAST(obs_date AS VARCHAR) AS obs_date, round(din, 6) AS din FROM (SELECT month, station_id, obs_date, din FROM inc WHERE rn = 1 UNION ALL SELECT * FROM old WHERE NOT EXISTS (
+      SELECT 1 FROM inc WHERE inc.month = old.month AND inc.station_id = old.station_id AND inc.obs_date = old.obs_date))""",
+)
+def upsert_partitions(spark, d):
+    """A table by month into which new readings of every March are merged; the other months keep their files."""
+    obs = view(spark, d, "v_station_obs").withColumn("month", F.year("obs_date") * 100 + F.month("obs_date"))
+    path = staging_path(spark, "features")
+    old = obs.filter("l_linenumber % 2 = 0").groupBy("month", "station_id", "obs_date").agg(F.max("din_ugl").alias("din"))
+    old.write.partitionBy("month").parquet(path)
+    incoming = obs.filter("l_linenumber % 2 = 1 and month % 100 = 3").select(
+        "month", "station_id", "obs_date", "l_orderkey", "l_linenumber", "l_partkey", F.col("din_ugl").alias("din"))
+    sources.upsert_partitions(spark, path, incoming, ["month", "station_id", "obs_date"], ["l_orderkey", "l_linenumber", "l_partkey"], "month")
+    return spark.read.parquet(path).select("month", "station_id", F.col("obs_date").cast("string").alias("obs_date"), r6("din"))
+
+
 @query(
     "insert_new_only",
     cte("v_station_obs") + """, old AS (SELECT DISTINCT station_id, obs_date FROM v_station_obs WHERE l_linenumber % 2 = 0),

@@ -168,6 +168,12 @@ def adi_index(spark, d):
     return lb.adi_index(_cells(spark, d), ["cell_id"]).select(day(), "cell_id", "season", r6("adi"))
 
 
+@query("replay_adi", cte_recursive("v_dense") + _ADI + " SELECT CAST(date AS VARCHAR) AS date, cell_id, CAST(season AS INT) AS season, round(adi, 6) AS adi FROM walk")
+def replay_adi(spark, d):
+    """The same index from an ordered replay of each cell."""
+    return lb.replay_adi(_cells(spark, d), ["cell_id"]).select(day(), "cell_id", "season", r6("adi"))
+
+
 _LABELS = _ADI + f""", e(no, s, f) AS (VALUES {EVENT_VALUES}), ev AS (SELECT DISTINCT t.date FROM (SELECT DISTINCT date FROM v_dense) t JOIN e ON t.date BETWEEN s - 14 AND f + 14),
  lab AS (SELECT v.date, v.cell_id, v.row_idx, v.col_idx, CAST(CASE WHEN month(v.date) IN (6, 7, 8, 9, 10) THEN -1 WHEN ev.date IS NULL THEN 0 WHEN adi >= 8 THEN 3 WHEN adi >= 5 THEN 2 WHEN adi >= 1 THEN 1 ELSE 0 END AS INT) AS label
   FROM v_dense v LEFT JOIN walk USING (date, cell_id) LEFT JOIN ev ON ev.date = v.date)"""

@@ -46,6 +46,17 @@ def adi_index(
     return walked.select(*keys, "date", "adi")
 
 
+def replay_adi(dense: DataFrame, cell: list[str]) -> DataFrame:
+    """The index of ``adi_index`` from an ordered replay of each cell, as the stream of its days would give it."""
+    from ..streaming.processors import DeficitIndex
+
+    days = dense.filter(seasons.in_season(F.col("date"))).join(day_weight(dense), "date").select(
+        *cell, "date", seasons.season_id(F.col("date")).cast("int").alias("season"), F.col("din").cast("double"), F.col("weight").cast("double"))
+    replay = DeficitIndex(fx.DIN_DEFICIT_UGL, fx.ADI_DECAY, fx.ADI_CEILING).replay
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in days.schema if f.name not in ("din", "weight"))
+    return days.groupBy(*cell).applyInPandas(lambda rows: replay(rows), f"{columns}, adi double")
+
+
 def adi_stage(adi):
     one, two, three = fx.ADI_STAGES
     return F.when(adi >= three, 3).when(adi >= two, 2).when(adi >= one, 1).otherwise(0)

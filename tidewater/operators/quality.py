@@ -118,6 +118,20 @@ def raised_flags(stats: DataFrame, **thresholds: float) -> DataFrame:
     )
 
 
+def replay_outliers(readings: DataFrame, keys: list[str], order: list[str], window: int = 50, **thresholds: float) -> DataFrame:
+    """The flags of ``flag_outliers`` from an ordered replay of each key, as a stream of its readings would raise them.
+
+    A key's readings are held by one task, so this is for checking a detector against its history; ``flag_outliers`` splits large keys.
+    """
+    from ..streaming.processors import WindowStatistics
+
+    present = readings.filter(F.col("value").isNotNull())
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in present.schema)
+    replay = WindowStatistics(["value"], order, window).replay
+    stats = present.groupBy(*keys).applyInPandas(lambda rows: replay(rows), f"{columns}, {WindowStatistics.ADDED}")
+    return raised_flags(stats, **thresholds)
+
+
 def outlier_report(flags: DataFrame, record: list[str]) -> DataFrame:
     """Severity counts and worst severity per record."""
     rank = lookup(F.col("severity"), _SEVERITY)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import zone_letters
+from ..plans.frames import staged
 from ..plans.ordering import join_null_safe, row_index
-from .temporal import first_per_key
+from .temporal import first_per_key, latest_per_key
 
 
 def field_map(df: DataFrame, mapping: dict[str, list[str]], keep: list[str]) -> DataFrame:
@@ -28,9 +29,13 @@ def insert_new_only(existing: DataFrame, incoming: DataFrame, key: list[str], or
     return first_per_key(incoming, key, order).join(existing.select(*key), key, "left_anti")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows replaced by incoming rows of the same key, new keys added."""
-    ranked = incoming.withColumn("_rank", F.lit(0)).unionByName(
+def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Existing rows replaced by incoming rows of the same key, new keys added.
+
+    Of several incoming rows of one key the last along ``order`` counts; without an order, that with the smallest values.
+    """
+    newest = latest_per_key(incoming, key, order) if order else incoming
+    ranked = newest.withColumn("_rank", F.lit(0)).unionByName(
         existing.withColumn("_rank", F.lit(1)), allowMissingColumns=True
     )
     return first_per_key(ranked, key, ["_rank"]).drop("_rank")
@@ -58,33 +63,53 @@ def fill_ratio(df: DataFrame, column: str) -> Column:
     return F.avg(F.col(column).isNotNull().cast("double"))
 
 
-def _substrings(text: Column) -> Column:
-    """Every distinct substring of a short text."""
-    size = F.length(text)
-    of_width = lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n)
-    )
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), of_width)))
+#: Letters of the longest gram in the index of names
+GRAM = 3
+
+
+def _grams(text: Column, widths: range) -> Column:
+    """Every distinct substring of the given widths."""
+    of_width = lambda n: F.when(
+        F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[of_width(n) for n in widths])))
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(_s, _t): every pair of distinct texts of which ``_s``, of more than GRAM letters, lies in ``_t``.
+
+    A short text meets the long ones that hold its rarest gram, and one of whose grams no long text holds meets none.
+    """
+    own = range(GRAM, GRAM + 1)
+    postings = staged(long.select("_t", F.explode(_grams(F.col("_t"), own)).alias("_g")), "grams")
+    held = postings.groupBy("_g").agg(F.count("*").alias("_n"))
+    asked = short.filter(F.length("_s") > GRAM).select("_s", F.explode(_grams(F.col("_s"), own)).alias("_g")).join(held, "_g", "left")
+    rarest = asked.groupBy("_s").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r")).filter("_r.n > 0")
+    met = rarest.select("_s", F.col("_r.g").alias("_g")).join(postings, "_g")
+    return met.filter(F.contains("_t", "_s")).select("_s", "_t")
 
 
 def fuzzy_name_join(df: DataFrame, names: DataFrame, name: str, key: str = "known_name", rank: str = "rank") -> DataFrame:
     """Exact name match, else the first known name that contains, or is contained in, the row's name.
 
-    Distinct names are matched once, by equality with the substrings of the other side; the known side is reduced to
-    the best-ranked entry per substring first, so a short name never meets the whole name table.
+    Distinct names are matched once, through an index of their grams: a name brings in as many entries as it has letters, and
+    names of up to GRAM letters are entries themselves, for which the best-ranked known name is found beforehand.
     """
     columns = [c for c in names.columns if c != key]
     rest = [c for c in columns if c != rank]
     best = F.min(F.struct(rank, *rest)).alias("_m")
-    asked = df.select(name).distinct().filter(F.length(name) > 0)
-    known = names.filter(F.length(key) > 0)
-    whole = known.groupBy(F.col(key).alias("_s")).agg(best)
-    parts = known.withColumn("_s", F.explode(_substrings(F.col(key)))).groupBy("_s").agg(best)
-    exact = asked.join(whole, asked[name] == whole["_s"]).select(name, F.lit(0).alias("_loose"), "_m.*")
-    inside = asked.withColumn("_s", F.explode(_substrings(F.col(name)))).join(whole, "_s")
-    around = asked.withColumn("_s", F.col(name)).join(parts, "_s")
-    loose = inside.unionByName(around).select(name, F.lit(1).alias("_loose"), "_m.*")
-    matched = first_per_key(exact.unionByName(loose), [name], ["_loose", rank])
+    asked = staged(df.select(F.col(name).alias("_t")).distinct().filter(F.length("_t") > 0), "asked")
+    whole = staged(names.filter(F.length(key) > 0).groupBy(F.col(key).alias("_s")).agg(best), "names")
+    short = range(1, GRAM + 1)
+    exact = asked.join(whole, asked["_t"] == whole["_s"]).select("_t", F.lit(0).alias("_loose"), "_m.*")
+    parts = whole.select(F.explode(_grams(F.col("_s"), short)).alias("_g"), "_m").groupBy("_g").agg(F.min("_m").alias("_m"))
+    inside = asked.select("_t", F.explode(_grams(F.col("_t"), short)).alias("_s")).join(whole, "_s").select("_t", "_m").unionByName(
+        _contained(whole.select("_s"), asked).join(whole, "_s").select("_t", "_m"))
+    known, wanted = whole.select(F.col("_s").alias("_t")), asked.select(F.col("_t").alias("_s"))
+    around = asked.join(parts, asked["_t"] == parts["_g"]).select("_t", "_m").unionByName(
+        _contained(wanted, known).withColumnsRenamed({"_s": "_a", "_t": "_s"}).join(whole, "_s").select(F.col("_a").alias("_t"), "_m"))
+    loose = inside.unionByName(around).select("_t", F.lit(1).alias("_loose"), "_m.*")
+    matched = first_per_key(exact.unionByName(loose), ["_t"], ["_loose", rank]).withColumnRenamed("_t", name)
     return df.join(matched.drop("_loose", rank), name, "left")
 
 

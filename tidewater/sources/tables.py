@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.tables import upsert
+from ..operators.temporal import latest_per_key
+from ..plans.frames import staged
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet table; a missing path gives an empty table when a schema is known."""
@@ -40,6 +44,30 @@ def write_by_day(df: DataFrame, path: str, date: str = "date") -> None:
     )
 
 
+def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, key: list[str], order: list[str], partition: str) -> None:
+    """Merge ``incoming`` into the table at ``path``, writing just the partitions that its keys hit.
+
+    ``partition`` is a column of the key, so a key never moves. Of several incoming rows of a key the last along ``order`` counts, and
+    it replaces the existing one; ``order`` columns need not be in the table. The merged partitions are written beside the table before
+    they replace the old ones, so a lost run can be repeated. A missing table is made.
+    """
+    newest = staged(latest_per_key(incoming, key, order), "incoming")
+    try:
+        existing = spark.read.parquet(path)
+    except AnalysisException:
+        existing = newest.limit(0)
+    columns = existing.columns
+    # As many values as partitions are hit; the scan reads no other
+    hit = [r[0] for r in newest.select(partition).distinct().collect()]
+    here = F.col(partition).isin([v for v in hit if v is not None])
+    old = existing.filter(here | F.col(partition).isNull() if None in hit else here)
+    merged = staged(upsert(old, newest.select(columns), key), "merged")
+    (
+        merged.hint("rebalance", partition).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    )
+
+
 def days_to_do(wanted: DataFrame, done: DataFrame, date: str = "date") -> DataFrame:
     return wanted.select(date).distinct().join(done.select(date).distinct(), date, "left_anti")
 

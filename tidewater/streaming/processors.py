@@ -56,6 +56,11 @@ class TailProcessor(StatefulProcessor):
         self.tail.put([tuple(None if np.isnan(x) else float(x) for x in r) for r in kept])
         yield batch.assign(**self.measure(past, now))
 
+    def replay(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """What the stream would give for a key whose rows all come at once."""
+        batch = _in_order(iter([rows]), self.order)
+        return batch.assign(**self.measure(np.empty((0, len(self.columns))), batch[self.columns].to_numpy(float)))
+
     def measure(self, past: np.ndarray, now: np.ndarray) -> dict:
         raise NotImplementedError
 
@@ -171,13 +176,22 @@ class DeficitIndex(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["date"])
         season, adi = self.last.get() if self.last.exists() else (None, 0.0)
+        out = self.walk(batch, season, adi)
+        self.last.update((int(batch["season"].iloc[-1]), out[-1]))
+        yield batch[[c for c in batch.columns if c not in ("din", "weight")]].assign(adi=out)
+
+    def walk(self, batch: pd.DataFrame, season: int | None, adi: float) -> list[float]:
         out = []
         for s, din, weight in zip(batch["season"].tolist(), batch["din"].to_numpy(float).tolist(), batch["weight"].tolist()):
             adi, season = (adi if s == season else 0.0), s
             adi = adi * self.decay if din > self.threshold else min(self.ceiling, adi + weight)
-            out.append(adi)
-        self.last.update((int(season), float(adi)))
-        yield batch[[c for c in batch.columns if c not in ("din", "weight")]].assign(adi=out)
+            out.append(float(adi))
+        return out
+
+    def replay(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """What the stream would give for a key whose rows all come at once."""
+        batch = _in_order(iter([rows]), ["date"])
+        return batch[[c for c in batch.columns if c not in ("din", "weight")]].assign(adi=self.walk(batch, None, 0.0))
 
     def close(self) -> None:
         pass
