@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import cube, evaluation, governance, interpolation, quality, retrieval, spatial, tables, temporal
 from tidewater.plans import frames, ordering
+from tidewater.sources import landed as landed_items
 from tidewater.sources import tables as landed
 from tidewater.streaming import jobs
 
@@ -255,3 +256,19 @@ def test_upsert_takes_the_last_arrival(spark):
     new = spark.createDataFrame([(1, 5.0, 1), (1, 3.0, 2), (2, 9.0, 1)], "id INT, v DOUBLE, seq INT")
     got = {r["id"]: r["v"] for r in tables.upsert(old, new, ["id"], ["seq"]).collect()}
     assert got == {1: 3.0, 2: 9.0}
+
+
+def test_text_keys_with_one_prefix_fall_into_several_slices(spark):
+    """A million keys that share their first bytes: many slices, none much larger than the others, ranks as sorted."""
+    df = spark.range(1_000_000).select(F.format_string("sensor-station-%07d", F.col("id")).alias("k"), F.col("id"))
+    sliced = ordering.with_slices(df, [("k", True)], 8).groupBy("_s1", "_s2").count().collect()
+    assert len(sliced) == 8 and max(r["count"] for r in sliced) < 200_000
+    assert ordering.row_index(df, [], [("k", True)], "at").filter("at <> id + 1").isEmpty()
+
+
+def test_grid_lines_of_any_extent(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 9, 2.0), (1, 40, 3, 3.0), (2, 0, 1, None)], "month INT, r INT, c INT, v DOUBLE")
+    lines = landed_items.climatology_lines(cells, ["month"], "r", "c", "v")
+    assert {r["r"]: len(r["line"]) for r in lines.filter("month = 1").collect()} == {0: 10, 40: 10}
+    points = landed_items.line_points(lines, ["month"], "r", "line", (0.0, 50.0, 0.0, 50.0), (0.0, 0.0), 1.0).collect()
+    assert sorted(tuple(p) for p in points) == [(1, 0.0, 0.0, 1.0), (1, 0.0, 9.0, 2.0), (1, 40.0, 3.0, 3.0)]

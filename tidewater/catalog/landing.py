@@ -179,17 +179,10 @@ def dam_flows(spark, d):
     SELECT CAST(month AS INT) AS month, round(34.0 + row_idx * 0.5, 6) AS lat, round(125.5 + col_idx * 0.5, 6) AS lon, round(value, 6) AS value FROM m WHERE 34.0 + row_idx * 0.5 BETWEEN 34.5 AND 36.0 AND 125.5 + col_idx * 0.5 BETWEEN 125.5 AND 127.0""",
 )
 def climatology_points(spark, d):
-    """Monthly means put into a 12 x 5 x 5 array per row of one document, then read back as points."""
-    monthly = view(spark, d, "v_daily").groupBy(F.month("date").alias("m"), "row_idx", "col_idx").agg(F.avg("sst").alias("v"))
-    whole = monthly.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "m", "row_idx", "col_idx"), F.col("v")))).alias("g"))
-    nested = F.transform(
-        F.sequence(F.lit(1), F.lit(12)),
-        lambda m: F.transform(
-            F.sequence(F.lit(0), F.lit(4)),
-            lambda r: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.try_element_at(F.col("g"), F.concat_ws("-", m, r, c))),
-        ),
-    )
-    p = landed.climatology_points(whole.select(nested.alias("grid")), [], "grid", (34.5, 36.0, 125.5, 127.0), (34.0, 125.5), 0.5)
+    """Monthly means put into one array per month and grid line, then read back as points."""
+    monthly = view(spark, d, "v_daily").groupBy(F.month("date").alias("month"), "row_idx", "col_idx").agg(F.avg("sst").alias("v"))
+    lines = landed.climatology_lines(monthly, ["month"], "row_idx", "col_idx", "v")
+    p = landed.line_points(lines, ["month"], "row_idx", "line", (34.5, 36.0, 125.5, 127.0), (34.0, 125.5), 0.5)
     return p.select(F.col("month").cast("int").alias("month"), r6("lat"), r6("lon"), r6("value"))
 
 

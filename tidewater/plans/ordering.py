@@ -9,6 +9,7 @@ split points are literals, a recomputed task lands in the same slice as before.
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,13 @@ def slice_count(df: DataFrame, rows: int) -> int:
     return min(_MAX_SLICES, max(8, parts, -(-rows // _SLICE_ROWS)))
 
 
+def _shared_prefix(df: DataFrame, name: str) -> int:
+    """Bytes with which all values of a text column begin: those that its smallest and its largest value share."""
+    raw = F.col(name).cast("binary")
+    low, high = df.agg(F.min(raw), F.max(raw)).first()
+    return len(os.path.commonprefix([bytes(low), bytes(high)])) if low is not None else 0
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL meets NULL; the keys of ``left`` stay."""
     named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -47,8 +55,8 @@ def _as_number(df: DataFrame, name: str, ascending: bool) -> Column:
     elif isinstance(dtype, T.BooleanType):
         num = F.col(name).cast("int").cast("double")
     elif isinstance(dtype, (T.StringType, T.BinaryType)):
-        # The first six bytes as a number: monotone in byte order, and exact in a double
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
+        # The first six bytes after those that all values share, as a number: monotone in byte order, and exact in a double
+        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), _shared_prefix(df, name) + 1, 6)), 12, "0")
         num = F.conv(head, 16, 10).cast("double")
     else:
         raise TypeError(f"cannot slice on {name}: {dtype.simpleString()}")
@@ -60,10 +68,15 @@ def _as_number(df: DataFrame, name: str, ascending: bool) -> Column:
 
 def split_points(df: DataFrame, value: Column, n: int | None = None) -> tuple[list[float], list[float]]:
     """Sorted split points of ``value`` plus the values that fill several slices alone."""
-    if n is None:
-        n = slice_count(df, df.count())
-    probs = [i / n for i in range(1, n)]
-    row = df.select(F.percentile_approx(value, probs, max(10_000, 10 * n)).alias("p")).first()
+    def quantiles(n: int) -> Column:
+        return F.percentile_approx(value, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("p")
+
+    # One pass for the number of rows and the points of as many slices as any table gets
+    wanted = n or slice_count(df, 0)
+    row = df.select(F.count("*").alias("n"), quantiles(wanted)).first()
+    needed = n or slice_count(df, row["n"])
+    if needed > wanted:
+        row = df.select(quantiles(needed)).first()
     found = [float(x) for x in (row["p"] or [])]
     heavy = sorted({a for a, b in zip(found, found[1:]) if a == b and math.isfinite(a)})
     points = set(x for x in found if math.isfinite(x))

@@ -126,15 +126,22 @@ def dam_flows(df: DataFrame, ids: list[str], stamp: str, discharge: str, year: C
     ).filter(F.col("discharge_m3s").isNotNull())
 
 
-def climatology_points(df: DataFrame, ids: list[str], grid: str, box: tuple[float, float, float, float], origin: tuple[float, float], step: float) -> DataFrame:
-    """Nested month x lat x lon arrays to point rows inside a box, missing values dropped."""
+def climatology_lines(cells: DataFrame, ids: list[str], row: str, col: str, value: str) -> DataFrame:
+    """(ids, row, line): one array per grid line from its first column 0 to the last column of the grid, NULL where a cell is missing."""
+    last = cells.agg(F.max(col)).first()[0] or 0
+    held = cells.groupBy(*ids, row).agg(F.map_from_entries(F.collect_list(F.struct(F.col(col).cast("int"), F.col(value)))).alias("_m"))
+    return held.select(*ids, row, F.transform(F.sequence(F.lit(0), F.lit(int(last))), lambda c: F.try_element_at("_m", c)).alias("line"))
+
+
+def line_points(
+    lines: DataFrame, ids: list[str], row: str, line: str, box: tuple[float, float, float, float], origin: tuple[float, float], step: float
+) -> DataFrame:
+    """Points of grid lines inside a box, missing values dropped."""
     lat_min, lat_max, lon_min, lon_max = box
-    months = df.select(*ids, F.posexplode(grid).alias("_m", "_rows"))
-    rows = months.select(*ids, (F.col("_m") + 1).alias("month"), F.posexplode("_rows").alias("_i", "_cols"))
-    cells = rows.select(*ids, "month", "_i", F.posexplode("_cols").alias("_j", "value"))
     return (
-        cells.select(
-            *ids, "month",
+        lines.select(*ids, F.col(row).alias("_i"), F.posexplode(line).alias("_j", "value"))
+        .select(
+            *ids,
             (F.lit(origin[0]) + F.col("_i") * F.lit(step)).alias("lat"),
             (F.lit(origin[1]) + F.col("_j") * F.lit(step)).alias("lon"),
             "value",
@@ -144,6 +151,13 @@ def climatology_points(df: DataFrame, ids: list[str], grid: str, box: tuple[floa
     )
 
 
+def climatology_points(df: DataFrame, ids: list[str], grid: str, box: tuple[float, float, float, float], origin: tuple[float, float], step: float) -> DataFrame:
+    """Nested month x lat x lon arrays to point rows inside a box, missing values dropped."""
+    months = df.select(*ids, F.posexplode(grid).alias("_m", "_rows"))
+    lines = months.select(*ids, (F.col("_m") + 1).alias("month"), F.posexplode("_rows").alias("_i", "_cols"))
+    return line_points(lines, [*ids, "month"], "_i", "_cols", box, origin, step)
+
+
 def pack_rows(df: DataFrame, document: str, ids: list[str]) -> DataFrame:
     """Prediction-pack JSON to (date, gid, stage, warn, severe, adi7); bare-integer and struct entries both work."""
     nested = F.from_json(F.col(document), "map<string,map<string,string>>")
