@@ -40,9 +40,14 @@ def test_sql_functions_equal_the_columns(spark):
 
 def test_table_functions(spark):
     udfs.register_table_functions(spark)
-    rows = spark.sql("SELECT * FROM tw_envelope_items('{\"body\":{\"item\":[{\"a\":1},{\"a\":2}]}}', 'body.item')").collect()
-    assert [tuple(r) for r in rows] == [(0, '{"a":1}'), (1, '{"a":2}')]
-    assert spark.sql("SELECT count(*) n FROM tw_paragraphs('a\n\nb\n\n\n')").first()["n"] == 2
+    payloads = [(1, '{"body":{"item":[{"a":1},{"a":2}]}}'), (2, "not json"), (3, None), (4, '{"Item":{"a":"é"}}'), (5, '{"x":1}'), (None, '{"item":[]}')]
+    spark.createDataFrame(payloads, "id INT, payload STRING").createOrReplaceTempView("landed_payloads")
+    rows = spark.sql("SELECT * FROM tw_envelope_items(TABLE(landed_payloads) PARTITION BY (id), 'payload')").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 0, '{"a":1}'), (1, 1, '{"a":2}'), (4, 0, '{"a":"é"}')]
+    spark.createDataFrame([("a\n\nb\n\n\n",), (None,)], "text STRING").createOrReplaceTempView("some_texts")
+    assert spark.sql("SELECT count(*) n FROM tw_paragraphs(TABLE(some_texts), 'text')").first()["n"] == 2
+    with pytest.raises(Exception, match="column of t"):
+        spark.sql("SELECT * FROM tw_paragraphs(TABLE(some_texts), 'other')").collect()
 
 
 def test_scoring_slot(spark):

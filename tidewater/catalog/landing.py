@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_double
-from ..functions.udfs import score_rows
+from ..functions.udfs import register_table_functions, score_rows
 from ..operators import tables as tb
 from ..operators.cube import merge_prefer_new, norm_stats, to_long
 from ..plans.frames import staging_path
@@ -20,12 +20,11 @@ def _event_json(spark, d, *fields):
     return table(spark, d, "events").selectExpr("event_id", "user_id", f"to_json(struct({', '.join(fields)})) AS item")
 
 
-@query(
-    "envelope_items",
-    """SELECT event_id, CAST(0 AS INT) AS item_no, user_id AS sta, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
-    UNION ALL SELECT event_id, CAST(1 AS INT), user_id, CAST(json_extract(props, '$.k') AS BIGINT) + 1 FROM events WHERE event_id % 5 IN (0, 1, 3)""",
-)
-def envelope_items(spark, d):
+_ITEMS = """SELECT event_id, CAST(0 AS INT) AS item_no, user_id AS sta, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+    UNION ALL SELECT event_id, CAST(1 AS INT), user_id, CAST(json_extract(props, '$.k') AS BIGINT) + 1 FROM events WHERE event_id % 5 IN (0, 1, 3)"""
+
+
+def _payloads(spark, d):
     """Five envelope shapes; the shapes with a list carry two items, the others a single object."""
     one = "concat('{\"sta\":', user_id, ',\"k\":', get_json_object(props, '$.k'), '}')"
     two = "concat('{\"sta\":', user_id, ',\"k\":', CAST(get_json_object(props, '$.k') AS BIGINT) + 1, '}')"
@@ -35,12 +34,48 @@ def envelope_items(spark, d):
       WHEN 2 THEN concat('{{"response":{{"body":{{"items":{{"item":', {one}, '}}}}}}}}')
       WHEN 3 THEN concat('{{"getOceansNemo":{{"totalCount":2,"item":[', {one}, ',', {two}, ']}}}}')
       ELSE concat('{{"Body":{{"item":', {one}, '}}}}') END AS payload"""
-    landed_rows = table(spark, d, "events").selectExpr("event_id", payload)
-    items = landed.envelope_items(landed_rows, "payload", ["event_id"])
+    return table(spark, d, "events").selectExpr("event_id", payload)
+
+
+def _item_fields(items):
     get = lambda k: F.get_json_object("item", f"$.{k}").cast("bigint").alias(k)
     return items.select("event_id", F.col("item_no").cast("int").alias("item_no"), get("sta"), get("k"))
 
 
+@query("envelope_items", _ITEMS)
+def envelope_items(spark, d):
+    return _item_fields(landed.envelope_items(_payloads(spark, d), "payload", ["event_id"]))
+
+
+@query("sql_envelope_items", _ITEMS)
+def sql_envelope_items(spark, d):
+    """The same items from the table function, called in SQL over a partitioned table."""
+    register_table_functions(spark)
+    rows = _payloads(spark, d).withColumn("share", F.pmod("event_id", F.lit(64)))
+    return _item_fields(spark.sql("SELECT * FROM tw_envelope_items(TABLE({rows}) PARTITION BY (share), 'payload')", rows=rows))
+
+
+@query(
+    "sql_paragraphs",
+    """WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), E'\\n\\n'), lambda x: trim(x, E' \\n\\t\\r')), lambda x: x <> '') AS ps FROM documents)
+    SELECT doc_id, CAST(unnest(range(len(ps))) AS INT) AS paragraph_no, unnest(ps) AS paragraph FROM p""",
+)
+def sql_paragraphs(spark, d):
+    """Paragraphs of every document from the table function."""
+    register_table_functions(spark)
+    rows = table(spark, d, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(64)).alias("share"))
+    return spark.sql("SELECT doc_id, paragraph_no, paragraph FROM tw_paragraphs(TABLE({rows}) PARTITION BY (share), 'text')", rows=rows)
+
+
+@query("text_files", "SELECT md5(text) AS text_md5, CAST(length(text) AS INT) AS n_chars FROM documents WHERE text <> ''")
+def text_files(spark, d):
+    """Every text as a file of its own, read back whole."""
+    path = staging_path(spark, "texts")
+    table(spark, d, "documents").filter("text <> ''").select("text").write.option("maxRecordsPerFile", 1).option("lineSep", "\u0000").text(path)
+    texts = st.read_text_files(spark, path).select(F.rtrim("text", F.lit("\u0000")).alias("text"))
+    return texts.select(F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
 @query("xml_items", "SELECT r_regionkey, r_name AS name, n_nationkey AS code FROM region JOIN nation ON n_regionkey = r_regionkey")
 def xml_items(spark, d):
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -212,4 +212,8 @@ NO_DOCUMENTS_ANSWER = "관련 정보를 찾지 못했습니다. 국립수산과
 ANSWER_CLOSING = "더 자세한 내용은 국립수산과학원 또는 KOEM 해양환경측정망을 참고하세요."
 
 # Region names outside the model grid
-OUT_OF_GRID_REGIONS = ("화성", "안산", "옹진")
+
+# Places where the item list of a landed payload may sit, tried in this order
+ITEM_PATHS = (
+    "$.body.item", "$.Body.item", "$.Item", "$.response.body.items.item", "$.getOceansNemo.item", "$.item", "$.content",
+)

@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fx
 from ..functions.numeric import first_timestamp, to_double, wind_degrees, yearless_timestamp
 from ..functions.text import composite_id
 
-# Places where the item list may sit, tried in this order
-ITEM_PATHS = (
-    "$.body.item", "$.Body.item", "$.Item", "$.response.body.items.item", "$.getOceansNemo.item", "$.item", "$.content",
-)
-
-
-def envelope_items(df: DataFrame, payload: str, ids: list[str], paths: tuple[str, ...] = ITEM_PATHS) -> DataFrame:
+def envelope_items(df: DataFrame, payload: str, ids: list[str], paths: tuple[str, ...] = fx.ITEM_PATHS) -> DataFrame:
     """One row per item JSON; a single object counts as a one-item list, an unknown envelope gives no rows."""
     found = F.coalesce(*[F.get_json_object(payload, p) for p in paths])
     as_list = F.when(found.startswith("{"), F.concat(F.lit("["), found, F.lit("]"))).otherwise(found)
