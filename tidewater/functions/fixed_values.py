@@ -217,3 +217,22 @@ ANSWER_CLOSING = "더 자세한 내용은 국립수산과학원 또는 KOEM 해
 ITEM_PATHS = (
     "$.body.item", "$.Body.item", "$.Item", "$.response.body.items.item", "$.getOceansNemo.item", "$.item", "$.content",
 )
+
+# Fixed texts of reports, alerts, prompts and answers
+UNKNOWN_FEATURE = "알 수 없음"
+UNKNOWN_STAGE = "상태를 확인하세요."
+REPORT_SCORE = " 황백화 지수: "
+REPORT_CAUSE = "%. 주요 원인 변수는 '"
+REPORT_END = "'입니다."
+ALERT_DIN = "DIN "
+ALERT_DIN_END = " μmol/L (임계값 이하)"
+ALERT_TEMP = "수온 "
+ALERT_TEMP_END = "℃ (25℃ 초과)"
+ALERT_OTHER = "황백화 "
+CONTEXT_SCORE = "황백화지수="
+CONTEXT_STAGE = ", 단계="
+DOCUMENT_LEAD = "[참고 "
+SOURCE_LEAD = " (출처: "
+SENSORS_HEAD = "\n\n[현재 양식장 센서 상태]\n"
+DOCUMENTS_HEAD = "\n\n[참고 문서]\n"
+QUESTION_HEAD = "\n\n[질문]\n"

@@ -61,7 +61,7 @@ def context_record(df: DataFrame, farm: str, sensor: str, prediction: str) -> Da
             "sensor_summary": context_summary(safe_sensor),
             "prediction_summary": F.when(
                 F.size(safe_prediction) > 0,
-                F.concat(F.lit("황백화지수="), value("anomaly_score"), F.lit(", 단계="), value("stage")),
+                F.concat(F.lit(fx.CONTEXT_SCORE), value("anomaly_score"), F.lit(fx.CONTEXT_STAGE), value("stage")),
             ).otherwise(""),
         }
     )

@@ -124,10 +124,10 @@ def report_templates(predictions: DataFrame, causes: DataFrame, key: str) -> Dat
     )
     causal = F.filter(F.transform("_advice", lambda a: a.advice), lambda x: x.isNotNull())
     every = F.concat(staged, F.coalesce(causal, F.array().cast("array<string>")))
-    top = F.coalesce(lookup(F.col("_top"), fx.FEATURE_DISPLAY), F.col("_top"), F.lit("알 수 없음"))
+    top = F.coalesce(lookup(F.col("_top"), fx.FEATURE_DISPLAY), F.col("_top"), F.lit(fx.UNKNOWN_FEATURE))
     summary = F.concat(
-        F.coalesce(lookup(stage, fx.STAGE_DESCRIPTIONS), F.lit("상태를 확인하세요.")),
-        F.lit(" 황백화 지수: "), F.format_string("%.1f", F.col("score") * 100), F.lit("%. 주요 원인 변수는 '"), top, F.lit("'입니다."),
+        F.coalesce(lookup(stage, fx.STAGE_DESCRIPTIONS), F.lit(fx.UNKNOWN_STAGE)),
+        F.lit(fx.REPORT_SCORE), F.format_string("%.1f", F.col("score") * 100), F.lit(fx.REPORT_CAUSE), top, F.lit(fx.REPORT_END),
     )
     return predictions.join(listed, key, "left").select(
         key, "stage", summary.alias("summary"),
@@ -139,11 +139,11 @@ def alert_message(din: Column, water_temp: Column, score: Column) -> Column:
     """Threshold breaches joined into one line, the severity when nothing is breached."""
     parts = F.concat_ws(
         " | ",
-        F.when(din < 5, F.concat(F.lit("DIN "), F.format_string("%.1f", din), F.lit(" μmol/L (임계값 이하)"))),
-        F.when(water_temp > 25, F.concat(F.lit("수온 "), F.format_string("%.1f", water_temp), F.lit("℃ (25℃ 초과)"))),
+        F.when(din < 5, F.concat(F.lit(fx.ALERT_DIN), F.format_string("%.1f", din), F.lit(fx.ALERT_DIN_END))),
+        F.when(water_temp > 25, F.concat(F.lit(fx.ALERT_TEMP), F.format_string("%.1f", water_temp), F.lit(fx.ALERT_TEMP_END))),
         F.when(score > 0.6, F.concat(F.lit("WBI "), F.format_string("%.0f", score * 100), F.lit("%"))),
     )
-    return F.when(parts != "", parts).otherwise(F.concat(F.lit("황백화 "), severity_band(score)))
+    return F.when(parts != "", parts).otherwise(F.concat(F.lit(fx.ALERT_OTHER), severity_band(score)))
 
 
 def alert_feed(readings: DataFrame, order: list[str], severity: str, recent: int = 60, shown: int = 20) -> DataFrame:

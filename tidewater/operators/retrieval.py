@@ -114,16 +114,16 @@ def build_prompt(question: Column, docs: Column, context: Column | None = None)
     lines = F.transform(
         docs,
         lambda d, i: F.concat(
-            F.lit("[참고 "), (i + 1).cast("string"), F.lit("] "), F.coalesce(d.title, F.lit("")),
-            F.lit(" (출처: "), F.coalesce(d.source, F.lit("?")), F.lit(")\n"), d.content,
+            F.lit(fx.DOCUMENT_LEAD), (i + 1).cast("string"), F.lit("] "), F.coalesce(d.title, F.lit("")),
+            F.lit(fx.SOURCE_LEAD), F.coalesce(d.source, F.lit("?")), F.lit(")\n"), d.content,
         ),
     )
     listed = F.when(F.size(docs) > 0, F.array_join(lines, "\n\n")).otherwise(fx.NO_DOCUMENTS_PROMPT)
     sensors = F.lit("")
     if context is not None:
-        sensors = F.when(context != "", F.concat(F.lit("\n\n[현재 양식장 센서 상태]\n"), context)).otherwise("")
+        sensors = F.when(context != "", F.concat(F.lit(fx.SENSORS_HEAD), context)).otherwise("")
     return F.concat(
-        sensors, F.lit("\n\n[참고 문서]\n"), listed, F.lit("\n\n[질문]\n"), question, F.lit("\n\n" + fx.PROMPT_CLOSING)
+        sensors, F.lit(fx.DOCUMENTS_HEAD), listed, F.lit(fx.QUESTION_HEAD), question, F.lit("\n\n" + fx.PROMPT_CLOSING)
     )
 
 
@@ -135,10 +135,10 @@ def template_answer(docs: Column) -> Column:
         F.transform(
             docs,
             lambda d: F.concat(
-                F.lit("  - "), F.coalesce(d.title, F.lit("")), F.lit(" (출처: "), F.coalesce(d.source, F.lit("?")), F.lit(")")
+                F.lit("  - "), F.coalesce(d.title, F.lit("")), F.lit(fx.SOURCE_LEAD), F.coalesce(d.source, F.lit("?")), F.lit(")")
             ),
         ),
         "\n",
     )
-    full = F.concat(summary, F.lit("\n\n[참고 문서]\n"), refs, F.lit("\n\n" + fx.ANSWER_CLOSING))
+    full = F.concat(summary, F.lit(fx.DOCUMENTS_HEAD), refs, F.lit("\n\n" + fx.ANSWER_CLOSING))
     return F.when(F.size(docs) > 0, full).otherwise(fx.NO_DOCUMENTS_ANSWER)
