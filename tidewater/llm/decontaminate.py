@@ -10,6 +10,8 @@ consistent: one benchmark value stands for one document value at most places.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ UNITS = (
     "mm|cm|m|km|in|ft|yd|mi|mg|g|kg|t|oz|lb|lbs|ml|l|cl|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|usd|eur|dollars|euros|cents|"
     "percent|meters|metres|kilometers|kilometres|miles|inches|feet|grams|kilograms|liters|litres|watts|volts|degrees"
 )
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-_WORD = rf"(?:[{_UNSPACED}&&\p{{L}}]\p{{M}}*|[\p{{L}}&&[^{_UNSPACED}]][\p{{L}}\p{{M}}&&[^{_UNSPACED}]]*)"
+#: Thai and Lao, Myanmar, Khmer, kana, Chinese characters
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
+_WORD = rf"(?:[\p{{L}}&&[^{_UNSPACED}]][\p{{L}}\p{{M}}&&[^{_UNSPACED}]]*|[{_UNSPACED}&&\p{{L}}]\p{{M}}*)"
 _NUM = r"[0-9]+(?:[.,][0-9]+)*+"
 
 
@@ -57,26 +60,42 @@ def tokens(named: Column) -> Column:
     return F.transform(found, lambda x: F.when(x.startswith(NAME), F.concat(F.lit(NAME), F.array_join(_words(x), " "))).otherwise(x))
 
 
-def marked(text: Column) -> Column:
-    """Marked tokens of a text, sentences beginning with plain words."""
-    return tokens(with_names(text))
+def read_twice(text: Column) -> Column:
+    """Marked tokens of a text, where a word that begins a sentence has the mark MAYBE if the text has names at all."""
+    begin = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}{NAME}])(?<={_BEGIN}){_TITLE}"
+    return _let(with_names(text), lambda named: tokens(F.when(F.contains(named, F.lit(NAME)), F.regexp_replace(named, begin, f"{MAYBE}$0")).otherwise(named)))
 
 
-def second_reading(named: Column, first: Column) -> Column:
-    """Marked tokens at the same positions as ``first``, with words that begin a sentence as names where they are names elsewhere in
-    the text; null where there are none."""
-    begin = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}{NAME}])(?<={_BEGIN}){_TITLE}"
-    found = tokens(F.regexp_replace(named, begin, f"{MAYBE}$0"))
-    word = lambda x: F.substr(x, F.lit(2))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _unsure(token: Column) -> Column:
+    return token.startswith(MAYBE)
+
 
-    def resolved(held: Column) -> Column:
-        known = F.array_distinct(F.flatten(F.transform(F.filter(held, lambda x: x.startswith(NAME)), _words)))
-        read = lambda names: F.transform(held, lambda x: F.when(~x.startswith(MAYBE), x).when(
-            F.array_contains(names, word(x)), F.concat(F.lit(NAME), word(x))).otherwise(word(x)))
-        return F.element_at(F.transform(F.array(known), read), 1)
+def _bare(token: Column) -> Column:
+    return F.substr(token, F.lit(2))
 
-    second = F.when(F.contains(named, F.lit(NAME)), F.element_at(F.transform(F.array(found), resolved), 1))
-    return F.when(second != first, second)
+
+def first_reading(read: Column) -> Column:
+    """Tokens of ``read_twice`` with sentences beginning with plain words."""
+    return F.transform(read, lambda x: F.when(_unsure(x), _bare(x)).otherwise(x))
+
+
+def second_reading(read: Column) -> Column:
+    """The same tokens with words that begin a sentence as names where they are names elsewhere in the text; null where there are none."""
+    known = F.array_distinct(F.flatten(F.transform(F.filter(read, lambda x: x.startswith(NAME)), _words)))
+    name = lambda names, x: _unsure(x) & F.array_contains(names, _bare(x))
+    resolved = lambda names: F.when(F.exists(read, lambda x: name(names, x)), F.transform(
+        read, lambda x: F.when(name(names, x), F.concat(F.lit(NAME), _bare(x))).when(_unsure(x), _bare(x)).otherwise(x)))
+    return F.when(F.exists(read, _unsure), _let(known, resolved))
+
+
+def marked(text: Column) -> Column:
+    """Marked tokens of a text, sentences beginning with plain words."""
+    return first_reading(read_twice(text))
 
 
 def _words(name: Column) -> Column:
@@ -122,8 +141,8 @@ def benchmark_forms(benchmark: DataFrame, id_col: str, text_col: str, window: in
     """(key, item, n, n_windows, forms): every item's text as a template, with its first word read as a name too, with names read as
     plain words too, and in its second reading. A form is an array of template token x, marked token y, value v and the token's position p in the first form."""
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
-    items = items.withColumn("named", with_names(F.col("text"))).withColumn("m", tokens(F.col("named"))).select(
-        F.monotonically_increasing_id().alias("key"), "item", "m", F.coalesce(second_reading(F.col("named"), F.col("m")), "m").alias("m2"),
+    items = items.withColumn("read", read_twice(F.col("text"))).withColumn("m", first_reading(F.col("read"))).select(
+        F.monotonically_increasing_id().alias("key"), "item", "m", F.coalesce(second_reading(F.col("read")), "m").alias("m2"),
         F.regexp_extract(_plain(F.col("text")), f"{_NUM}|{_WORD}", 0).rlike(r"^\p{Lu}\p{Ll}+$").alias("title")).filter("size(m) > 0")
 
     def token(y: Column, p: Column) -> Column:
@@ -164,10 +183,9 @@ def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame
 
 def _readings(rows: DataFrame) -> DataFrame:
     """(id, row, m) per reading of each of the ``rows`` (id, row, text): a second one counts as a row of its own."""
-    first = rows.withColumn("named", with_names(F.col("text"))).withColumn("m", tokens(F.col("named")))
-    both = first.withColumn("m2", second_reading(F.col("named"), F.col("m")))
+    read = rows.withColumn("read", read_twice(F.col("text"))).withColumn("m2", second_reading(F.col("read")))
     second = F.when(F.col("m2").isNotNull(), F.struct(F.xxhash64("row").alias("row"), F.col("m2").alias("m")))
-    return both.select("id", F.inline(F.array_compact(F.array(F.struct("row", "m"), second))))
+    return read.select("id", F.inline(F.array_compact(F.array(F.struct("row", first_reading(F.col("read")).alias("m")), second))))
 
 
 def find_leaks(
