@@ -22,7 +22,7 @@ from .retrieval import block_scores
 
 TABLES, PROBES, SEED = 16, 3, 20240
 #: Documents of a block, and about as many in a bucket of evenly spread vectors
-BLOCK, BUCKET = 4_000, 256
+BLOCK, BUCKET = 4_000, 32
 
 
 def bits_for(n: int) -> int:
