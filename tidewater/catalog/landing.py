@@ -70,9 +70,10 @@ def sql_paragraphs(spark, d):
 @query("text_files", "SELECT md5(text) AS text_md5, CAST(length(text) AS INT) AS n_chars FROM documents WHERE text <> ''")
 def text_files(spark, d):
     """Every text as a file of its own, read back whole."""
-    path = staging_path(spark, "texts")
-    table(spark, d, "documents").filter("text <> ''").select("text").write.option("maxRecordsPerFile", 1).option("lineSep", "\u0000").text(path)
-    texts = st.read_text_files(spark, path).select(F.rtrim("text", F.lit("\u0000")).alias("text"))
+    folders = st.write_text_files(table(spark, d, "documents").filter("text <> ''"), "text", staging_path(spark, "texts"))
+    if not folders:
+        return spark.createDataFrame([], "text_md5 STRING, n_chars INT")
+    texts = st.read_text_files(spark, folders).selectExpr("left(text, length(text) - 1) AS text")  # without the closing character
     return texts.select(F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 

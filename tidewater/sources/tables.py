@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +36,46 @@ def read_labelled_windows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+def read_text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole text files as (path, text)."""
     return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("path"), F.col("value").alias("text")
     )
 
 
+def _file_per_row(folder: str, end: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the texts of a task into a folder of this attempt, a file each, and gives the folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = os.path.join(folder, uuid.uuid4().hex), 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                if n == 0:
+                    os.makedirs(own)
+                with open(os.path.join(own, f"{n}.txt"), "wb") as f:
+                    f.write(text.as_py() + end.encode())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([own])], names=["folder"])
+
+    return run
+
+
+def write_text_files(df: DataFrame, text: str, path: str, end: str = "\u0000") -> list[str]:
+    """Every text that isn't null as a file of its own, closed by ``end``; the folders to read, as many as tasks wrote any.
+
+    On a mounted file system tasks write the files themselves. Spark's writer sets the rights of each file by a process of its own
+    there, and the driver then moves one file after the other. A folder belongs to one attempt of a task, so those of lost attempts aren't read.
+    """
+    texts = df.select(F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    whole = path if ":/" in path else df.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + path
+    if not whole.startswith("file:"):
+        texts.write.option("maxRecordsPerFile", 1).option("lineSep", end).text(path)
+        return [path]
+    folder = "/" + whole.removeprefix("file:").lstrip("/")
+    return ["file://" + r[0] for r in texts.mapInArrow(_file_per_row(folder, end), "folder string").collect()]
+
+
 def write_by_day(df: DataFrame, path: str, date: str = "date") -> None:
     """Replace only the days present in ``df``; safe to repeat after a lost run."""
     (
@@ -119,3 +159,7 @@ def feature_documents(df: DataFrame, lon: str, lat: str, properties: list[str],
         "shard", F.size("features").alias("n_features"),
         F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("document"),
     )
+
+
+# Functions for Python workers travel by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
