@@ -155,7 +155,7 @@ _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fx.FEATURE_DISPLAY.items(
 )
 def report_templates(spark, d):
     means = station_means(spark, d).withColumn("np_ratio", F.col("din") / F.col("dip"))
-    scored = means.withColumn("score", F.round(risk.risk_index_molar(*_cols()), 3)).withColumn("stage", risk.risk_stage(F.col("score")))
+    scored = means.withColumn("score", round_half_up(risk.risk_index_molar(*_cols()), 3)).withColumn("stage", risk.risk_stage(F.col("score")))
     weights = {f: F.lit(w) for f, w in fx.RISK_WEIGHTS.items()}
     causes = rp.top_causes(scored, ["station_id"], weights, fx.CAUSE_THRESHOLDS_5, fx.LOW_IS_RISK_5)
     return rp.report_templates(scored.select("station_id", "stage", "score"), causes, "station_id")
