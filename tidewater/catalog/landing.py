@@ -47,12 +47,16 @@ def envelope_items(spark, d):
     return _item_fields(landed.envelope_items(_payloads(spark, d), "payload", ["event_id"]))
 
 
+def _dealt(rows, key):
+    """Rows over as many tasks as the session's shuffles have; a table function takes them one by one, so nothing need be sorted or kept together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)
+
+
 @query("sql_envelope_items", _ITEMS)
 def sql_envelope_items(spark, d):
-    """The same items from the table function, called in SQL over a partitioned table."""
+    """The same items from the table function, called in SQL over rows dealt to all tasks."""
     register_table_functions(spark)
-    rows = _payloads(spark, d).withColumn("share", F.pmod("event_id", F.lit(64)))
-    return _item_fields(spark.sql("SELECT * FROM tw_envelope_items(TABLE({rows}) PARTITION BY (share), 'payload')", rows=rows))
+    return _item_fields(spark.sql("SELECT * FROM tw_envelope_items(TABLE({rows}), 'payload')", rows=_dealt(_payloads(spark, d), "event_id")))
 
 
 @query(
@@ -63,8 +67,8 @@ def sql_envelope_items(spark, d):
 def sql_paragraphs(spark, d):
     """Paragraphs of every document from the table function."""
     register_table_functions(spark)
-    rows = table(spark, d, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(64)).alias("share"))
-    return spark.sql("SELECT doc_id, paragraph_no, paragraph FROM tw_paragraphs(TABLE({rows}) PARTITION BY (share), 'text')", rows=rows)
+    rows = _dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return spark.sql("SELECT doc_id, paragraph_no, paragraph FROM tw_paragraphs(TABLE({rows}), 'text')", rows=rows)
 
 
 @query("text_files", "SELECT md5(text) AS text_md5, CAST(length(text) AS INT) AS n_chars FROM documents WHERE text <> ''")
