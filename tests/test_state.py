@@ -106,3 +106,25 @@ def test_late_rows_are_dropped_and_counted(spark):
     # Batch 2 is judged by the watermark after batch 0 (90 s), batch 3 by that after batch 1 (190 s)
     assert [tuple(r) for r in jobs.late_counts(spark, job).orderBy("batch").collect()] == [(0, 1, 0), (1, 1, 0), (2, 2 + 1, 1), (3, 2, 1)]
     assert sorted(r["event_id"] for r in output_of(spark, out).collect()) == [1, 2, 3, 5, 7]
+
+
+def test_limiter_takes_plain_rows_and_leaves_an_unchanged_state():
+    """Requests that are all refused change neither the log nor the timer of their key."""
+    from pyspark.sql import Row
+
+    from tidewater.streaming.processors import SlidingLog
+
+    class Held:
+        def __init__(self, times):
+            self.held, self.puts = [(t,) for t in times], 0
+        exists = lambda self: bool(self.held)
+        get = lambda self: iter(self.held)
+
+        def put(self, times):
+            self.held, self.puts = times, self.puts + 1
+
+    made = SlidingLog(10_000_000, True)
+    made.handle, made.times = None, Held([1_000_000, 2_000_000])
+    rows = [Row(event_id=8, micros=4_000_000, limit=2), Row(event_id=7, micros=3_000_000, limit=2)]
+    assert [tuple(r) for r in made.handleInputRows(("a",), iter(rows), None)] == [(7, False, 0, 11, 8), (8, False, 0, 11, 7)]
+    assert made.times.puts == 0

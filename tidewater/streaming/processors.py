@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -221,7 +222,10 @@ class Ring(StatefulProcessor):
 
 
 class SlidingLog(StatefulProcessor):
-    """The times of the requests that were let through during the last window; a timer clears what has gone by."""
+    """The times of the requests that were let through during the last window; a timer clears what has gone by.
+
+    Takes plain rows: a key has few per batch, so what it costs is what is done once per key.
+    """
 
     def __init__(self, window_micros: int, timers: bool):
         self.window, self.timers = window_micros, timers
@@ -230,31 +234,34 @@ class SlidingLog(StatefulProcessor):
         self.handle = handle
         self.times = handle.getListState("times", _state(micros="bigint"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = [t[0] for t in self.times.get()] if self.times.exists() else []
-        batch = pd.concat([p[["event_id", "micros", "limit"]] for p in rows], ignore_index=True).sort_values(["micros", "event_id"])
-        seconds = lambda micros: micros // 1_000_000
-        out = []
-        for event, now, limit in batch.itertuples(index=False):
+    def _due(self, log: list[int]) -> int | None:
+        return (log[-1] + self.window) // 1000 + 1 if log else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = [t[0] for t in self.times.get()] if self.times.exists() else []
+        log, out = before, []
+        for now, event, limit in sorted((r["micros"], r["event_id"], r["limit"]) for r in rows):
             log = [t for t in log if t >= now - self.window]
             left = limit - len(log)
-            reset = seconds((log[0] if log else int(now)) + self.window)
+            reset = ((log[0] if log else now) + self.window) // 1_000_000
             if left > 0:
-                log.append(int(now))
-            out.append((event, left > 0, max(left - 1, 0), reset, None if left > 0 else max(0, reset - seconds(int(now)))))
-        if log:
+                log.append(now)
+            out.append((event, left > 0, max(left - 1, 0), reset, None if left > 0 else max(0, reset - now // 1_000_000)))
+        if log and log != before:
             self.times.put([(t,) for t in log])
-        else:
+        elif before and not log:
             self.times.clear()
-        if self.timers:
-            for due in list(self.handle.listTimers()):
-                self.handle.deleteTimer(due)
-            if log:
-                self.handle.registerTimer((log[-1] + self.window) // 1000 + 1)
-        done = pd.DataFrame(out, columns=["event_id", "allowed", "remaining", "reset_at", "retry_after"])
-        yield done.assign(retry_after=done["retry_after"].astype(object).where(done["retry_after"].notna(), None))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The timer of a key is that of its newest time
+        old, due = self._due(before), self._due(log)
+        if self.timers and old != due:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if due is not None:
+                self.handle.registerTimer(due)
+        for event, allowed, remaining, reset, retry in out:
+            yield Row(event_id=event, allowed=allowed, remaining=remaining, reset_at=reset, retry_after=retry)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.times.clear()
         return iter([])
 
