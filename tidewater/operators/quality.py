@@ -128,7 +128,9 @@ def replay_outliers(readings: DataFrame, keys: list[str], order: list[str], wind
     present = readings.filter(F.col("value").isNotNull())
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in present.schema)
     replay = WindowStatistics(["value"], order, window).replay
-    stats = present.groupBy(*keys).applyInPandas(lambda rows: replay(rows), f"{columns}, {WindowStatistics.ADDED}")
+    # A reading costs far more than its bytes, so the session's number of tasks is kept
+    dealt = present.repartition(int(present.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+    stats = dealt.groupBy(*keys).applyInPandas(lambda rows: replay(rows), f"{columns}, {WindowStatistics.ADDED}")
     return raised_flags(stats, **thresholds)
 
 

@@ -54,7 +54,7 @@ class TailProcessor(StatefulProcessor):
         past = np.array([tuple(np.nan if x is None else x for x in r) for r in self.tail.get()], float).reshape(-1, len(self.columns)) if self.tail.exists() else np.empty((0, len(self.columns)))
         now = batch[self.columns].to_numpy(float)
         kept = np.concatenate([past, now])[-self.keep :] if self.keep else past[:0]
-        self.tail.put([tuple(None if np.isnan(x) else float(x) for x in r) for r in kept])
+        self.tail.put([tuple(None if x != x else x for x in r) for r in kept.tolist()])
         yield batch.assign(**self.measure(past, now))
 
     def replay(self, rows: pd.DataFrame) -> pd.DataFrame:
@@ -101,8 +101,10 @@ class WindowStatistics(TailProcessor):
 
 
 def _nulls(x) -> pd.Series:
-    s = pd.Series(x).astype(object)
-    return s.where(~s.map(lambda v: v is pd.NA or v != v), None)
+    values = np.asarray(pd.Series(x).to_numpy(float, na_value=np.nan))
+    made = values.astype(object)
+    made[np.isnan(values)] = None
+    return pd.Series(made, dtype=object)
 
 
 class MonitorWindow(TailProcessor):
