@@ -171,8 +171,12 @@ def perf_summary(df: DataFrame, latency: str, score: str) -> DataFrame:
     return base.withColumns({f"latency_p{p}": marks.select(f"p{p}").scalar() for p in (50, 95, 99)})
 
 
+#: Rows of a key that one task takes: every row sorts its window, so a key of many rows is cut early
+ROLLING_ROWS = 200_000
+
+
 def perf_rolling(
-    df: DataFrame, keys: list[str], order: list[tuple[str, bool]], latency: str, score: str, window: int = 200, hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[tuple[str, bool]], latency: str, score: str, window: int = 200, hot_rows: int = ROLLING_ROWS,
     stage: str | None = None, baseline: list[float] | None = None, threshold: float = 0.3, min_rows: int = 30,
 ) -> DataFrame:
     """Trailing-window monitor statistics at every inference; with ``stage`` and ``baseline`` also the window's drift."""
