@@ -1,6 +1,10 @@
 """The projection index against the exact search: recall, work, odd vectors, crowded buckets."""
 
+import tracemalloc
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +66,48 @@ def test_one_crowded_bucket_is_searched_in_blocks(spark, block_rows):
     index = vector_index.projection_codes(docs, "doc_id", bits=3)
     got = vector_index.search_index(queries, index, 3, k=4, block_rows=block_rows).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [0, 3, 6, 9]
+
+
+@pytest.mark.parametrize("probes", [0, 3])
+def test_memory_of_coding_does_not_follow_batches_or_bits(probes):
+    """Spark hands over ten thousand vectors at a time; a large index has long codes."""
+    x = np.random.default_rng(2).normal(size=(10_000, 16))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(10_001) * 16, pa.int32()), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), vectors], names=["id", "vector"])
+    peaks = {}
+    for bits in (8, 20):
+        tracemalloc.start()
+        largest = max(b.nbytes for b in vector_index._coder(vector_index.TABLES, bits, probes, 1)(iter([batch])))
+        peaks[bits] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert largest < 2**20
+    assert peaks[20] < 2**25 and peaks[20] < 20 / 8 * 1.2 * peaks[8]
+
+
+@pytest.mark.parametrize("bits, probes", [(1, 3), (2, 3), (9, 3), (9, 8), (9, 0)])
+def test_probed_codes_are_the_cheapest_of_all_flips(spark, bits, probes):
+    x = np.random.default_rng(3).normal(size=(1_200, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    got = {(r["id"], r["slot"], r["code"]) for r in vector_index.projection_codes(df, "doc_id", bits=bits, probes=probes, tables=2, seed=7).collect()}
+    side = (x @ np.random.default_rng([7, 5]).standard_normal((5, 2 * bits))).reshape(-1, 2, bits)
+    flips = [(), *combinations(range(bits), 1), *combinations(range(bits), 2)]
+    wanted = set()
+    for i, slot in np.ndindex(len(x), 2):
+        code = sum(1 << b for b in range(bits) if side[i, slot, b] > 0)
+        cheap = sorted(flips, key=lambda f: sum(side[i, slot, b] ** 2 for b in f))[: probes + 1]  # noqa: B023
+        wanted |= {(i, slot, code ^ sum(1 << b for b in f)) for f in cheap}
+    assert got == wanted
+
+
+def test_crowded_buckets_are_cut_by_queries_too(spark):
+    """Six hundred equal queries and five hundred equal documents, among others, in blocks of any size."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0, 3.0] if i < 600 else rng.normal(size=3).tolist()) for i in range(900)]
+    queries = spark.createDataFrame(rows, "query_id BIGINT, vector ARRAY<DOUBLE>").cache()
+    index = vector_index.projection_codes(spark.createDataFrame(rows[100:], SCHEMA), "doc_id", bits=3)
+    got = [
+        {tuple(r) for r in vector_index.search_index(queries, index, 3, k=2, block_rows=rows_, block_queries=asked).select("query_id", "rank", "doc_id", "distance").collect()}
+        for rows_, asked in ((4_000, 1_000), (4_000, 90), (70, 1_000), (70, 90))
+    ]
+    assert all(g == got[0] for g in got) and {r[1:3] for r in got[0] if r[0] < 600} == {(1, 100), (2, 101)}
+    assert {r[0] for r in got[0]} == set(range(900))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,29 +58,33 @@ def assign_chunk_ids(chunks: DataFrame, order: list[tuple[str, bool]], title: st
     ).drop("_pos")
 
 
+def nearest(
+    docs: np.ndarray, ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, k: int, digits: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, doc_id, distance) of the best k documents of every query, by one matrix product."""
+    d_norm, q_norm = np.sqrt((docs * docs).sum(1)), np.sqrt((queries * queries).sum(1))
+    d, ids, q, asked = docs[d_norm > 0], ids[d_norm > 0], queries[q_norm > 0], asked[q_norm > 0]
+    if not len(d) or not len(q):
+        return np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+    distance = np.round(1.0 - (q @ d.T) / (q_norm[q_norm > 0][:, None] * d_norm[d_norm > 0][None, :]), digits)
+    last = min(k, len(ids)) - 1
+    cut = np.partition(distance, last, axis=1)[:, last]
+    best = []
+    for i in range(len(asked)):
+        near = np.flatnonzero(distance[i] <= cut[i])
+        best.append(near[np.lexsort((ids[near], distance[i][near]))[:k]])
+    rows, places = np.repeat(np.arange(len(asked)), [len(b) for b in best]), np.concatenate(best)
+    return asked[rows], ids[places], distance[rows, places]
+
+
 def block_scores(k: int, digits: int):
     def score(key, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype(
-            {"query_id": "int64", "doc_id": "int64", "distance": "float64"}
-        )
-        if docs.empty or queries.empty:
-            return empty
-        d = np.vstack(docs["vector"].to_numpy()).astype(np.float64)
-        q = np.vstack(queries["vector"].to_numpy()).astype(np.float64)
-        asked, ids = queries["query_id"].to_numpy(), docs["doc_id"].to_numpy()
-        d_norm, q_norm = np.sqrt((d * d).sum(1)), np.sqrt((q * q).sum(1))
-        d, ids, q, asked = d[d_norm > 0], ids[d_norm > 0], q[q_norm > 0], asked[q_norm > 0]
-        if not len(d) or not len(q):
-            return empty
-        distance = np.round(1.0 - (q @ d.T) / (q_norm[q_norm > 0][:, None] * d_norm[d_norm > 0][None, :]), digits)
-        last = min(k, len(ids)) - 1
-        cut = np.partition(distance, last, axis=1)[:, last]
-        frames = []
-        for i, query_id in enumerate(asked):
-            near = np.flatnonzero(distance[i] <= cut[i])
-            best = near[np.lexsort((ids[near], distance[i][near]))[:k]]
-            frames.append(pd.DataFrame({"query_id": query_id, "doc_id": ids[best], "distance": distance[i][best]}))
-        return pd.concat(frames, ignore_index=True)
+        found = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+        if not docs.empty and not queries.empty:
+            d = np.vstack(docs["vector"].to_numpy()).astype(np.float64)
+            q = np.vstack(queries["vector"].to_numpy()).astype(np.float64)
+            found = nearest(d, docs["doc_id"].to_numpy(), q, queries["query_id"].to_numpy(), k, digits)
+        return pd.DataFrame(dict(zip(("query_id", "doc_id", "distance"), found)))
 
     return score
 
@@ -142,3 +149,7 @@ def template_answer(docs: Column) -> Column:
     )
     full = F.concat(summary, F.lit(fx.DOCUMENTS_HEAD), refs, F.lit("\n\n" + fx.ANSWER_CLOSING))
     return F.when(F.size(docs) > 0, full).otherwise(fx.NO_DOCUMENTS_ANSWER)
+
+
+# Functions for Python workers travel by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
