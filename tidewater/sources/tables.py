@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -36,33 +38,77 @@ def read_labelled_windows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+class TextFolders(list[str]):
+    """Folders on a mounted file system that hold nothing but whole, plain text files."""
+
+
 def read_text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Whole text files as (path, text)."""
+    """Whole text files as (path, text).
+
+    ``TextFolders`` are listed and read by tasks, a folder at a time. Spark's reader keeps and plans every file in the driver, and sets
+    up a Hadoop job of its own for each, which takes far longer than reading a small file.
+    """
+    if isinstance(path, TextFolders):
+        folders = spark.createDataFrame(pa.table({"folder": pa.array(path, pa.string())})).repartition(max(1, len(path)))
+        return folders.mapInArrow(_row_per_file, "path string, text binary").withColumn("text", F.col("text").cast("string"))
     return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("path"), F.col("value").alias("text")
     )
 
 
+# A folder of text files is full at either figure; rows of files leave a task in batches of at most about BATCH_BYTES
+FOLDER_FILES, FOLDER_BYTES, BATCH_BYTES = 4096, 64 << 20, 8 << 20
+# What Spark escapes in the paths of files
+_ESCAPED = r'[\x00-\x20"#%<>?\[\\\]^`{|}\x7f]'
+
+
+def _row_per_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path and bytes of every file in the folders of a task."""
+    rows = lambda paths, texts: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "text"])
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            paths, texts, size = [], [], 0
+            # By inode, which is about the order on disk
+            for file in sorted(os.scandir(folder.removeprefix("file://")), key=os.DirEntry.inode):
+                with open(file.path, "rb", buffering=0) as f:
+                    text = f.read()
+                if not text:  # Spark's reader leaves empty files out
+                    continue
+                if texts and size + len(text) > BATCH_BYTES:
+                    yield rows(paths, texts)
+                    paths, texts, size = [], [], 0
+                paths.append("file://" + re.sub(_ESCAPED, lambda m: quote(m[0]), file.path))
+                texts.append(text)
+                size += len(text)
+            if texts:
+                yield rows(paths, texts)
+
+
 def _file_per_row(folder: str, end: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Writes the texts of a task into a folder of this attempt, a file each, and gives the folder."""
+    """Writes the texts of a task into folders of this attempt, a file each, and gives the folders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = os.path.join(folder, uuid.uuid4().hex), 0
+        folders, n, size, last = [], 0, 0, end.encode()
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                if n == 0:
-                    os.makedirs(own)
-                with open(os.path.join(own, f"{n}.txt"), "wb") as f:
-                    f.write(text.as_py() + end.encode())
+                if not folders or n >= FOLDER_FILES or size >= FOLDER_BYTES:
+                    folders.append(os.path.join(folder, uuid.uuid4().hex))
+                    os.makedirs(folders[-1])
+                    n, size = 0, 0
+                rest = text.as_py() + last
+                size += len(rest)
+                with open(os.path.join(folders[-1], f"{n}.txt"), "wb", buffering=0) as f:
+                    while rest:
+                        rest = rest[f.write(rest) :]
                 n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([own])], names=["folder"])
+        if folders:
+            yield pa.RecordBatch.from_arrays([pa.array(folders)], names=["folder"])
 
     return run
 
 
 def write_text_files(df: DataFrame, text: str, path: str, end: str = "\u0000") -> list[str]:
-    """Every text that isn't null as a file of its own, closed by ``end``; the folders to read, as many as tasks wrote any.
+    """Every text that isn't null as a file of its own, closed by ``end``; the folders to read, of a few thousand files each.
 
     On a mounted file system tasks write the files themselves. Spark's writer sets the rights of each file by a process of its own
     there, and the driver then moves one file after the other. A folder belongs to one attempt of a task, so those of lost attempts aren't read.
@@ -73,7 +119,7 @@ def write_text_files(df: DataFrame, text: str, path: str, end: str = "\u0000") -
         texts.write.option("maxRecordsPerFile", 1).option("lineSep", end).text(path)
         return [path]
     folder = "/" + whole.removeprefix("file:").lstrip("/")
-    return ["file://" + r[0] for r in texts.mapInArrow(_file_per_row(folder, end), "folder string").collect()]
+    return TextFolders("file://" + r[0] for r in texts.mapInArrow(_file_per_row(folder, end), "folder string").collect())
 
 
 def write_by_day(df: DataFrame, path: str, date: str = "date") -> None:
